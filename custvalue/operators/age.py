@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from custvalue.functions.materialise import materialise
 from custvalue.functions.rounding import half_even
 from custvalue.operators.cleaning import ALL_COLUMNS, distinct_rows
 from custvalue.operators.ranks import median
@@ -63,10 +64,14 @@ def age_share(revenue: DataFrame) -> DataFrame:
 
 
 def age_clv(clv: DataFrame, contacts: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """Count, sum, mean, median, min, max and sample deviation of value per age and location."""
+    """Count, sum, mean, median, min, max and sample deviation of value per age and location.
+
+    The joined values are materialised, as the exact median reads them twice.
+    """
     value = "clv_3m"
+    aged = with_age(clv.select("ctc_id", "location", value), contacts, rules)
     return median(
-        with_age(clv.select("ctc_id", "location", value), contacts, rules),
+        materialise(aged.select(*GROUP, value)),
         value,
         "median_clv_3m",
         GROUP,

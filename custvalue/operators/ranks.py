@@ -4,7 +4,7 @@
 (fixed size, merged map-side) brackets the wanted ranks, one exact count pass finds how many rows
 lie below the bracket, and only the bracket's distinct values are ordered. The bracket spans a few
 of the ``GRID_STEPS`` sketch steps, whatever the values look like, so it holds well under one
-percent of the rows; equal values count as one.
+percent of a group's rows; equal values count as one.
 """
 
 from __future__ import annotations
@@ -14,9 +14,13 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from custvalue.functions.materialise import materialise
+
 GRID_STEPS = 500
 # The sketch's rank error is a tenth of a grid step, so one step of margin always covers it.
 SKETCH_ACCURACY = GRID_STEPS * 10
+# Up to this many groups, the brackets (tens of bytes each) go to the rows by broadcast.
+BROADCAST_GROUPS = 20_000
 
 Rank = Callable[[Column], Column]
 
@@ -25,45 +29,28 @@ def order_statistics(
     rows: DataFrame,
     value: str,
     ranks: dict[str, Rank],
-    by: Sequence[str] = (),
+    by: Sequence[str],
     extra: Sequence[Column] = (),
 ) -> DataFrame:
     """The values at given 1-based ascending ranks, one row per ``by`` group.
 
     ``ranks`` maps an output column to a function of the group's row count; ranks past the end
-    mean the last row, ranks below 1 give null. All ranks of one call share a bracket, so they
-    should be neighbours. ``extra`` are aggregates computed in the sketch's pass and returned too.
-    ``value`` must hold no nulls.
+    mean the last row, ranks below 1 give null. Beside each output column ``c`` come ``c_rank``
+    (the rank after that), ``c_below`` and ``c_equal`` (rows smaller than and equal to the value).
+    All ranks of one call share a bracket, so they should be neighbours. ``extra`` are aggregates
+    computed in the sketch's pass and returned too.
+
+    ``rows`` is read twice and must give the same rows both times: hand in a materialised or
+    written one. ``value`` must hold no nulls.
     """
-    names = list(ranks)
-    grid = [step / GRID_STEPS for step in range(GRID_STEPS + 1)]
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, grid, SKETCH_ACCURACY).alias("_grid"),
-        *extra,
-    )
-    clamped = {f"_rank_{c}": F.least(rank(F.col("_n")), F.col("_n")) for c, rank in ranks.items()}
-    ranked = sketch.withColumns({name: r.cast("long") for name, r in clamped.items()})
-    lowest = F.least(*clamped) if len(clamped) > 1 else F.col(next(iter(clamped)))
-    highest = F.greatest(*clamped) if len(clamped) > 1 else F.col(next(iter(clamped)))
-    scale = F.lit(float(GRID_STEPS)) / F.col("_n")
-    bounds = ranked.select(
-        *by,
-        *clamped,
-        # Outside the grid F.get is null: no bound on that side.
-        F.get("_grid", (F.floor(lowest * scale) - 1).cast("int")).alias("_low"),
-        F.get("_grid", (F.ceil(highest * scale) + 1).cast("int")).alias("_high"),
-    )
-    if by:
-        bounded = rows.select(*by, value).join(bounds, list(by))
-    else:
-        limits = bounds.select(F.struct("*")).scalar()
-        bounded = rows.select(value).withColumns(
-            {name: limits.getField(name) for name in bounds.columns}
-        )
-
-    # Rows below the bracket fold into one null-probe row per group, which sorts first.
-    keys = [*by, *clamped]
+    brackets = materialise(_brackets(rows, value, ranks, by, extra))
+    limits = brackets.select(*by, *[f"{c}_rank" for c in ranks], "_low", "_high")
+    few = brackets.count() <= BROADCAST_GROUPS
+    bounded = rows.select(*by, value).join(F.broadcast(limits) if few else limits, list(by))
+
+    # Rows below the bracket fold into one null-probe row per group, which sorts first. A null
+    # limit means no bound on that side.
+    keys = [*by, *[f"{c}_rank" for c in ranks]]
     below = F.coalesce(F.col(value) < F.col("_low"), F.lit(False))
     above = F.coalesce(F.col(value) > F.col("_high"), F.lit(False))
     counted = (
@@ -72,37 +59,69 @@ def order_statistics(
         .agg(F.count(F.lit(1)).alias("_rows"))
     )
     ascending = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_probe"))
-    running = counted.withColumn(
-        "_upto", F.sum("_rows").over(ascending.rowsBetween(Window.unboundedPreceding, 0))
+    upto = F.sum("_rows").over(ascending.rowsBetween(Window.unboundedPreceding, 0))
+    found = counted.withColumn("_upto", upto).groupBy(*keys).agg(*[_at_rank(c) for c in ranks])
+    kept = [c for c in brackets.columns if c not in ("_low", "_high", *keys)]
+    return found.select(*by, *[column for c in ranks for column in _unpacked(c)]).join(
+        brackets.select(*by, *kept), list(by)
+    )
+
+
+def _brackets(
+    rows: DataFrame,
+    value: str,
+    ranks: dict[str, Rank],
+    by: Sequence[str],
+    extra: Sequence[Column],
+) -> DataFrame:
+    """Per group: the clamped ranks, limits around them, and the extra aggregates."""
+    grid = [step / GRID_STEPS for step in range(GRID_STEPS + 1)]
+    sketch = rows.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"),
+        F.percentile_approx(value, grid, SKETCH_ACCURACY).alias("_grid"),
+        *extra,
     )
-    beneath = F.coalesce(F.max(F.when(F.col("_probe").isNull(), F.col("_upto"))), F.lit(0))
-    found = running.groupBy(*keys).agg(
-        beneath.alias("_beneath"),
-        *[
-            F.min(F.when(F.col("_upto") >= F.col(f"_rank_{c}"), F.col("_probe"))).alias(c)
-            for c in names
-        ],
+    clamped = {
+        f"{c}_rank": F.least(rank(F.col("_n")), F.col("_n")).cast("long")
+        for c, rank in ranks.items()
+    }
+    wanted = F.array(*clamped)
+    step = F.lit(float(GRID_STEPS)) / F.col("_n")
+    first = F.floor(F.array_min(wanted) * step).cast("int") - 1
+    last = F.ceil(F.array_max(wanted) * step).cast("int") + 1
+    # Outside the grid F.get is null.
+    return (
+        sketch.withColumns(clamped)
+        .withColumns({"_low": F.get("_grid", first), "_high": F.get("_grid", last)})
+        .drop("_n", "_grid")
     )
-    missed = F.raise_error(F.lit("quantile sketch missed a rank"))
-    exact = found.select(
-        *by,
-        *[
-            F.when(F.col(f"_rank_{c}") < 1, F.lit(None))
-            .when(F.col(f"_rank_{c}") > F.col("_beneath"), F.coalesce(F.col(c), missed))
-            .otherwise(missed)
-            .alias(c)
-            for c in names
-        ],
+
+
+def _at_rank(name: str) -> Column:
+    """The first bracket value whose running count reaches the rank, with its counts."""
+    hit = F.col("_upto") >= F.col(f"{name}_rank")
+    row = F.struct(
+        F.col("_upto").alias("upto"), F.col("_probe").alias("value"), F.col("_rows").alias("equal")
     )
-    if not extra:
-        return exact
-    kept = [c for c in sketch.columns if c not in ("_n", "_grid")]
-    if not by:
-        raise ValueError("extra aggregates need group columns")
-    return sketch.select(*kept).join(exact, list(by))
+    return F.min(F.when(hit, row)).alias(name)
 
 
-def median(rows: DataFrame, value: str, out_col: str, by: Sequence[str], extra=()) -> DataFrame:
+def _unpacked(name: str) -> list[Column]:
+    """Result columns of one rank. A rank outside its bracket is an error, never a wrong value."""
+    hit, rank = F.col(name), F.col(f"{name}_rank")
+    missed = F.raise_error(F.lit("quantile sketch missed a rank"))
+    value = F.when(rank < 1, F.lit(None)).otherwise(F.coalesce(hit["value"], missed))
+    return [
+        value.alias(name),
+        rank,
+        F.when(rank >= 1, hit["upto"] - hit["equal"]).alias(f"{name}_below"),
+        F.when(rank >= 1, hit["equal"]).alias(f"{name}_equal"),
+    ]
+
+
+def median(
+    rows: DataFrame, value: str, out_col: str, by: Sequence[str], extra: Sequence[Column] = ()
+) -> DataFrame:
     """Exact median per group: the middle value, or the mean of the two middle ones."""
     middle = order_statistics(
         rows,
@@ -111,6 +130,5 @@ def median(rows: DataFrame, value: str, out_col: str, by: Sequence[str], extra=(
         by,
         extra,
     )
-    return middle.withColumn(out_col, (F.col("_lower") + F.col("_upper")) / 2).drop(
-        "_lower", "_upper"
-    )
+    parts = [c for c in middle.columns if c.startswith(("_lower", "_upper"))]
+    return middle.withColumn(out_col, (F.col("_lower") + F.col("_upper")) / 2).drop(*parts)

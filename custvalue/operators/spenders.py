@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,29 +22,50 @@ def customer_totals(clv: DataFrame) -> DataFrame:
     )
 
 
-def spender_count(totals: DataFrame, share: float) -> int:
-    """How many customers a side takes: ``share`` of the scored rows, rounded half-even."""
-    rows = F.coalesce(F.sum("scored_rows"), F.lit(0))
-    return totals.agg(F.rint(rows * F.lit(share)).cast("long")).first()[0]
+def spender_count(totals: DataFrame, share: float) -> DataFrame:
+    """One row: how many customers a side takes, ``share`` of the scored rows rounded half-even."""
+    return totals.agg(F.rint(F.sum("scored_rows") * F.lit(share)).cast("long").alias("n"))
+
+
+def _key(side: str) -> Column:
+    """What a side sorts by, ascending."""
+    return -F.col("total_transaction") if side == "top" else F.col("total_transaction")
 
 
-def _first_n(totals: DataFrame, side: str, n: int) -> Column:
-    """A predicate true for the first ``n`` customers by total, then by ctc_id.
+def _members(totals: DataFrame, share: float, sides: Sequence[str]) -> dict[str, Column]:
+    """Per side, a predicate true for its first n customers by total, then by ctc_id.
 
-    Only the last customer's total and id reach the driver. The pair is found in two exact
-    selections: the total at rank n, then the id among customers with that very total, so a total
-    shared by many customers is never sorted as a whole.
+    One exact selection finds each side's last total; only that number and its counts reach the
+    driver. When n cuts through customers with that very total, a second one finds the last id
+    among them, so a total shared by many is never sorted as a whole.
     """
-    key = -F.col("total_transaction") if side == "top" else F.col("total_transaction")
-    keyed = totals.select(key.alias("key"), "ctc_id")
-    last = order_statistics(keyed, "key", {"key": lambda _: F.lit(n)}).first()
-    if last is None or last["key"] is None:
-        return F.lit(False)
-    limit = F.lit(last["key"])
-    left = n - keyed.filter(F.col("key") < limit).count()
-    tied = keyed.filter(F.col("key") == limit)
-    last_id = order_statistics(tied, "ctc_id", {"ctc_id": lambda _: F.lit(left)}).first()["ctc_id"]
-    return (key < limit) | ((key == limit) & (F.col("ctc_id") <= F.lit(last_id)))
+    n = spender_count(totals, share).scalar()
+    keyed = totals.select(
+        "ctc_id",
+        F.explode(
+            F.array(*[F.struct(F.lit(s).alias("side"), _key(s).alias("key")) for s in sides])
+        ).alias("by"),
+    ).select("ctc_id", "by.side", "by.key")
+    last = order_statistics(keyed, "key", {"key": lambda _: n}, ["side"])
+    cuts = {row["side"]: row for row in last.collect()}
+
+    members = {}
+    for side in sides:
+        cut = cuts.get(side)
+        if cut is None or cut["key"] is None:
+            members[side] = F.lit(False)
+            continue
+        key, limit = _key(side), F.lit(cut["key"])
+        left = cut["key_rank"] - cut["key_below"]
+        if left == cut["key_equal"]:
+            members[side] = key <= limit
+            continue
+        tied = totals.filter(key == limit).select("ctc_id", F.lit(side).alias("side"))
+        last_id = order_statistics(tied, "ctc_id", {"last_id": lambda _, k=left: F.lit(k)}, ["side"])
+        members[side] = (key < limit) | (
+            (key == limit) & (F.col("ctc_id") <= F.lit(last_id.first()["last_id"]))
+        )
+    return members
 
 
 def spender_flags(clv: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
@@ -51,17 +74,13 @@ def spender_flags(clv: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     The totals are materialised, since counting and choosing must see the same values.
     """
     totals = materialise(customer_totals(clv))
-    n = spender_count(totals, rules.spender_share)
-    return totals.select(
-        "ctc_id",
-        "total_transaction",
-        _first_n(totals, "top", n).alias("is_top"),
-        _first_n(totals, "low", n).alias("is_low"),
-    )
+    members = _members(totals, rules.spender_share, SIDES)
+    flags = [members[side].alias(f"is_{side}") for side in SIDES]
+    return totals.select("ctc_id", "total_transaction", *flags)
 
 
 def spenders(clv: DataFrame, side: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """The ``top`` or ``low`` customers with their totals."""
     totals = materialise(customer_totals(clv))
-    chosen = _first_n(totals, side, spender_count(totals, rules.spender_share))
+    chosen = _members(totals, rules.spender_share, [side])[side]
     return totals.filter(chosen).select("ctc_id", "total_transaction")

@@ -1,0 +1 @@
+"""Empty on purpose: every report is a batch over whole tables, and there is no stream to read."""
