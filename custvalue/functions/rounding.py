@@ -1,4 +1,4 @@
-"""Rounding."""
+"""Rounding, and sums that round the same way whatever the row order."""
 
 from __future__ import annotations
 
@@ -15,3 +15,17 @@ def half_even(column: Column | str, digits: int) -> Column:
     value = F.col(column) if isinstance(column, str) else column
     scale = F.lit(float(10**digits))
     return F.rint(value * scale) / scale
+
+
+def exact_sum(column: str, digits: int) -> Column:
+    """Sum of values that have at most ``digits`` decimals, as a double.
+
+    A sum of doubles depends on the order of its rows, so when it lies on a rounding tie the
+    partitioning would decide the report. Adding decimals does not.
+    """
+    return F.sum(F.col(column).cast(f"decimal(28,{digits})")).cast("double")
+
+
+def exact_mean(column: str, digits: int) -> Column:
+    """Mean of values that have at most ``digits`` decimals; null without rows."""
+    return F.try_divide(exact_sum(column, digits), F.count(column))

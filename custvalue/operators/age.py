@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from custvalue.functions.materialise import materialise
-from custvalue.functions.rounding import half_even
+from custvalue.functions.rounding import exact_sum, half_even
 from custvalue.operators.cleaning import ALL_COLUMNS, distinct_rows
 from custvalue.operators.ranks import median
+from custvalue.operators.scoring import LABEL_DECIMALS
 from custvalue.rules import DEFAULT_RULES, Rules
 
 GROUP = ("age_category", "location")
@@ -77,7 +78,7 @@ def age_clv(clv: DataFrame, contacts: DataFrame, rules: Rules = DEFAULT_RULES) -
         GROUP,
         extra=[
             F.count(F.lit(1)).alias("total_clv_cus"),
-            F.sum(value).alias("clv_3m"),
+            exact_sum(value, LABEL_DECIMALS).alias("clv_3m"),
             F.avg(value).alias("avg_clv_3m"),
             F.min(value).alias("min_clv_3m"),
             F.max(value).alias("max_clv_3m"),

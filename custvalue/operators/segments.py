@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custvalue.functions.rounding import half_even
+from custvalue.functions.rounding import exact_mean, half_even
 from custvalue.operators.spenders import SIDES, spender_flags, spenders
 from custvalue.rules import DEFAULT_RULES, Rules
 
@@ -26,7 +26,7 @@ METRICS = ("clv", "aov", "revenue", "users", "frequency")
 def churn_frequency(clv: DataFrame) -> DataFrame:
     """One row: mean frequency of the customers who came back, to three decimals."""
     returning = clv.filter(F.col("no_visit") > 1)
-    return returning.agg(half_even(F.avg("frequency"), 3).alias("churn_frequency"))
+    return returning.agg(half_even(exact_mean("frequency", 3), 3).alias("churn_frequency"))
 
 
 def _metrics(prefix: str = "") -> list[Column]:
@@ -35,7 +35,7 @@ def _metrics(prefix: str = "") -> list[Column]:
         F.avg("value").alias(f"{prefix}aov"),
         half_even(F.sum("total_transaction"), 3).alias(f"{prefix}revenue"),
         F.count(F.lit(1)).alias(f"{prefix}users"),
-        half_even(F.avg("frequency"), 3).alias(f"{prefix}frequency"),
+        half_even(exact_mean("frequency", 3), 3).alias(f"{prefix}frequency"),
     ]
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custvalue.functions.rounding import half_even
+from custvalue.functions.rounding import exact_mean, half_even
 from custvalue.operators.periods import CURRENT, PREVIOUS
 from custvalue.rules import DEFAULT_RULES, Rules
 
@@ -40,7 +40,7 @@ def _with_threshold(rows: DataFrame) -> DataFrame:
     """
     returning = rows.filter(F.col("no_visit") > 1)
     limits = returning.groupBy("period").agg(
-        half_even(F.avg("frequency"), 3).alias("churn_frequency")
+        half_even(exact_mean("frequency", 3), 3).alias("churn_frequency")
     )
     return rows.join(F.broadcast(limits), "period", "left")
 

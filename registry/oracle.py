@@ -55,6 +55,10 @@ CLV_LABEL = r(
 )
 
 
+# Sums of rounded values are taken in decimals: exact, so row order cannot tip a rounding tie.
+MEAN_FREQUENCY = "CAST(sum(CAST(frequency AS DECIMAL(28,3))) AS DOUBLE) / count(*)"
+
+
 def rfm(source: str, as_of: str) -> str:
     return f"""
   SELECT ctc_id, location, count(*) AS no_visit, avg(value) AS value,
@@ -104,7 +108,7 @@ def overview_names(group: str) -> list[str]:
 def segment(source: str) -> str:
     return f"""
   SELECT location, avg(clv_3m) AS clv, avg(value) AS aov, {r('sum(total_transaction)', 3)} AS revenue,
-         count(*) AS users, {r('avg(frequency)', 3)} AS frequency
+         count(*) AS users, {r(MEAN_FREQUENCY, 3)} AS frequency
   FROM {source} GROUP BY location
 """
 
@@ -131,7 +135,7 @@ def summaries(tagged: str, tail: str) -> dict[str, str]:
     """The summary tables over ``tagged``, with ``tail`` appended to their names."""
     return {
         f"limits{tail}": f"""
-  SELECT period, {r('avg(frequency)', 3)} AS churn_frequency FROM {tagged}
+  SELECT period, {r(MEAN_FREQUENCY, 3)} AS churn_frequency FROM {tagged}
   WHERE no_visit > 1 GROUP BY period""",
         f"all{tail}": summary_group("all", tagged),
         f"repeat{tail}": summary_group("repeat", f"(SELECT * FROM {tagged} WHERE no_visit >= 2)"),
@@ -230,7 +234,7 @@ def views(tx: str) -> dict[str, str]:
                                 FROM age_revenue GROUP BY location) t ON a.location = t.location""",
         "age_clv": """
   SELECT coalesce(age_category, 'Unknown') AS age_category, location, count(*) AS total_clv_cus,
-         sum(clv_3m) AS clv_3m, avg(clv_3m) AS avg_clv_3m, median(clv_3m) AS median_clv_3m,
+         CAST(sum(CAST(clv_3m AS DECIMAL(28,4))) AS DOUBLE) AS clv_3m, avg(clv_3m) AS avg_clv_3m, median(clv_3m) AS median_clv_3m,
          min(clv_3m) AS min_clv_3m, max(clv_3m) AS max_clv_3m, stddev_samp(clv_3m) AS std_clv_3m
   FROM clv LEFT JOIN clean_contacts c ON clv.ctc_id = c.ctc_id
   GROUP BY coalesce(age_category, 'Unknown'), location""",
@@ -247,7 +251,7 @@ def views(tx: str) -> dict[str, str]:
   SELECT day_of_week, location, CAST(sum(total_cus) AS BIGINT) AS total_cus, avg(value) AS value
   FROM daily_location GROUP BY day_of_week, location""",
         "churn_threshold": f"""
-  SELECT {r("avg(frequency)", 3)} AS churn_frequency FROM clv WHERE no_visit > 1""",
+  SELECT {r(MEAN_FREQUENCY, 3)} AS churn_frequency FROM clv WHERE no_visit > 1""",
         "totals": """
   SELECT ctc_id, sum(total_transaction) AS total_transaction FROM clv GROUP BY ctc_id""",
         "top_ids": ranked("DESC"),
