@@ -38,6 +38,6 @@ def calendar(spark: SparkSession, start: DateLike, end: DateLike) -> DataFrame:
     An ``end`` before ``start`` gives no rows.
     """
     first, last = as_date(start), as_date(end)
-    span = spark.range(1).select(first.alias("first"), last.alias("last")).filter("first <= last")
-    days = span.select(F.explode(F.sequence("first", "last", F.expr("interval 1 day"))).alias("day"))
+    daily = F.sequence(first, last, F.expr("interval 1 day"))
+    days = spark.range(1).select(F.explode(F.when(first <= last, daily)).alias("day"))
     return with_calendar(days, "day").select(*CALENDAR_COLUMNS)

@@ -90,6 +90,9 @@ def executive_summary(rows: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFram
 
     A location shows only when it has repeat, new and churned customers in the period; churned
     customers are taken off the total. One conditional aggregate replaces four joined tables.
+
+    The churn threshold takes a pass of its own, so ``rows`` is read twice: hand in rows of a
+    written or materialised table.
     """
     tagged, keys = _one_period(rows)
     wide = (

@@ -345,7 +345,7 @@ def churn_threshold(t):
 
 @query
 def segment_churn(t):
-    return segments.segment(line_clv(t), "churn")
+    return segments.segment(materialise(line_clv(t)), "churn")
 
 
 @query
@@ -412,6 +412,11 @@ def tagged_year(t: Tables) -> DataFrame:
     return periods.tag_periods(line_first_visits(t), YEAR)
 
 
+def stored_tagged(t: Tables, period: Period) -> DataFrame:
+    """Tagged rows of stored first visits: the churn threshold takes a pass of its own."""
+    return periods.tag_periods(materialise(line_first_visits(t)), period)
+
+
 @query
 def summary_all(t):
     return summary.summary_part(tagged_year(t), "all")
@@ -429,27 +434,27 @@ def summary_new(t):
 
 @query
 def summary_churn(t):
-    return summary.summary_part(tagged_year(t), "churn")
+    return summary.summary_part(stored_tagged(t, YEAR), "churn")
 
 
 @query
 def executive_summary(t):
-    return summary.executive_summary(tagged_year(t))
+    return summary.executive_summary(stored_tagged(t, YEAR))
 
 
 @query
 def executive_summary_range(t):
-    return summary.executive_summary(periods.tag_periods(line_first_visits(t), RANGE))
+    return summary.executive_summary(stored_tagged(t, RANGE))
 
 
 @query
 def summary_compare(t):
-    return summary.compare(summary.executive_summary(tagged_year(t)))
+    return summary.compare(summary.executive_summary(stored_tagged(t, YEAR)))
 
 
 @query
 def summary_compare_location(t):
-    return summary.compare(summary.executive_summary(tagged_year(t)), fx.PLACE)
+    return summary.compare(summary.executive_summary(stored_tagged(t, YEAR)), fx.PLACE)
 
 
 # Payloads, publishing and the combined report
