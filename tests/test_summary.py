@@ -46,7 +46,7 @@ ALL_IDS = list(range(10))
         ({"year": -5, "month": 3}, ALL_IDS, ALL_IDS),
         ({"start": "", "year": 2020}, ALL_IDS, ALL_IDS),
         ({"start": "2021-03-01", "end": " "}, [7, 8, 9], [4, 5, 6, 7, 8, 9]),
-        ({"start": "2020-02-29 00:00:00", "end": "2020-12-31 00:00:00"}, [3, 4], []),
+        ({"start": "2020-02-29 00:00:00", "end": "2020-12-31 00:00:00"}, [3, 4], [0]),
         # No such month; the one before it is December 2021, without first visits.
         ({"month": 13}, [], []),
     ],
