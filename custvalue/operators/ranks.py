@@ -1,26 +1,36 @@
 """Exact order statistics without sorting or gathering a group in one task.
 
 ``F.median`` and a global ``row_number`` hold a whole group in one task. Here a quantile sketch
-(fixed size, merged map-side) brackets the wanted ranks, one exact count pass finds how many rows
-lie below the bracket, and only the bracket's distinct values are ordered. The bracket spans a few
-of the ``GRID_STEPS`` sketch steps, whatever the values look like, so it holds well under one
-percent of a group's rows; equal values count as one.
+(fixed size, merged map-side) brackets the wanted ranks, and one exact count pass finds how many
+rows lie below the bracket and how often each value in it occurs. The bracket spans a few of the
+``GRID_STEPS`` sketch steps, whatever the values look like, so it holds under one percent of a
+group's rows, and equal values count as one. When even that is much, the bracket's values are cut
+into tiles of equal size, and only the tiles that hold a wanted rank are ordered.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from custvalue.functions.materialise import materialise
+from custvalue.functions.materialise import materialise, materialise_small
 
 GRID_STEPS = 500
+GRID = [step / GRID_STEPS for step in range(GRID_STEPS + 1)]
 # The sketch's rank error is a tenth of a grid step, so one step of margin always covers it.
 SKETCH_ACCURACY = GRID_STEPS * 10
-# Up to this many groups, the brackets (tens of bytes each) go to the rows by broadcast.
-BROADCAST_GROUPS = 20_000
+# Grid steps a bracket may span: two neighbouring ranks, rounding, and a margin on each side.
+BRACKET_STEPS = 6
+# A bracket that may hold more values than this in one group is cut into tiles.
+ORDERED_VALUES = 2_000_000
+# Per-group rows go to the other side by broadcast up to this many bytes, by shuffle beyond.
+BROADCAST_BYTES = 8 << 20
+BRACKET_BYTES = 256
+SPLITS_BYTES = 8 * len(GRID)
 
 Rank = Callable[[Column], Column]
 
@@ -43,30 +53,31 @@ def order_statistics(
     ``rows`` is read twice and must give the same rows both times: hand in a materialised or
     written one. ``value`` must hold no nulls.
     """
-    brackets = materialise(_brackets(rows, value, ranks, by, extra))
-    limits = brackets.select(*by, *[f"{c}_rank" for c in ranks], "_low", "_high")
-    few = brackets.count() <= BROADCAST_GROUPS
-    bounded = rows.select(*by, value).join(F.broadcast(limits) if few else limits, list(by))
-
-    # Rows below the bracket fold into one null-probe row per group, which sorts first. A null
-    # limit means no bound on that side.
     keys = [*by, *[f"{c}_rank" for c in ranks]]
-    below = F.coalesce(F.col(value) < F.col("_low"), F.lit(False))
-    above = F.coalesce(F.col(value) > F.col("_high"), F.lit(False))
-    counted = (
-        bounded.filter(~above)
-        .groupBy(*keys, F.when(~below, F.col(value)).alias("_probe"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-    ascending = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_probe"))
-    upto = F.sum("_rows").over(ascending.rowsBetween(Window.unboundedPreceding, 0))
-    found = counted.withColumn("_upto", upto).groupBy(*keys).agg(*[_at_rank(c) for c in ranks])
-    kept = [c for c in brackets.columns if c not in ("_low", "_high", *keys)]
+    brackets = materialise_small(_brackets(rows, value, ranks, by, extra))
+    groups, largest = brackets.agg(F.count(F.lit(1)), F.max("_n")).first()
+
+    limits = _sized(brackets.select(*keys, "_low", "_high"), groups, BRACKET_BYTES)
+    counted = _counted(rows.select(*by, value).join(limits, list(by)), value, keys)
+    if (largest or 0) * BRACKET_STEPS / GRID_STEPS > ORDERED_VALUES:
+        running = _running_in_tiles(counted, keys, list(ranks), groups)
+    else:
+        ascending = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_probe"))
+        upto = F.sum("_rows").over(ascending.rowsBetween(Window.unboundedPreceding, 0))
+        running = counted.withColumn("_upto", upto)
+
+    found = running.groupBy(*keys).agg(*[_at_rank(c) for c in ranks])
+    kept = [c for c in brackets.columns if c not in ("_n", "_low", "_high", *keys)]
     return found.select(*by, *[column for c in ranks for column in _unpacked(c)]).join(
         brackets.select(*by, *kept), list(by)
     )
 
 
+def _sized(per_group: DataFrame, groups: int, row_bytes: int) -> DataFrame:
+    """Hint a broadcast of a counted per-group table when it is small enough."""
+    return F.broadcast(per_group) if groups * row_bytes <= BROADCAST_BYTES else per_group
+
+
 def _brackets(
     rows: DataFrame,
     value: str,
@@ -74,11 +85,10 @@ def _brackets(
     by: Sequence[str],
     extra: Sequence[Column],
 ) -> DataFrame:
-    """Per group: the clamped ranks, limits around them, and the extra aggregates."""
-    grid = [step / GRID_STEPS for step in range(GRID_STEPS + 1)]
+    """Per group: row count, clamped ranks, limits around them, and the extra aggregates."""
     sketch = rows.groupBy(*by).agg(
         F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, grid, SKETCH_ACCURACY).alias("_grid"),
+        F.percentile_approx(value, GRID, SKETCH_ACCURACY).alias("_grid"),
         *extra,
     )
     clamped = {
@@ -89,12 +99,56 @@ def _brackets(
     step = F.lit(float(GRID_STEPS)) / F.col("_n")
     first = F.floor(F.array_min(wanted) * step).cast("int") - 1
     last = F.ceil(F.array_max(wanted) * step).cast("int") + 1
-    # Outside the grid F.get is null.
+    # Outside the grid F.get is null: no limit on that side.
     return (
         sketch.withColumns(clamped)
         .withColumns({"_low": F.get("_grid", first), "_high": F.get("_grid", last)})
-        .drop("_n", "_grid")
+        .drop("_grid")
+    )
+
+
+def _counted(bounded: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
+    """How often each bracket value occurs; all rows below fold into one with a null ``_probe``."""
+    below = F.coalesce(F.col(value) < F.col("_low"), F.lit(False))
+    above = F.coalesce(F.col(value) > F.col("_high"), F.lit(False))
+    return (
+        bounded.filter(~above)
+        .groupBy(*keys, F.when(~below, F.col(value)).alias("_probe"))
+        .agg(F.count(F.lit(1)).alias("_rows"))
+    )
+
+
+def _running_in_tiles(
+    counted: DataFrame, keys: Sequence[str], names: Sequence[str], groups: int
+) -> DataFrame:
+    """Running counts, only for the tiles that hold a wanted rank.
+
+    The values are distinct by now, so sketched quantiles cut them evenly. A tile holds one part
+    in ``GRID_STEPS`` of a bracket, and the tiles of a group number ``GRID_STEPS`` at most.
+    """
+    counted = materialise(counted)
+    splits = (
+        counted.filter(F.col("_probe").isNotNull())
+        .groupBy(*keys)
+        .agg(F.percentile_approx("_probe", GRID, SKETCH_ACCURACY).alias("_splits"))
+    )
+    smaller = F.size(F.filter("_splits", lambda split: split < F.col("_probe")))
+    tiled = counted.join(_sized(splits, groups, SPLITS_BYTES), list(keys), "left").withColumn(
+        "_tile", F.when(F.col("_probe").isNull(), F.lit(-1)).otherwise(smaller)
     )
+    tiled = materialise(tiled.drop("_splits"))
+
+    sums = tiled.groupBy(*keys, "_tile").agg(F.sum("_rows").alias("_tile_rows"))
+    in_order = Window.partitionBy(*keys).orderBy("_tile")
+    upto = F.sum("_tile_rows").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    before = upto - F.col("_tile_rows")
+    ranks = [F.greatest(F.col(f"{c}_rank"), F.lit(1)) for c in names]
+    chosen = reduce(or_, [(r > F.col("_before")) & (r <= F.col("_end")) for r in ranks])
+    tiles = sums.select(*keys, "_tile", before.alias("_before"), upto.alias("_end")).filter(chosen)
+
+    inside = Window.partitionBy(*keys, "_tile").orderBy(F.asc_nulls_first("_probe"))
+    within = F.sum("_rows").over(inside.rowsBetween(Window.unboundedPreceding, 0))
+    return tiled.join(tiles, [*keys, "_tile"]).withColumn("_upto", F.col("_before") + within)
 
 
 def _at_rank(name: str) -> Column:
