@@ -17,13 +17,18 @@ def half_even(column: Column | str, digits: int) -> Column:
     return F.rint(value * scale) / scale
 
 
-def exact_sum(column: str, digits: int) -> Column:
-    """Sum of values that have at most ``digits`` decimals, as a double.
+def decimal_sum(column: str, digits: int) -> Column:
+    """Sum of values that have at most ``digits`` decimals, as a decimal.
 
     A sum of doubles depends on the order of its rows, so when it lies on a rounding tie the
     partitioning would decide the report. Adding decimals does not.
     """
-    return F.sum(F.col(column).cast(f"decimal(28,{digits})")).cast("double")
+    return F.sum(F.col(column).cast(f"decimal(28,{digits})"))
+
+
+def exact_sum(column: str, digits: int) -> Column:
+    """:func:`decimal_sum` as a double."""
+    return decimal_sum(column, digits).cast("double")
 
 
 def exact_mean(column: str, digits: int) -> Column:

@@ -93,6 +93,5 @@ def tag_periods(first_visits: DataFrame, period: Period) -> DataFrame:
     """
     now, before = period.current(), period.previous()
     tags = F.array(F.when(now, F.lit(CURRENT)), F.when(before, F.lit(PREVIOUS)))
-    return first_visits.filter(now | before).withColumn(
-        "period", F.explode(F.array_compact(tags))
-    )
+    tagged = first_visits.filter(now | before).withColumn("period", F.explode(tags))
+    return tagged.filter(F.col("period").isNotNull())

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from custvalue.functions.rounding import exact_mean, half_even
+from custvalue.functions.rounding import decimal_sum, exact_mean, half_even
 from custvalue.operators.spenders import SIDES, spender_flags, spenders
 from custvalue.rules import DEFAULT_RULES, Rules
 
@@ -20,22 +20,23 @@ PREFIXES = {
     "churn": "churn",
 }
 SEGMENTS = tuple(PREFIXES)
+FREQUENCY_DECIMALS = 3
 METRICS = ("clv", "aov", "revenue", "users", "frequency")
 
 
 def churn_frequency(clv: DataFrame) -> DataFrame:
     """One row: mean frequency of the customers who came back, to three decimals."""
     returning = clv.filter(F.col("no_visit") > 1)
-    return returning.agg(half_even(exact_mean("frequency", 3), 3).alias("churn_frequency"))
+    return returning.agg(half_even(exact_mean("frequency", FREQUENCY_DECIMALS), 3).alias("churn_frequency"))
 
 
-def _metrics(prefix: str = "") -> list[Column]:
+def _metrics(prefix: str) -> list[Column]:
     return [
         F.avg("clv_3m").alias(f"{prefix}clv"),
         F.avg("value").alias(f"{prefix}aov"),
         half_even(F.sum("total_transaction"), 3).alias(f"{prefix}revenue"),
         F.count(F.lit(1)).alias(f"{prefix}users"),
-        half_even(exact_mean("frequency", 3), 3).alias(f"{prefix}frequency"),
+        half_even(exact_mean("frequency", FREQUENCY_DECIMALS), 3).alias(f"{prefix}frequency"),
     ]
 
 
@@ -63,9 +64,9 @@ def segment(clv: DataFrame, name: str, rules: Rules = DEFAULT_RULES) -> DataFram
 def segments(clv: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
     """All seven segments in one table: segment, location and the five metrics.
 
-    Each row is repeated once per segment it belongs to and folded map-side again, so the whole
-    table costs one shuffle of partial results. ``clv`` is read three times; hand in a written
-    or materialised one when it is costly.
+    Segments overlap. Rows are first folded per location and membership pattern, and only those
+    few sums are repeated for each segment of the pattern. ``clv`` is read three times; hand in a
+    written or materialised one when it is costly.
     """
     flagged = clv.join(spender_flags(clv, rules).drop("total_transaction"), "ctc_id")
     conditions = {
@@ -73,11 +74,31 @@ def segments(clv: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
         "top": F.col("is_top"),
         "low": F.col("is_low"),
     }
-    names = F.array(*[F.when(conditions[name], F.lit(name)) for name in SEGMENTS])
+    flags = {name: f"in_{name}" for name in SEGMENTS}
+    folded = (
+        flagged.withColumns({flag: conditions[name] for name, flag in flags.items()})
+        .groupBy("location", *flags.values())
+        .agg(
+            F.sum("clv_3m").alias("clv_3m"),
+            F.sum("value").alias("value"),
+            F.sum("total_transaction").alias("total_transaction"),
+            F.count(F.lit(1)).alias("rows"),
+            decimal_sum("frequency", FREQUENCY_DECIMALS).alias("frequency"),
+        )
+    )
+    names = F.array(*[F.when(F.col(flag), F.lit(name)) for name, flag in flags.items()])
+    rows = F.sum("rows")
     return (
-        flagged.withColumn("segment", F.explode(F.array_compact(names)))
+        folded.withColumn("segment", F.explode(names))
+        .filter(F.col("segment").isNotNull())
         .groupBy("segment", "location")
-        .agg(*_metrics())
+        .agg(
+            (F.sum("clv_3m") / rows).alias("clv"),
+            (F.sum("value") / rows).alias("aov"),
+            half_even(F.sum("total_transaction"), 3).alias("revenue"),
+            rows.alias("users"),
+            half_even(F.sum("frequency").cast("double") / rows, 3).alias("frequency"),
+        )
     )
 
 
