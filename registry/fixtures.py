@@ -38,14 +38,16 @@ PLACE = "NATION_3"
 
 
 class Tables:
-    """The test tables of one scale factor, read on demand."""
+    """The test tables of one scale factor, opened on first use."""
 
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.sf_dir = sf_dir
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        setattr(self, name, table)
+        return table
 
 
 def raw_line_visits(t: Tables) -> DataFrame:
