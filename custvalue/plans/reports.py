@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +16,7 @@ from custvalue.sources.writers import read_table, write_table
 
 # Summaries ask for a year or a date range of first visits, so that table is laid out by year.
 PARTITIONING = {"first_visit": ("year",)}
+PARALLEL_WRITES = 4
 TABLES = (
     "as_of",
     "clv",
@@ -85,8 +87,10 @@ def publish(inputs: Inputs, path: str, rules: Rules = DEFAULT_RULES) -> dict[str
     tables = {"as_of": write("as_of", cleaning.as_of(inputs.transactions))}
     today = tables["as_of"].scalar()
     tables["clv"] = write("clv", scored_clv(inputs, today))
-    for name, df in report_tables(inputs, tables["clv"], today, rules).items():
-        tables[name] = write(name, df)
+    reports = report_tables(inputs, tables["clv"], today, rules)
+    # The reports do not depend on each other: small ones fill the cluster beside large ones.
+    with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
+        tables.update(zip(reports, pool.map(write, reports, reports.values()), strict=True))
     return tables
 
 

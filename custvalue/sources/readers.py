@@ -31,6 +31,10 @@ def conform(df: DataFrame, schema: T.StructType, headers: dict[str, str]) -> Dat
         value = F.col(f"`{name}`")
         if isinstance(df.schema[name].dataType, T.StringType):
             value = F.when(~value.isin(*NULL_TOKENS), value)
+            if isinstance(field.dataType, T.IntegralType):
+                # Whole numbers may be written like 12.0 where their column had gaps.
+                rounded = value.cast("double").cast(field.dataType)
+                value = F.coalesce(value.try_cast(field.dataType), rounded)
         selected.append(value.cast(field.dataType).alias(field.name))
     return df.select(*selected)
 

@@ -541,7 +541,7 @@ SELECT string_agg(location, ',' ORDER BY location) AS map_location,
        string_agg(CAST(no_repeat_cus AS VARCHAR), ',' ORDER BY location) AS no_repeat_cus,
        {text("latitude", 3, "location")} AS latitude, {text("longitude", 3, "location")} AS longitude
 FROM location_geo"""),
-    "published_tables": on_lines(
+    "publish": on_lines(
         " UNION ALL ".join(
             f"SELECT '{name}' AS table_name, count(*) AS table_rows FROM {view}"
             for name, view in PUBLISHED.items()

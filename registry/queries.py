@@ -27,7 +27,7 @@ from custvalue.operators import (
     weekday,
 )
 from custvalue.operators.periods import Period
-from custvalue.plans import documents, payload, publish, report_tables, scored_clv
+from custvalue.plans import documents, payload, report_tables, reports, scored_clv
 from registry import fixtures as fx
 from registry.fixtures import RULES, Tables
 
@@ -482,9 +482,9 @@ def report_payload(t):
 
 
 @query
-def published_tables(t):
+def publish(t):
     path = f"{ensure_checkpoint_dir(t.spark)}/published-{uuid.uuid4().hex}"
-    tables = publish(fx.line_inputs(t), path, RULES)
+    tables = reports.publish(fx.line_inputs(t), path, RULES)
     counts = [
         df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("table_rows"))
         for name, df in tables.items()

@@ -1,8 +1,12 @@
 import datetime as dt
+import json
 
 from pyspark.sql import functions as F
 
 from custvalue.operators import cleaning
+from custvalue.operators.periods import Period
+from custvalue.operators.scoring import LinearModel
+from custvalue.plans import Inputs, documents, load_reports, publish
 from custvalue.sources import (
     CONTACTS,
     TRANSACTIONS,
@@ -10,6 +14,7 @@ from custvalue.sources import (
     read_geo,
     read_table,
     read_transactions,
+    venue_coordinates,
     write_json,
     write_table,
 )
@@ -23,12 +28,16 @@ def test_transactions_from_csv(spark, tmp_path):
         '"The Hare, Old",7,2022-04-30 18:22:01,x,12.5,Web\n'
         "NaN,8,2022-04-29 00:00:00,x,-3,n/a\n"
         ",NA,2022-04-28,,null,App\n"
+        "B,9007199254740993,2022-04-28,,1,App\n"
+        "B,12.0,2022-04-28,,1,App\n"
     )
     tx = read_transactions(spark, str(path))
     assert [(f.name, f.dataType) for f in tx.schema] == [(f.name, f.dataType) for f in TRANSACTIONS]
-    assert rows_of(tx) == [
+    assert sorted(rows_of(tx), key=lambda r: (r[0] is None, r[0])) == [
         (7, dt.date(2022, 4, 30), "Web", "The Hare, Old", 12.5),
         (8, dt.date(2022, 4, 29), None, None, -3.0),
+        (12, dt.date(2022, 4, 28), "App", "B", 1.0),
+        (9007199254740993, dt.date(2022, 4, 28), "App", "B", 1.0),
         (None, dt.date(2022, 4, 28), "App", None, None),
     ]
     assert cleaning.as_of(tx).first()[0] == dt.date(2022, 4, 30)
@@ -72,3 +81,34 @@ def test_written_table_keeps_types_and_prunes_partitions(spark, tmp_path):
 def test_json_sink_keeps_missing_values(spark, tmp_path):
     write_json(spark.createDataFrame([(None, 1)], "a string, b int"), str(tmp_path / "j"))
     assert [r.value for r in spark.read.text(str(tmp_path / "j")).collect()] == ['{"a":null,"b":1}']
+
+
+def test_files_to_dashboard(spark, tmp_path):
+    """From the two source files to the document of one venue, all defaults."""
+    lines = ["CtcID,OrderDate,Source,Location,Transactional Value"]
+    for customer in range(40):
+        for visit in range(1 + customer % 4):
+            day = dt.date(2021, 1 + customer % 12, 1 + 7 * visit)
+            place = "The Sun Inn" if customer % 3 else "Reigate"
+            lines.append(f"{customer},{day} 12:00:00,Web,{place},{10 + customer}")
+    (tmp_path / "tx.csv").write_text("\n".join(lines) + "\n")
+    (tmp_path / "contacts.csv").write_text(
+        "CtcID,PostCode,Age,BirthDate,Age Category\n"
+        + "".join(f"{c},,,,{'18-24' if c % 2 else '25-34'}\n" for c in range(30))
+    )
+    inputs = Inputs(
+        read_transactions(spark, str(tmp_path / "tx.csv")),
+        read_contacts(spark, str(tmp_path / "contacts.csv")),
+        venue_coordinates(spark),
+        LinearModel(5, {"value": 1.5}),
+        LinearModel(100, {"day_of_week": 3}),
+    )
+    publish(inputs, str(tmp_path / "reports"))
+    reports = load_reports(spark, str(tmp_path / "reports"))
+    row = documents.dashboard(reports, "The Sun Inn", Period.from_params())
+    doc = json.loads(documents.as_json(row).first()[0])
+    graph = doc["prediction_graph"]
+    assert len(graph["day_of_year"]) == 395 and graph["map_location"] == ["Reigate", "The Sun Inn"]
+    assert doc["all_cus_clv"]["users"] == 26
+    assert doc["analytics_graph"]["age_category"] == ["18-24", "25-34"]
+    assert doc["executive_summary"]["orders_prev"] == "-"
