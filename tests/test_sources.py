@@ -103,7 +103,8 @@ def test_files_to_dashboard(spark, tmp_path):
         LinearModel(5, {"value": 1.5}),
         LinearModel(100, {"day_of_week": 3}),
     )
-    publish(inputs, str(tmp_path / "reports"))
+    written = publish(inputs, str(tmp_path / "reports"), with_transactions=True)
+    assert rows_of(written["transactions"]) == rows_of(inputs.transactions)
     reports = load_reports(spark, str(tmp_path / "reports"))
     row = documents.dashboard(reports, "The Sun Inn", Period.from_params())
     doc = json.loads(documents.as_json(row).first()[0])
