@@ -11,7 +11,6 @@ SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
-    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     # The heavy aggregates find few equal rows per task, so the small first-level map only costs:
     # without it the distinct sets ran about 30 % faster on 24 million rows, the rest as before.
     "spark.sql.codegen.aggregate.map.twolevel.enabled": "false",
