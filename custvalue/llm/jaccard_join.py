@@ -46,11 +46,6 @@ def _size_class(sizes: np.ndarray) -> np.ndarray:
     return (np.log(np.maximum(sizes, 1)) / math.log(1.1)).astype(np.uint8)
 
 
-def _range_of(values: np.ndarray, parts: int) -> np.ndarray:
-    """Which of ``parts`` equal ranges a hash falls into, by bits that the packed key leaves out."""
-    return ((values >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.uint16)
-
-
 def _pack(size: int, parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokens.Words()
@@ -67,7 +62,7 @@ def _pack(size: int, parts: int):
             values = np.concatenate(sets)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), counts)
             classes = np.repeat(_size_class(counts), counts)
-            part = _range_of(values, parts)
+            part = tokens.range_of(values, parts)
             order = np.argsort(part, kind="stable")
             part, values, doc, classes = part[order], values[order], doc[order], classes[order]
             at = np.flatnonzero(np.diff(part, prepend=-1))

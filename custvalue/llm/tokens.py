@@ -150,6 +150,11 @@ def shingles(words: np.ndarray, ranges: np.ndarray, size: int = 5):
     return mix(values[keep]), out
 
 
+def range_of(values: np.ndarray, parts: int) -> np.ndarray:
+    """Which of ``parts`` equal ranges hashes fall into, by the 24 bits above the low 40."""
+    return ((values >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.uint16)
+
+
 def pack_low(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of 64-bit values."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
