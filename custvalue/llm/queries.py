@@ -6,7 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from custvalue.llm.decontamination import contaminated
 from custvalue.llm.jaccard_join import jaccard_components
+from custvalue.llm.license_scan import license_scan
+from custvalue.llm.packing import pack
+from custvalue.llm.quality_rules import QUALITY_RULES_SQL, quality_rules
+from custvalue.llm.sharding import ring_shards
+from custvalue.llm.suffix_dedup import remove_repeats
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,14 +21,53 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's place in training sequences of 512 to 8192 tokens."""
+    return pack(_table(spark, sf_dir, "documents"))
+
+
 def op2_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 5-word shingle sets have a Jaccard similarity of 0.75 or more."""
     return jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without 100-byte strings that start earlier, too."""
+    found = remove_repeats(_table(spark, sf_dir, "documents"), length=100)
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
+def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain three quarters or more of a benchmark item's 5-word shingles."""
+    return contaminated(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
+def op5_ring_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards whose row counts differ by one at most."""
+    return ring_shards(_table(spark, sf_dir, "documents"), shards=40).drop("home_shard")
+
+
+def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices of every document."""
+    return license_scan(_table(spark, sf_dir, "documents"))
+
+
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and verdict of the quality rules for every document."""
+    return quality_rules(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
+    "op1_best_fit_packing": op1_best_fit_packing,
     "op2_jaccard_join": op2_jaccard_join,
+    "op3_suffix_dedup": op3_suffix_dedup,
+    "op4_decontamination": op4_decontamination,
+    "op5_ring_sharding": op5_ring_sharding,
+    "op6_license_scan": op6_license_scan,
+    "op9_quality_rules": op9_quality_rules,
 }
 
 # Operators that SQL can express. The others are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op9_quality_rules": QUALITY_RULES_SQL,
+}
