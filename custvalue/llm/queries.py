@@ -10,6 +10,7 @@ from custvalue.llm.decontamination import contaminated
 from custvalue.llm.jaccard_join import jaccard_components
 from custvalue.llm.license_scan import license_scan
 from custvalue.llm.packing import pack
+from custvalue.llm.passage_dedup import repeated_passages
 from custvalue.llm.quality_rules import QUALITY_RULES_SQL, quality_rules
 from custvalue.llm.sharding import ring_shards
 from custvalue.llm.suffix_dedup import remove_repeats
@@ -57,6 +58,11 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(_table(spark, sf_dir, "documents"))
 
 
+def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of 50 words or more, four fifths equal, that an earlier document has, too."""
+    return repeated_passages(_table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -65,6 +71,7 @@ QUERIES: dict[str, Query] = {
     "op5_ring_sharding": op5_ring_sharding,
     "op6_license_scan": op6_license_scan,
     "op9_quality_rules": op9_quality_rules,
+    "op10_passage_dedup": op10_passage_dedup,
 }
 
 # Operators that SQL can express. The others are tested against brute force in tests/llm.
