@@ -106,7 +106,13 @@ class Words:
 
     def hash(self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """A 64-bit hash of the bytes between each start and end (ends must not fall)."""
-        out = np.empty(len(starts), np.uint64)
+        return self.hash_prefixes(low, starts, ends, ())[0]
+
+    def hash_prefixes(
+        self, low: np.ndarray, starts: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]
+    ) -> list[np.ndarray]:
+        """The hashes of the words, then of their first ``sizes`` bytes (of the word, if shorter)."""
+        out = [np.empty(len(starts), np.uint64) for _ in range(len(sizes) + 1)]
         i = 0
         while i < len(starts):
             j = max(i + 1, int(np.searchsorted(ends, starts[i] + PIECE_BYTES, "right")))
@@ -116,9 +122,12 @@ class Words:
             sums = np.zeros(size + 1, np.uint64)
             np.cumsum(self.salt[low[base : base + size]] * self.power[:size], out=sums[1:])
             a, b = starts[i:j] - base, ends[i:j] - base
-            out[i:j] = (sums[b] - sums[a]) * self.inverse[a]
+            begin, back = sums[a], self.inverse[a]
+            out[0][i:j] = (sums[b] - begin) * back
+            for values, width in zip(out[1:], sizes):
+                values[i:j] = (sums[np.minimum(a + width, b)] - begin) * back
             i = j
-        return mix(out)
+        return [mix(values) for values in out]
 
 
 def shingles(words: np.ndarray, ranges: np.ndarray, size: int = 5):
