@@ -11,9 +11,11 @@ from custvalue.llm.jaccard_join import jaccard_components
 from custvalue.llm.license_scan import license_scan
 from custvalue.llm.packing import pack
 from custvalue.llm.passage_dedup import repeated_passages
+from custvalue.llm.quality_model import quality_scores
 from custvalue.llm.quality_rules import QUALITY_RULES_SQL, quality_rules
 from custvalue.llm.sharding import ring_shards
 from custvalue.llm.suffix_dedup import remove_repeats
+from custvalue.llm.toxicity import toxicity
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -53,6 +55,16 @@ def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(_table(spark, sf_dir, "documents"))
 
 
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document by the clause grammar, learned outside the held-out fold."""
+    return toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
+def op8_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document by attention over its passages, learned outside the held-out fold."""
+    return quality_scores(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and verdict of the quality rules for every document."""
     return quality_rules(_table(spark, sf_dir, "documents"))
@@ -70,6 +82,8 @@ QUERIES: dict[str, Query] = {
     "op4_decontamination": op4_decontamination,
     "op5_ring_sharding": op5_ring_sharding,
     "op6_license_scan": op6_license_scan,
+    "op7_toxicity": op7_toxicity,
+    "op8_quality_model": op8_quality_model,
     "op9_quality_rules": op9_quality_rules,
     "op10_passage_dedup": op10_passage_dedup,
 }
