@@ -86,28 +86,35 @@ def contained(own: np.ndarray, partitions: list[Partition], percent: int) -> lis
     return out
 
 
-def _search(partitions: list[Partition], items: pa.Array, size: int, percent: int):
-    every = np.unique(np.concatenate([p.minima for p in partitions]))
-
+class Finder:
+    """Looks for the items of some partitions in batches of texts."""
+
+    def __init__(self, partitions: list[Partition], size: int, percent: int):
+        self.partitions, self.size, self.percent = partitions, size, percent
+        self.every = np.unique(np.concatenate([p.minima for p in partitions]))
+
+    def find(self, column: pa.Array, words: tokens.Words) -> Iterator[tuple[int, int, int, int]]:
+        """``(row, item, shared, size)`` of the contaminated pairs."""
+        data, bounds = tokens.texts(column)
+        for first, last in tokens.pieces(bounds):
+            begin, end = bounds[first], bounds[last]
+            low, starts, ends, ranges = words.find(data[begin:end], bounds[first : last + 1] - begin)
+            values, ranges = tokens.shingles(words.hash(low, starts, ends), ranges, self.size)
+            # Most documents hold no minimum at all; one pass over the run finds the others.
+            at = np.minimum(np.searchsorted(self.every, values), len(self.every) - 1)
+            hits = np.flatnonzero(self.every[at] == values)
+            for d in np.unique(np.searchsorted(ranges, hits, "right") - 1):
+                own = np.unique(values[ranges[d] : ranges[d + 1]])
+                for item, shared, total in contained(own, self.partitions, self.percent):
+                    yield first + int(d), item, shared, total
+
+
+def _search(finder: Finder, items: pa.Array):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokens.Words()
         for batch in batches:
-            data, bounds = tokens.texts(batch.column(1))
-            docs, item, shared, sizes = [], [], [], []
-            for first, last in tokens.pieces(bounds):
-                begin, end = bounds[first], bounds[last]
-                low, starts, ends, ranges = words.find(data[begin:end], bounds[first : last + 1] - begin)
-                values, ranges = tokens.shingles(words.hash(low, starts, ends), ranges, size)
-                # Most documents hold no minimum at all; one pass over the run finds the others.
-                at = np.minimum(np.searchsorted(every, values), len(every) - 1)
-                hits = np.flatnonzero(every[at] == values)
-                for d in np.unique(np.searchsorted(ranges, hits, "right") - 1):
-                    own = np.unique(values[ranges[d] : ranges[d + 1]])
-                    for i, n, total in contained(own, partitions, percent):
-                        docs.append(first + int(d))
-                        item.append(i)
-                        shared.append(n)
-                        sizes.append(total)
+            found = list(finder.find(batch.column(1), words))
+            docs, item, shared, sizes = (list(c) for c in zip(*found)) if found else ([], [], [], [])
             yield pa.record_batch([
                 batch.column(0).take(pa.array(docs, pa.int64())).cast(pa.int64()),
                 items.take(pa.array(item, pa.int64())).cast(pa.int64()),
@@ -144,14 +151,49 @@ def contaminated(
     null. Other columns are not used, whatever their names. An empty table gives an empty result.
     Documents are read whole.
     """
-    percent = round(threshold * 100)
     docs = docs.select("doc_id", "text").where("text IS NOT NULL")
-    found = []
-    for table in _blocks(benchmark, block_bytes):
-        partitions = item_partitions(table, size, percent)
-        if partitions:
-            names = table.column(0).combine_chunks()
-            found.append(docs.mapInArrow(_search(partitions, names, size, percent), SCHEMA))
+    found = [
+        docs.mapInArrow(_search(finder, items), SCHEMA)
+        for finder, items in _finders(benchmark, size, threshold, block_bytes)
+    ]
     if not found:
         return docs.sparkSession.createDataFrame([], SCHEMA)
     return reduce(DataFrame.union, found)
+
+
+def _finders(benchmark: DataFrame, size: int, threshold: float, block_bytes: int) -> Iterator[tuple[Finder, pa.Array]]:
+    percent = round(threshold * 100)
+    for table in _blocks(benchmark, block_bytes):
+        partitions = item_partitions(table, size, percent)
+        if partitions:
+            yield Finder(partitions, size, percent), table.column(0).combine_chunks()
+
+
+def clean_documents(
+    docs: DataFrame,
+    benchmark: DataFrame,
+    size: int = 5,
+    threshold: float = 0.75,
+    block_bytes: int = BLOCK_BYTES,
+) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that contain no item as :func:`contaminated` has it.
+
+    Rows pass through one filter per block of the benchmark, without a shuffle. Null and empty texts
+    stay.
+    """
+    text = docs.columns.index("text")
+    schema = docs.schema
+
+    def without(finder: Finder):
+        def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            words = tokens.Words()
+            for batch in batches:
+                keep = np.ones(batch.num_rows, bool)
+                keep[[row for row, *_ in finder.find(batch.column(text), words)]] = False
+                yield batch.filter(pa.array(keep))
+
+        return rows
+
+    for finder, _ in _finders(benchmark, size, threshold, block_bytes):
+        docs = docs.mapInArrow(without(finder), schema)
+    return docs
