@@ -322,3 +322,14 @@ def jaccard_components(
     owners = materialise_small(owners)
     result = sets.select("doc_id", F.col("n").alias("n_shingles")).join(owners, "doc_id", "left")
     return result.select("doc_id", "n_shingles", F.coalesce("top", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
+    """The rows of ``docs``, with all their columns, that stand for their component.
+
+    The document with the smallest doc_id stays. Rows that share a doc_id stay or go together; rows
+    without one stay.
+    """
+    found = jaccard_components(docs, size, threshold)
+    others = found.where("doc_id <> component_id").select("doc_id").distinct()
+    return docs.join(others.hint("shuffle_hash"), "doc_id", "left_anti").select(*docs.columns)
