@@ -1,0 +1,60 @@
+"""Words and shingles of whole texts against plain Python."""
+
+import random
+import re
+
+import numpy as np
+import pyarrow as pa
+import pytest
+
+from custvalue.llm import tokens
+from tests.llm.conftest import lower
+
+rng = random.Random(1)
+TEXTS = ["".join(rng.choice("abAB \t\n\x0b é1#") for _ in range(rng.randrange(60))) for _ in range(300)]
+TEXTS += ["", None, "x", "a b", "a b c d e"]
+KINDS = [
+    (tokens.SPACED, rb"[^\x20\x09-\x0D]+"),
+    (tokens.ALNUM, rb"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"),
+]
+
+
+@pytest.mark.parametrize("kind, pattern", KINDS)
+def test_words_and_shingles(kind, pattern):
+    finder = tokens.Words(kind)
+    low, starts, ends, ranges = finder.find(*tokens.texts(pa.array(TEXTS)))
+    hashes = finder.hash(low, starts, ends)
+    values, spans = tokens.shingles(hashes, ranges)
+    word_hash, shingle_hash = {}, {}
+    for d, text in enumerate(TEXTS):
+        words = re.findall(pattern, lower(text).encode())
+        assert words == [low[starts[i] : ends[i]].tobytes() for i in range(ranges[d], ranges[d + 1])]
+        for word, h in zip(words, hashes[ranges[d] :]):
+            assert word_hash.setdefault(word, h) == h
+        runs = [tuple(words[i : i + 5]) for i in range(len(words) - 4)] or ([tuple(words)] if words else [])
+        assert len(runs) == spans[d + 1] - spans[d]
+        for run, h in zip(runs, values[spans[d] :]):
+            assert shingle_hash.setdefault(run, h) == h
+    assert len(set(word_hash.values())) == len(word_hash)
+    assert len(set(shingle_hash.values())) == len(shingle_hash)
+
+
+def test_long_words_and_texts_need_several_steps(monkeypatch):
+    text = "a" * 5_000 + " " + "bc " * 3_000
+    whole = tokens.Words()
+    expected = whole.hash(*whole.find(*tokens.texts(pa.array([text])))[:3])
+    monkeypatch.setattr(tokens, "PIECE_BYTES", 64)
+    small = tokens.Words()
+    assert (small.hash(*small.find(*tokens.texts(pa.array([text])))[:3]) == expected).all()
+
+
+def test_slices_and_empty_columns():
+    data, bounds = tokens.texts(pa.array(["ab", None, "cde", ""]).slice(1, 2))
+    assert data.tobytes() == b"cde" and bounds.tolist() == [0, 0, 3]
+    assert tokens.texts(pa.array([], pa.string()))[1].tolist() == [0]
+    assert list(tokens.pieces(np.array([0, 3, 3, 10, 11]), 5)) == [(0, 2), (2, 3), (3, 4)]
+
+
+def test_packing_keeps_the_low_bytes():
+    values = np.array([0, 1, 2**40 - 1, 2**63], np.uint64)
+    assert tokens.unpack_low(tokens.pack_low(values, 5), 5).tolist() == [0, 1, 2**40 - 1, 0]
