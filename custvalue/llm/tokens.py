@@ -141,7 +141,7 @@ def shingles(words: np.ndarray, ranges: np.ndarray, size: int = 5):
     if total == 0:
         return np.zeros(0, np.uint64), np.zeros(len(ranges), np.int64)
     values = np.zeros(total, np.uint64)
-    for j in range(size):
+    for j in range(min(size, total)):
         values[: total - j] += words[j:] * factors[j]
     keep = np.ones(total, bool)
     for j in range(1, size):

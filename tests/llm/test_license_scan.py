@@ -1,0 +1,77 @@
+"""License phrases against plain search, and notices with changes."""
+
+import pytest
+
+from custvalue.llm.license_scan import TEMPLATES, Template, license_scan, template_index, words_of
+from custvalue.llm.queries import op6_license_scan
+from tests.llm.conftest import SF
+
+PHRASES = (("mit", "mit license"), ("apache", "apache license"), ("gpl", "general public license"))
+
+
+def base(text):
+    words = words_of(text or "")
+    places = [
+        (p, label) for label, phrase in PHRASES for p in range(len(words))
+        if words[p : p + len(phrase.split())] == phrase.split()
+    ]
+    starts = [p for p, _ in places]
+    labels = ",".join(sorted({label for _, label in places}))
+    return len(words), len(places), min(starts, default=None), max(starts, default=None), labels
+
+
+def scan(corpus, rows):
+    return {r.doc_id: r for r in license_scan(corpus(rows)).collect()}
+
+
+NOTICES = {t.label + str(n): t for n, t in enumerate(TEMPLATES) if not t.base}
+
+
+@pytest.mark.parametrize("name", NOTICES)
+def test_notices_with_lost_and_added_words(corpus, name):
+    template = NOTICES[name]
+    words = template.text.split()
+    middle = len(words) // 2
+    texts = {
+        1: "Some words before. " + template.text.upper() + ", and after",
+        2: " ".join(words[:middle] + ["indeed"] + words[middle:]),
+        3: " ".join(words[: len(words) // 3]),
+    }
+    rows = scan(corpus, list(texts.items()))
+    assert template.label in rows[1].labels.split(",") and rows[1].score == 1.0
+    if len(words) >= 15:
+        assert template.label in rows[2].labels.split(",") and 0.75 <= rows[2].score
+    assert rows[3].score < 0.75 or rows[3].n_base
+
+
+def test_base_places(corpus, odd_rows):
+    rows = [
+        (1, "MIT License, mit-license; the MIT\nLicense and mit licenses"), (2, "General Public License GPL apache license"),
+        (3, "general public general public license license"), (4, "mit. license"), (5, "mitlicense"), (6, "mit élicense"),
+        (7, "mit license"), (8, "license mit"), (9, "mit"),
+    ]
+    rows += [(i if i is None else i + 100, t) for i, t in odd_rows]
+    result = license_scan(corpus(rows)).collect()
+    got = sorted(((r.doc_id, *r[1:6]) for r in result), key=repr)
+    assert got == sorted(((i, *base(t)) for i, t in rows), key=repr)
+    assert all(set(r.base_labels.split(",")) <= {*r.labels.split(","), ""} and 0 <= r.score <= 1 for r in result)
+
+
+def test_phrases_do_not_cross_documents(corpus):
+    rows = scan(corpus, [(i, t) for i, t in enumerate(["the mit", "license x", "general public", "license"])])
+    assert all(r.n_base == 0 for r in rows.values())
+
+
+def test_empty_table(corpus):
+    assert license_scan(corpus([])).collect() == []
+
+
+def test_templates_of_one_word_are_refused(spark):
+    with pytest.raises(ValueError, match="two words"):
+        template_index(spark, (Template("x", "word"),))
+
+
+def test_query_over_a_whole_table(spark):
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
+    result = op6_license_scan(spark, SF).collect()
+    assert {r.doc_id: tuple(r[1:6]) for r in result} == {i: base(t) for i, t in docs.items()}

@@ -1,0 +1,62 @@
+"""Counts against plain Python, and the query against its SQL twin."""
+
+import re
+from collections import Counter
+
+import duckdb
+import pytest
+
+from custvalue.llm.queries import ORACLE, op9_quality_rules
+from custvalue.llm.quality_rules import RULES, Rule, quality_rules
+from tests.llm.conftest import SF, SPACED
+
+
+def counts(text):
+    text = text or ""
+    words = SPACED.findall(text)
+    runs = Counter(tuple(words[i : i + 3]) for i in range(len(words) - 2))
+    repeated = {i + k for i in range(len(words) - 2) if runs[tuple(words[i : i + 3])] > 1 for k in range(3)}
+    lines = [line for line in text.split("\n") if SPACED.search(line)]
+    return (
+        len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(repeated)
+    )
+
+
+def test_counts(corpus, odd_rows):
+    rows = odd_rows + [
+        (20, "a b c a b c a"), (21, "x\nx\n \n\n x\nx"), (22, "# & <é> | \U0001f600 *"), (23, "la la la la la"),
+        (24, "a b c d a b c x a b c"), (25, "one\ttwo\x0bthree\x0cfour\rfive\x1fsix\x85seven"),
+    ]
+    result = quality_rules(corpus(rows)).collect()
+    got = sorted(((r.doc_id, *r[1:6], r.base_failed) for r in result), key=repr)
+    expected = []
+    for i, text in rows:
+        n = counts(text)
+        expected.append((i, *n, n[0] < 50 or 100 * n[4] > 50 * n[0]))
+    assert got == sorted(expected, key=repr)
+    assert not any(r.kept and r.base_failed for r in result)
+
+
+def test_rules_come_from_the_table(corpus):
+    text = " ".join(f"the word{n}" for n in range(40))
+    docs = corpus([(1, text), (2, text + " #" * 40), (3, " ".join(f"x{n}" for n in range(60)))])
+    broken = {r.doc_id: (r.kept, r.broken_rules) for r in quality_rules(docs).collect()}
+    assert broken == {1: (True, ""), 2: (False, "symbols"), 3: (False, "stop_words")}
+    strict = (*RULES, Rule("few_words", "n_words", "one", None, 6_000))
+    assert {r.doc_id: r.broken_rules for r in quality_rules(docs, strict).collect()}[1] == "few_words"
+
+
+def test_empty_table(corpus):
+    assert quality_rules(corpus([])).collect() == []
+
+
+@pytest.mark.parametrize("path", [SF, "/root/testdata/sf0.01"])
+def test_query_and_its_twin(spark, path):
+    df = op9_quality_rules(spark, path)
+    connection = duckdb.connect()
+    connection.execute(f"CREATE VIEW documents AS SELECT * FROM '{path}/documents.parquet'")
+    twin = connection.execute(ORACLE["op9_quality_rules"])
+    assert [c[0] for c in twin.description] == df.columns
+    assert sorted((tuple(r) for r in df.collect()), key=repr) == sorted(twin.fetchall(), key=repr)
+    plan = df._jdf.queryExecution().toString()
+    assert "Python" not in plan and "Exchange" not in plan

@@ -58,3 +58,11 @@ def test_slices_and_empty_columns():
 def test_packing_keeps_the_low_bytes():
     values = np.array([0, 1, 2**40 - 1, 2**63], np.uint64)
     assert tokens.unpack_low(tokens.pack_low(values, 5), 5).tolist() == [0, 1, 2**40 - 1, 0]
+
+
+@pytest.mark.parametrize("count", range(5))
+def test_a_run_of_fewer_words_than_a_shingle(count):
+    finder = tokens.Words()
+    low, starts, ends, ranges = finder.find(*tokens.texts(pa.array([" ".join("abcd"[:count])])))
+    values, spans = tokens.shingles(finder.hash(low, starts, ends), ranges)
+    assert len(values) == min(count, 1) and spans.tolist() == [0, min(count, 1)]
