@@ -60,8 +60,8 @@ SCOPE = 3  # words after a negation that it denies
 OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
 # Prior weights of the outcomes, and of a document without any.
 PRIORS = {
-    "insult": 1.5, "targeted insult": 2.0, "denied insult": 0.7, "reported insult": 0.7,
-    "threat": 0.1, "targeted threat": 0.3, "denied threat": 0.0, "reported threat": 0.0,
+    "insult": 4.5, "targeted insult": 6.0, "denied insult": 2.0, "reported insult": 2.0,
+    "threat": 0.5, "targeted threat": 3.0, "denied threat": 0.0, "reported threat": 0.0,
 }
 OUTCOMES = tuple(PRIORS)
 BIAS = -3.0
