@@ -1,6 +1,7 @@
 import datetime as dt
 import json
 
+import pytest
 from pyspark.sql import functions as F
 
 from custvalue.operators import cleaning
@@ -43,6 +44,49 @@ def test_transactions_from_csv(spark, tmp_path):
     assert cleaning.as_of(tx).first()[0] == dt.date(2022, 4, 30)
 
 
+HEADER = "CtcID,OrderDate,Source,Location,Transactional Value"
+
+
+def test_a_file_with_another_column_order_raises(spark, tmp_path):
+    (tmp_path / "a.csv").write_text(f"{HEADER}\n1,2022-01-01,web,PLACE,3\n")
+    (tmp_path / "b.csv").write_text("CtcID,OrderDate,Location,Source,Transactional Value\n2,2022-01-01,PLACE,web,3\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        read_transactions(spark, str(tmp_path)).collect()
+
+
+def test_files_with_one_header_read_together(spark, tmp_path):
+    for name in "abc":
+        (tmp_path / f"{name}.csv").write_text(f"{HEADER}\n1,2022-01-01,{name},PLACE,3\n")
+    assert rows_of(read_transactions(spark, str(tmp_path)), "source", "location") == [(n, "PLACE") for n in "abc"]
+
+
+@pytest.mark.parametrize("number", ["12.7", "1e3", "x", "99999999999999999999"])
+def test_an_id_that_is_no_whole_number_raises(spark, tmp_path, number):
+    (tmp_path / "a.csv").write_text(f"{HEADER}\n{number},2022-01-01,web,PLACE,3\n")
+    with pytest.raises(Exception, match="not a whole number"):
+        read_transactions(spark, str(tmp_path)).collect()
+
+
+@pytest.mark.parametrize("number, expected", [("9007199254740993.0", 9007199254740993), (" -7.00 ", -7), ("+5", 5)])
+def test_long_ids_written_with_zeros_stay_exact(spark, tmp_path, number, expected):
+    (tmp_path / "a.csv").write_text(f"{HEADER}\n{number},2022-01-01,web,PLACE,3\n")
+    assert rows_of(read_transactions(spark, str(tmp_path)), "ctc_id") == [(expected,)]
+
+
+def test_typed_formats_keep_their_texts(spark, tmp_path):
+    path = str(tmp_path / "tx")
+    kinds = "ctc_id double, order_date date, source string, location string, value double"
+    rows = [(12.0, dt.date(2022, 1, 1), "nan", "NA", 1.0), (float("nan"), dt.date(2022, 1, 1), "", "null", 2.0)]
+    spark.createDataFrame(rows, kinds).write.parquet(path)
+    assert rows_of(read_transactions(spark, path, "parquet"), "ctc_id", "source", "location") == [
+        (12, "nan", "NA"), (None, "", "null"),
+    ]
+    for wrong in (12.7, 2.0**60):
+        spark.createDataFrame([(wrong, None, "a", "b", 1.0)], kinds).write.mode("overwrite").parquet(path)
+        with pytest.raises(Exception, match="not a whole number"):
+            read_transactions(spark, path, "parquet").collect()
+
+
 def test_contacts_from_csv(spark, tmp_path):
     path = tmp_path / "contacts.csv"
     path.write_text(
