@@ -4,9 +4,15 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+from custvalue.functions.files import remove
+
+_jobs: list[str] = []  # folders of the running jobs, the innermost last
+
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """The session's checkpoint folder; a temporary one is made only for a local master."""
@@ -23,21 +29,33 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """Tables materialised inside the block share one folder, which goes at its end, come what may.
+
+    For jobs that write their results: a frame that still reads a materialised table must not leave
+    the block. One job runs at a time in a session; its own threads share the folder.
+    """
+    folder = f"{ensure_checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
+    _jobs.append(folder)
+    try:
+        yield folder
+    finally:
+        _jobs.remove(folder)
+        remove(spark, folder)
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a table in the checkpoint folder and read that from here on.
 
     For a frame that several passes must see with the very same values: sums of doubles can
     differ in the last bit from one evaluation to the next. A Parquet table beats
-    ``checkpoint()`` for large frames, as each pass reads only its own columns and Spark knows the
-    size. The tables stay until the folder is cleaned.
+    ``checkpoint()``: each pass reads only its own columns, Spark knows the size, and size
+    estimates do not pile up over rounds. The tables stay until the folder is cleaned, or until
+    the end of the :func:`scratch` block they were made in.
     """
     spark = df.sparkSession
-    path = f"{ensure_checkpoint_dir(spark)}/table-{uuid.uuid4().hex}"
+    folder = _jobs[-1] if _jobs else ensure_checkpoint_dir(spark)
+    path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
-
-
-def materialise_small(df: DataFrame) -> DataFrame:
-    """The same for a frame of a few rows per group, by ``checkpoint()``: less overhead."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)

@@ -3,7 +3,8 @@
 import pytest
 from pyspark.sql import functions as F
 
-from custvalue.functions.materialise import ensure_checkpoint_dir, materialise, materialise_small
+from custvalue.functions.files import exists
+from custvalue.functions.materialise import ensure_checkpoint_dir, materialise, scratch
 from custvalue.operators import age, cleaning, features
 from tests.conftest import rows_of
 
@@ -72,4 +73,16 @@ def test_stored_tables_live_in_the_checkpoint_folder(spark):
     folder = ensure_checkpoint_dir(spark).removeprefix("file:")
     table = materialise(df)
     assert table.inputFiles() and all(folder in file for file in table.inputFiles())
-    assert rows_of(table) == rows_of(materialise_small(df)) == rows_of(df)
+    assert rows_of(table) == rows_of(df)
+
+
+def test_a_jobs_tables_go_at_its_end_also_on_failure(spark):
+    with scratch(spark) as folder:
+        inner = materialise(spark.range(5))
+        assert inner.count() == 5 and exists(spark, folder)
+    assert not exists(spark, folder)
+    with pytest.raises(RuntimeError), scratch(spark) as folder:
+        materialise(spark.range(5))
+        raise RuntimeError
+    assert not exists(spark, folder)
+    assert folder not in materialise(spark.range(1)).inputFiles()[0]
