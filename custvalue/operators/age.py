@@ -16,11 +16,11 @@ GROUP = ("age_category", "location")
 
 
 def visits(tx: DataFrame) -> DataFrame:
-    """Value per customer, location, day and source."""
+    """Value per customer, location, day and source, and ``entries``, how many rows it sums up."""
     return (
         distinct_rows(tx, ALL_COLUMNS)
         .groupBy("ctc_id", "location", "order_date", "source")
-        .agg(F.sum("value").alias("value"))
+        .agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("entries"))
     )
 
 

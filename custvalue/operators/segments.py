@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from custvalue.functions.materialise import materialise
 from custvalue.functions.rounding import decimal_sum, exact_mean, half_even
 from custvalue.operators.spenders import SIDES, spender_flags, spenders
 from custvalue.rules import DEFAULT_RULES, Rules
@@ -53,8 +54,12 @@ def _conditions(clv: DataFrame, rules: Rules) -> dict[str, Column]:
 
 
 def segment(clv: DataFrame, name: str, rules: Rules = DEFAULT_RULES) -> DataFrame:
-    """One segment's metrics per location; columns carry the segment's prefix."""
+    """One segment's metrics per location; columns carry the segment's prefix.
+
+    For the top and low spenders ``clv`` is materialised, so its features are computed once.
+    """
     if name in SIDES:
+        clv = materialise(clv)  # read for the totals and again for their members
         members = clv.join(spenders(clv, name, rules).select("ctc_id"), "ctc_id", "left_semi")
     else:
         members = clv.filter(_conditions(clv, rules)[name])

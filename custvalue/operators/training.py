@@ -2,17 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
 from pyspark.ml.regression import LinearRegression
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custvalue.functions.dates import CALENDAR_COLUMNS, DateLike, as_date
+from custvalue.functions.files import exists, remove
 from custvalue.operators.cleaning import NO_SOURCE, distinct_rows
 from custvalue.operators.features import rfm
+from custvalue.operators.scoring import LinearModel, Model
+
+LINEAR = "linear"  # the folder of a linear formula inside a model's folder
 
 CLV_FEATURES = ("no_visit", "value", "customer_age", "recency", "days_since_last_visit")
+# customer_age = recency + days_since_last_visit in every row, so a linear model leaves one out.
+LINEAR_CLV_FEATURES = ("no_visit", "value", "recency", "days_since_last_visit")
 
 
 def clv_training_set(tx: DataFrame, cutoff: DateLike, horizon_days: int = 90) -> DataFrame:
@@ -28,12 +36,26 @@ def clv_training_set(tx: DataFrame, cutoff: DateLike, horizon_days: int = 90) ->
     return features.join(spend, ["ctc_id", "location"], "left").na.fill(0.0, "target")
 
 
-def fit_clv_model(training: DataFrame, estimator: Estimator | None = None) -> PipelineModel:
-    """Fit a value model on the visit features and the location."""
-    encoded = [
+def fit_clv_model(
+    training: DataFrame,
+    estimator: Estimator | None = None,
+    features: Sequence[str] | None = None,
+    with_location: bool = True,
+) -> PipelineModel:
+    """Fit a value model on the visit features and, unless left out, the location.
+
+    The default estimator is linear and takes linearly independent features; another one gets all
+    features, of which trees can use any.
+    """
+    features = features or (CLV_FEATURES if estimator else LINEAR_CLV_FEATURES)
+    place = [
         StringIndexer(inputCol="location", outputCol="_place", handleInvalid="keep"),
         OneHotEncoder(inputCol="_place", outputCol="_place_vector"),
-        VectorAssembler(inputCols=[*CLV_FEATURES, "_place_vector"], outputCol="_features"),
+    ]
+    columns = [*features, "_place_vector"] if with_location else list(features)
+    encoded = [
+        *(place if with_location else []),
+        VectorAssembler(inputCols=columns, outputCol="_features"),
     ]
     regressor = estimator or LinearRegression(regParam=0.01)
     regressor = regressor.copy().setFeaturesCol("_features").setLabelCol("target")
@@ -48,11 +70,21 @@ def fit_forecast_model(daily: DataFrame, estimator: Estimator | None = None) ->
     return Pipeline(stages=[assembler, regressor]).fit(daily)
 
 
-def save_model(model: PipelineModel, path: str) -> None:
-    """Store a fitted model, replacing what is there."""
-    model.write().overwrite().save(path)
+def save_model(spark: SparkSession, model: Model, path: str) -> None:
+    """Store a fitted model or a linear formula, replacing what is there."""
+    remove(spark, path)
+    if isinstance(model, LinearModel):
+        terms = [(name, float(weight)) for name, weight in model.coefficients.items()]
+        row = [(float(model.intercept), terms)]
+        kind = "intercept double, terms array<struct<name: string, weight: double>>"
+        spark.createDataFrame(row, kind).coalesce(1).write.parquet(f"{path}/{LINEAR}")
+    else:
+        model.write().overwrite().save(path)
 
 
-def load_model(path: str) -> PipelineModel:
-    """Load a stored model."""
-    return PipelineModel.load(path)
+def load_model(spark: SparkSession, path: str) -> Model:
+    """Load what :func:`save_model` stored."""
+    if not exists(spark, f"{path}/{LINEAR}"):
+        return PipelineModel.load(path)
+    row = spark.read.parquet(f"{path}/{LINEAR}").first()
+    return LinearModel(row["intercept"], {t["name"]: t["weight"] for t in row["terms"]})

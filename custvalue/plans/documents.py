@@ -125,12 +125,14 @@ def dashboard(
     tables: dict[str, DataFrame],
     location: str,
     period: Period,
-    rules: Rules = DEFAULT_RULES,
+    rules: Rules | None = None,
 ) -> DataFrame:
     """The combined report of one location in one row.
 
-    ``tables`` come from :func:`reports.report_tables` or, better, from published ones.
+    ``tables`` come from :func:`reports.report_tables` or, better, from published ones; unless
+    others are given, the rules are theirs, so all parts of the report go by the same ones.
     """
+    rules = rules or getattr(tables, "rules", DEFAULT_RULES)
     whole = {
         "graph": prediction_graph(tables),
         "segments": _packed(segment_document(tables["segments"], location, lists=False)),

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, replace
+from dataclasses import asdict, dataclass, replace
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custvalue.functions.dates import DateLike
+from custvalue.functions.files import children, exists, mark, remove
+from custvalue.functions.materialise import materialise, scratch
 from custvalue.operators import age, cleaning, features, overview, segments, series, weekday
 from custvalue.operators.scoring import Model, score_clv
 from custvalue.rules import DEFAULT_RULES, Rules
@@ -17,6 +23,8 @@ from custvalue.sources.writers import read_table, write_table
 # Summaries ask for a year or a date range of first visits, so that table is laid out by year.
 PARTITIONING = {"first_visit": ("year",)}
 PARALLEL_WRITES = 4
+KEPT_VERSIONS = 2
+DONE = "_COMPLETE"
 TABLES = (
     "as_of",
     "clv",
@@ -47,67 +55,131 @@ def scored_clv(inputs: Inputs, as_of: DateLike | None = None) -> DataFrame:
     return score_clv(features.rfm(inputs.transactions, as_of), inputs.clv_model)
 
 
-def report_tables(
+class Reports(dict[str, DataFrame]):
+    """Published tables by name, with the rules they were built by."""
+
+    def __init__(self, tables: dict[str, DataFrame], rules: Rules):
+        super().__init__(tables)
+        self.rules = rules
+
+
+def report_builders(
     inputs: Inputs, clv: DataFrame, as_of: DateLike, rules: Rules = DEFAULT_RULES
-) -> dict[str, DataFrame]:
-    """Every report built on the scored table, by name.
+) -> dict[str, Callable[[], DataFrame]]:
+    """How to build every report on the scored table, by name; building may run jobs.
 
-    Most of them read ``clv``, so it should be a written or materialised table.
+    Most of them read ``clv``, so it should be a written or materialised table. The widest shuffle,
+    the distinct transactions, happens once: the reports by age and by weekday both start from the
+    stored visits.
     """
     tx = inputs.transactions
-    actual = series.daily_revenue(tx, rules.actuals_start, rules.actuals_end)
-    predicted = series.forecast(
-        tx.sparkSession, rules.forecast_start, rules.forecast_end, inputs.forecast_model
-    )
+    visits = materialise(age.visits(tx))
     contacts = cleaning.clean_contacts(inputs.contacts)
+
+    def actual() -> DataFrame:
+        daily = series.daily_revenue(tx, rules.actuals_start, rules.actuals_end)
+        return series.cumulative(daily, "value")
+
+    def predicted() -> DataFrame:
+        span = (rules.forecast_start, rules.forecast_end)
+        return series.cumulative(
+            series.forecast(tx.sparkSession, *span, inputs.forecast_model), "label"
+        )
+
     return {
-        "actual_totals": series.cumulative(actual, "value"),
-        "forecast_totals": series.cumulative(predicted, "label"),
-        "location_overview": overview.with_geo(
+        # Those with several passes of their own come first.
+        "segments": lambda: segments.segments(clv, rules),
+        "age_analytics": lambda: age.age_analytics(visits, clv, contacts, rules),
+        "first_visit": lambda: features.first_visit(clv, as_of),
+        "weekday_revenue": lambda: weekday.weekday_revenue(visits),
+        "location_overview": lambda: overview.with_geo(
             overview.location_overview(clv, rules), inputs.geo
         ),
-        "age_analytics": age.age_analytics(age.visits(tx), clv, contacts, rules),
-        "weekday_revenue": weekday.weekday_revenue(tx),
-        "segments": segments.segments(clv, rules),
-        "first_visit": features.first_visit(clv, as_of),
-        "locations": overview.locations(tx),
+        "actual_totals": actual,
+        "forecast_totals": predicted,
+        "locations": lambda: overview.locations(tx),
     }
 
 
+def report_tables(
+    inputs: Inputs, clv: DataFrame, as_of: DateLike, rules: Rules = DEFAULT_RULES
+) -> Reports:
+    """Every report built on the scored table, by name."""
+    builders = report_builders(inputs, clv, as_of, rules)
+    return Reports({name: build() for name, build in builders.items()}, rules)
+
+
 def publish(
     inputs: Inputs,
     path: str,
     rules: Rules = DEFAULT_RULES,
     with_transactions: bool = False,
-) -> dict[str, DataFrame]:
-    """Write every table under ``path`` and return them read back.
+) -> Reports:
+    """Write every table and the rules as a new version under ``path``; return them read back.
 
     The as-of date and the scored table go first; the other reports read those written copies,
     so the features are computed once, and a lost executor costs no more than its own tasks.
     ``with_transactions`` also writes the transactions, and the reports read that copy: worth it
     for text inputs, which six passes would parse otherwise.
+
+    A version is a folder of its own, and a marker file in it, written last, makes it the one that
+    :func:`load_reports` reads. So readers see the tables of one run only, and a run that fails
+    changes nothing. The version before stays for those who still read it; older ones go.
     """
+    spark = inputs.transactions.sparkSession
+    version = f"{path}/{_new_version()}"
 
     def write(name: str, df: DataFrame) -> DataFrame:
-        return write_table(df, f"{path}/{name}", PARTITIONING.get(name, ()))
+        return write_table(df, f"{version}/{name}", PARTITIONING.get(name, ()))
 
     tables = {}
-    if with_transactions:
-        tables["transactions"] = write("transactions", inputs.transactions)
-        inputs = replace(inputs, transactions=tables["transactions"])
-    tables["as_of"] = write("as_of", cleaning.as_of(inputs.transactions))
-    today = tables["as_of"].scalar()
-    tables["clv"] = write("clv", scored_clv(inputs, today))
-    reports = report_tables(inputs, tables["clv"], today, rules)
-    # The reports do not depend on each other: small ones fill the cluster beside large ones.
-    with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
-        tables.update(zip(reports, pool.map(write, reports, reports.values()), strict=True))
-    return tables
-
-
-def load_reports(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """The tables of an earlier :func:`publish`."""
-    tables = {name: read_table(spark, f"{path}/{name}") for name in TABLES}
+    try:
+        with scratch(spark):
+            if with_transactions:
+                tables["transactions"] = write("transactions", inputs.transactions)
+                inputs = replace(inputs, transactions=tables["transactions"])
+            tables["as_of"] = write("as_of", cleaning.as_of(inputs.transactions))
+            today = tables["as_of"].scalar()
+            tables["clv"] = write("clv", scored_clv(inputs, today))
+            builders = report_builders(inputs, tables["clv"], today, rules)
+            # The reports do not depend on each other: small ones fill the cluster beside large ones.
+            with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
+                built = pool.map(lambda name: write(name, builders[name]()), builders)
+                tables.update(zip(builders, built, strict=True))
+            text = spark.createDataFrame([(json.dumps(asdict(rules)),)], "rules string")
+            write_table(text, f"{version}/rules")
+    except BaseException:
+        remove(spark, version)
+        raise
+    mark(spark, f"{version}/{DONE}")
+    _remove_older(spark, path)
+    return Reports(tables, rules)
+
+
+def _new_version() -> str:
+    """A folder name that sorts after all earlier ones."""
+    now = datetime.now(timezone.utc)
+    return f"version-{now:%Y%m%dT%H%M%S.%f}-{uuid.uuid4().hex[:8]}"
+
+
+def _versions(spark: SparkSession, path: str) -> list[str]:
+    """Folders of complete versions, the latest last."""
+    named = [f"{path}/{name}" for name in children(spark, path) if name.startswith("version-")]
+    return [folder for folder in named if exists(spark, f"{folder}/{DONE}")]
+
+
+def _remove_older(spark: SparkSession, path: str) -> None:
+    for folder in _versions(spark, path)[:-KEPT_VERSIONS]:
+        remove(spark, folder)
+
+
+def load_reports(spark: SparkSession, path: str) -> Reports:
+    """The tables and rules of the latest complete :func:`publish`."""
+    versions = _versions(spark, path)
+    if not versions:
+        raise FileNotFoundError(f"no published reports in {path}")
+    tables = {name: read_table(spark, f"{versions[-1]}/{name}") for name in TABLES}
     # Partition values come back as the narrowest integer type.
     tables["first_visit"] = tables["first_visit"].withColumn("year", F.col("year").cast("long"))
-    return tables
+    rules = Rules(**json.loads(read_table(spark, f"{versions[-1]}/rules").first()["rules"]))
+    return Reports(tables, rules)

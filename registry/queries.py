@@ -243,12 +243,12 @@ def locations(t):
 
 @query
 def visits(t):
-    return age.visits(fx.line_visits_with_copies(t))
+    return age.visits(fx.line_visits_with_copies(t)).drop("entries")
 
 
 @query
 def visits_with_age(t):
-    return age.with_age(age.visits(fx.line_visits(t)), clean_contacts(t))
+    return age.with_age(age.visits(fx.line_visits(t)).drop("entries"), clean_contacts(t))
 
 
 @query
@@ -282,17 +282,19 @@ def age_for_location(t):
 
 @query
 def daily_location_revenue(t):
-    return weekday.daily_location(fx.line_visits(t))
+    return weekday.daily_location(age.visits(fx.line_visits(t)))
 
 
 @query
 def weekday_revenue(t):
-    return weekday.weekday_revenue(fx.line_visits(t))
+    return weekday.weekday_revenue(age.visits(fx.line_visits(t)))
 
 
 @query
 def weekday_for_location(t):
-    return weekday.weekday_for_location(weekday.weekday_revenue(fx.line_visits(t)), fx.PLACE)
+    return weekday.weekday_for_location(
+        weekday.weekday_revenue(age.visits(fx.line_visits(t))), fx.PLACE
+    )
 
 
 # Segments

@@ -107,10 +107,10 @@ def test_weekdays_average_rounded_daily_means(make_tx):
         (1, "2022-01-03", "w", "A", 1), (2, "2022-01-03", "w", "A", 1), (3, "2022-01-03", "w", "A", 2),
         (1, "2022-01-10", "w", "A", 3), (1, "2022-01-09", "w", "A", 8), (9, "2022-01-10", None, "A", 8),
     )
-    daily = weekday.daily_location(tx)
+    daily = weekday.daily_location(age.visits(tx))
     assert daily.columns == ["location", "total_cus", "value", "month", "year", "day_of_week", "day_of_year"]
     assert rows_of(daily, "total_cus", "value", "day_of_week") == [(1, 3.0, 0), (1, 8.0, 6), (3, 1.333, 0)]
-    per_weekday = weekday.weekday_revenue(tx)
+    per_weekday = weekday.weekday_revenue(age.visits(tx))
     assert rows_of(per_weekday) == [(0, "A", 4, 2.1665), (6, "A", 1, 8.0)]
     in_order = weekday.weekday_for_location(per_weekday, "A").collect()
     assert [r.day_of_week for r in in_order] == [0, 6]

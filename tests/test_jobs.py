@@ -50,6 +50,25 @@ def test_shown_values(reports, capsys):
     assert month["orders_prev"] == "-" and month["orders_selected"] != "-"
 
 
+def test_shown_documents_follow_the_published_rules(reports, capsys, tmp_path):
+    source = ["--transactions", reports.replace("out", "tx.csv"), "--clv-model", reports.replace("out", "clv"),
+              "--forecast-model", reports.replace("out", "forecast")]
+    out = str(tmp_path / "other")
+    main(["publish", *source, "--contacts", reports.replace("out", "contacts.csv"), "--out", out,
+          "--unknown-age", "n/a", "--churn-factor", "1.5", "--default-year", "2022"])
+    capsys.readouterr()
+
+    def shown(*arguments, reports=out):
+        main(["show", *arguments, "--reports", reports])
+        return json.loads(capsys.readouterr().out)
+
+    ages = shown("ages")
+    assert ages["unknown_tot_cus"] and "n/a" not in ages["analytics_graph"]["age_category"]
+    assert shown("summary") == shown("summary", "--year", "2022")
+    assert shown("summary", reports=reports) == shown("summary", "--year", "2021", reports=reports)
+    assert {k: v for k, v in shown("dashboard").items() if k in ages} == ages
+
+
 def test_a_document_name_is_required(capsys):
     with pytest.raises(SystemExit):
         main(["show", "everything", "--reports", "x"])

@@ -1,7 +1,10 @@
 import json
+from dataclasses import replace
 
 import pytest
 
+from custvalue.functions.files import children
+from custvalue.functions.materialise import ensure_checkpoint_dir
 from custvalue.operators import overview
 from custvalue.operators.periods import Period
 from custvalue.operators.scoring import LinearModel
@@ -104,3 +107,47 @@ def test_payload_keeps_order_across_columns(published):
 
 def test_locations_table_has_every_place(inputs, published):
     assert rows_of(published["locations"]) == rows_of(overview.locations(inputs.transactions))
+
+
+def test_a_failed_run_changes_nothing(spark, inputs, tmp_path):
+    path = str(tmp_path)
+    with pytest.raises(FileNotFoundError):
+        load_reports(spark, path)
+    publish(inputs, path, RULES)
+    before = children(spark, path)
+    jobs = [n for n in children(spark, ensure_checkpoint_dir(spark)) if n.startswith("job-")]
+    broken = replace(inputs, geo=inputs.geo.selectExpr("location", "latitude", "raise_error('x') AS longitude"))
+    with pytest.raises(Exception, match="x"):
+        publish(broken, path, RULES)
+    assert children(spark, path) == before and len(before) == 1
+    assert [n for n in children(spark, ensure_checkpoint_dir(spark)) if n.startswith("job-")] == jobs
+
+
+def test_readers_see_one_version(spark, inputs, tmp_path):
+    path = str(tmp_path)
+    publish(inputs, path, RULES)
+    old = load_reports(spark, path)
+    publish(replace(inputs, transactions=inputs.transactions.filter("ctc_id < 3")), path, RULES)
+    assert old["clv"].count() == 6 and load_reports(spark, path)["clv"].count() == 2
+    publish(inputs, path, RULES)
+    assert len(children(spark, path)) == 2 and load_reports(spark, path)["clv"].count() == 6
+
+
+def test_rules_travel_with_the_reports(spark, inputs, tmp_path):
+    rules = Rules(forecast_start="2021-05-01", forecast_end="2021-05-10", unknown_age="n/a",
+                  churn_factor=0.5, spender_share=0.5, default_year=2020)
+    publish(inputs, str(tmp_path), rules)
+    reports = load_reports(spark, str(tmp_path))
+    assert reports.rules == rules
+    period = Period.from_params(year=2021)
+    doc = json.loads(documents.as_json(documents.dashboard(reports, "A", period)).first()[0])
+    assert doc["unknown_tot_cus"] == 4 and "n/a" not in doc["analytics_graph"]["age_category"]
+    given = json.loads(documents.as_json(documents.dashboard(reports, "A", period, rules)).first()[0])
+    assert doc == given
+
+
+def test_the_distinct_transactions_are_shuffled_once(inputs, published):
+    tables = report_tables(inputs, published["clv"], published["as_of"].scalar(), RULES)
+    for name in ("weekday_revenue", "age_analytics"):
+        plan = tables[name]._jdf.queryExecution().optimizedPlan().toString()
+        assert "entries" in plan and "order_date, source, location, value" not in plan.replace("#", "")

@@ -23,8 +23,8 @@ def test_target_is_spend_after_the_cutoff(make_tx):
 def test_fitted_model_scores_and_survives_a_save(spark, make_tx, tmp_path):
     tx = history(make_tx)
     model = training.fit_clv_model(training.clv_training_set(tx, "2022-02-28"))
-    training.save_model(model, str(tmp_path / "m"))
-    loaded = training.load_model(str(tmp_path / "m"))
+    training.save_model(spark, model, str(tmp_path / "m"))
+    loaded = training.load_model(spark, str(tmp_path / "m"))
     features = rfm(tx)
     scored = scoring.score_clv(features, model)
     assert scored.columns == [*features.columns, "clv_3m", "total_transaction", "frequency"]
@@ -46,3 +46,19 @@ def test_linear_model(spark):
     df = spark.createDataFrame([(2, 0.33335)], "a int, b double")
     model = scoring.LinearModel(1, {"a": 10, "b": -1})
     assert scoring.score(df, model, "y").first()["y"] == 20.6666
+
+
+def test_a_linear_formula_survives_a_save(spark, tmp_path):
+    path = str(tmp_path / "m")
+    for model in (scoring.LinearModel(1.5, {"b": 2, "a": -0.25}), scoring.LinearModel(3)):
+        training.save_model(spark, model, path)
+        loaded = training.load_model(spark, path)
+        assert loaded == model and list(loaded.coefficients) == list(model.coefficients)
+
+
+def test_default_features_are_independent(spark, make_tx):
+    rows = training.clv_training_set(history(make_tx), "2022-02-28")
+    assembler = training.fit_clv_model(rows).stages[2]
+    assert not {"customer_age", "recency", "days_since_last_visit"} <= set(assembler.getInputCols())
+    tree = training.fit_clv_model(rows, DecisionTreeRegressor(maxDepth=2))
+    assert set(training.CLV_FEATURES) <= set(tree.stages[2].getInputCols())
