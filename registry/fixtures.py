@@ -5,13 +5,17 @@ Values are whole numbers, so sums do not depend on row order and roundings agree
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from custvalue.functions.materialise import ensure_checkpoint_dir
 from custvalue.functions.rounding import half_even
 from custvalue.operators.scoring import LinearModel
 from custvalue.plans import Inputs
 from custvalue.rules import Rules
+from custvalue.sources.schemas import CONTACT_HEADERS, TRANSACTION_HEADERS
 
 RULES = Rules(
     actuals_start="1997-01-01",
@@ -35,6 +39,7 @@ FORECAST_MODEL = LinearModel(
 )
 AGE_BANDS = ("18-24", "25-34", "35-44", "45-54", "55-64", "65-74", "75+")
 PLACE = "NATION_3"
+CSV_FILES = 4
 
 
 class Tables:
@@ -129,6 +134,25 @@ def geo(t: Tables) -> DataFrame:
     )
 
 
+def _as_csv(df: DataFrame, headers: dict[str, str]) -> str:
+    """Write ``df`` as several text files under the given file headers; the folder's path."""
+    path = f"{ensure_checkpoint_dir(df.sparkSession)}/csv-{uuid.uuid4().hex}"
+    named = df.select(*[F.col(ours).alias(theirs) for theirs, ours in headers.items()])
+    named = named.repartition(CSV_FILES, *named.columns[:1])
+    named.write.csv(path, header=True, timestampFormat="yyyy-MM-dd HH:mm:ss", escape='"')
+    return path
+
+
+def csv_transactions(t: Tables) -> str:
+    """The raw line-level visits as a folder of text files."""
+    return _as_csv(raw_line_visits(t), TRANSACTION_HEADERS)
+
+
+def csv_contacts(t: Tables) -> str:
+    """The contacts as a folder of text files."""
+    return _as_csv(contacts(t), CONTACT_HEADERS)
+
+
 def line_inputs(t: Tables) -> Inputs:
     return Inputs(line_visits(t), contacts(t), geo(t), CLV_MODEL, FORECAST_MODEL)
 

@@ -368,11 +368,6 @@ EXECUTIVE = (
 PLACE = "'NATION_3'"
 
 
-def text(expression: str, digits: int, order: str) -> str:
-    value = f"CAST(CAST({expression} AS DECIMAL(28,{digits})) AS VARCHAR)"
-    return f"string_agg({value}, ',' ORDER BY {order})"
-
-
 AGE_DOUBLES = doubles(
     "age_cat_total_transaction", "age_cat_revenue_per", "clv_3m", "avg_clv_3m", "median_clv_3m",
     "min_clv_3m", "max_clv_3m", "std_clv_3m",
@@ -392,33 +387,171 @@ PUBLISHED = {
 }
 
 
-def dashboard_query() -> str:
-    names = ("all", "loyal", "repeat", "top", "low", "risk", "churn")
-    users = ", ".join(
-        f"(SELECT users FROM seg_{n} WHERE location = {PLACE}) AS {n}_users" for n in names
-    )
-    values = ", ".join(
-        f"(SELECT {tidy('clv')} FROM seg_{n} WHERE location = {PLACE}) AS {n}_clv" for n in names
+PUBLISHED_NUMBERS = {
+    "clv": "ctc_id no_visit value customer_age recency days_since_last_visit clv_3m total_transaction frequency",
+    "actual_totals": "days year day_of_year value",
+    "forecast_totals": "days year day_of_year label",
+    "location_overview": "total_customer no_loyal_cus no_new_cus no_repeat_cus loyal_cus_percent latitude longitude "
+    + " ".join(n for group in ("all", "loyal", "new", "repeat") for n in overview_names(group)),
+    "age_analytics": "total_cus age_cat_total_transaction age_cat_revenue_per total_clv_cus clv_3m avg_clv_3m"
+    " median_clv_3m min_clv_3m max_clv_3m std_clv_3m",
+    "weekday_revenue": "day_of_week total_cus value",
+    "segments": "clv aov revenue users frequency",
+    "first_visit": "ctc_id no_visit value customer_age recency days_since_last_visit clv_3m total_transaction"
+    " frequency month year day_of_week day_of_year",
+}
+COUNTS = set(
+    "ctc_id no_visit customer_age recency days_since_last_visit days year day_of_year total_customer no_loyal_cus"
+    " no_new_cus no_repeat_cus total_cus total_clv_cus day_of_week users month".split()
+)
+
+
+def publish_query() -> str:
+    """Rows of each published table, and the sum of each number in it."""
+    rows = []
+    for name, view in PUBLISHED.items():
+        rows.append(
+            f"SELECT '{name}' AS table_name, count(*) AS table_rows, '' AS column_name,"
+            f" CAST(NULL AS DOUBLE) AS total FROM {view}"
+        )
+        for column in PUBLISHED_NUMBERS.get(name, "").split():
+            value = column if column in COUNTS else tidy(column)
+            total = tidy(f"CAST(sum(CAST({value} AS DECIMAL(28,6))) AS DOUBLE)")
+            rows.append(f"SELECT '{name}', count(*), '{column}', {total} FROM {view}")
+    return on_lines(" UNION ALL ".join(rows))
+
+
+def text(expression: str, exact: bool = False) -> str:
+    """A number as text: a count as it is, another one to six decimals."""
+    if exact:
+        return f"CAST({expression} AS VARCHAR)"
+    return f"CAST(CAST({tidy(expression)} AS DECIMAL(28,6)) AS VARCHAR)"
+
+
+def listed(field: str, value: str, view: str, order: str) -> str:
+    """One row per element of an array field."""
+    place = f"CAST(row_number() OVER (ORDER BY {order}) - 1 AS BIGINT)"
+    return f"SELECT '{field}' AS field, {place} AS place, {value} AS value FROM {view}"
+
+
+def single(field: str, value: str, view: str) -> str:
+    """One row with a single value, null if the view has no row."""
+    return f"SELECT '{field}' AS field, CAST(-1 AS BIGINT) AS place, (SELECT {value} FROM {view}) AS value"
+
+
+def fields(prefix: str, columns: Mapping[str, str], view: str, order: str, exact: str) -> list[str]:
+    """Array fields, name to column; the columns in ``exact`` are texts or counts."""
+    return [
+        listed(f"{prefix}{name}", text(column, column in exact.split()), view, order)
+        for name, column in columns.items()
+    ]
+
+
+MAP_FIELDS = {
+    "loc_total_transaction": "total_transaction",
+    "loc_avg_clv": "avg_clv_3m",
+    "loc_avg_loyal_clv": "avg_loyal_clv_3m",
+    "loc_loyal_cus_percentage": "loyal_cus_percent",
+    "no_new_cus": "no_new_cus",
+    "no_repeat_cus": "no_repeat_cus",
+    "tot_repeat_transaction": "total_repeat_transaction",
+    "latitude": "latitude",
+    "longitude": "longitude",
+    "map_location": "location",
+}
+
+
+def map_fields(prefix: str = "") -> list[str]:
+    return fields(prefix, MAP_FIELDS, "location_geo", "location", "no_new_cus no_repeat_cus location")
+
+
+def age_fields() -> list[str]:
+    here = f"age_analytics WHERE location = {PLACE} AND age_category"
+    known = {
+        "age_category": "age_category",
+        "age_category_rev_percentage": "age_cat_revenue_per",
+        "avg_clv": "avg_clv_3m",
+        "no_cus_age_group": "total_cus",
+        "val_of_revenue": "age_cat_total_transaction",
+    }
+    unknown = {
+        "analytics_graph_unknown": "age_cat_revenue_per",
+        "unknown_avg_clv": "avg_clv_3m",
+        "unknown_tot_cus": "total_cus",
+        "unknown_val_of_rev": "age_cat_total_transaction",
+    }
+    return fields("analytics_graph.", known, f"{here} <> 'Unknown'", "age_category", "age_category total_cus") + [
+        single(name, text(column, column == "total_cus"), f"{here} = 'Unknown'") for name, column in unknown.items()
+    ]
+
+
+def weekday_fields() -> list[str]:
+    columns = {"day_of_day_of_week": "day_of_week", "transaction_value": "value"}
+    return fields("revenue_graph.", columns, f"weekday WHERE location = {PLACE}", "day_of_week", "day_of_week")
+
+
+def segment_fields(form) -> list[str]:
+    return [
+        form(f"{name}_cus_clv.{metric}", text(metric, metric == "users"), f"seg_{name} WHERE location = {PLACE}")
+        for name in ("all", "loyal", "repeat", "top", "low", "risk", "churn")
+        for metric in ("users", "frequency", "aov", "clv", "revenue")
+    ]
+
+
+def summary_fields() -> list[str]:
+    names = (
+        "customers orders revenue aov new_customers repeat_customers churn_customers aclv_customers".split()
     )
-    known = f"FROM age_analytics WHERE location = {PLACE} AND age_category <> 'Unknown'"
-    return on_lines(f"""
-SELECT (SELECT count(*) FROM forecast_totals) AS forecast_days,
-       (SELECT count(*) FROM actual_totals) AS actual_days,
-       (SELECT {tidy("label")} FROM forecast_totals ORDER BY days DESC LIMIT 1) AS last_prediction,
-       (SELECT {tidy("value")} FROM actual_totals ORDER BY days DESC LIMIT 1) AS last_transaction,
-       (SELECT string_agg(location, ',' ORDER BY location) FROM location_geo) AS map_location,
-       {users}, {values},
-       (SELECT string_agg(age_category, ',' ORDER BY age_category) {known}) AS age_categories,
-       (SELECT string_agg(CAST(total_cus AS VARCHAR), ',' ORDER BY age_category) {known}) AS no_cus_age_group,
-       (SELECT total_cus FROM age_analytics WHERE location = {PLACE} AND age_category = 'Unknown')
-         AS unknown_tot_cus,
-       (SELECT string_agg(CAST(day_of_week AS VARCHAR), ',' ORDER BY day_of_week)
-        FROM weekday WHERE location = {PLACE}) AS weekdays,
-       coalesce((SELECT CAST(customers_selected AS VARCHAR) FROM compared WHERE location = {PLACE}), '-')
-         AS customers_selected,
-       coalesce((SELECT CAST(orders_prev AS VARCHAR) FROM compared WHERE location = {PLACE}), '-')
-         AS orders_prev
-""")
+    rows = []
+    for name in [f"{n}_{side}" for side in ("prev", "selected") for n in names]:
+        value = f"(SELECT {text(f'CAST({name} AS DOUBLE)')} FROM compared WHERE location = {PLACE})"
+        rows.append(
+            f"SELECT 'executive_summary.{name}' AS field, CAST(-1 AS BIGINT) AS place, coalesce({value}, '-') AS value"
+        )
+    return rows
+
+
+def graph_fields() -> list[str]:
+    predicted = {"prediction_val": "label", "day_of_year": "days"}
+    return [
+        *fields("prediction_graph.", {"transaction_val": "value"}, "actual_totals", "days", ""),
+        *fields("prediction_graph.", predicted, "forecast_totals", "days", "days"),
+        *map_fields("prediction_graph."),
+    ]
+
+
+def document_query(rows: list[str], on=None) -> str:
+    return (on or on_lines)(" UNION ALL ".join(f"SELECT * FROM ({row})" for row in rows))
+
+
+DASHBOARD = [*graph_fields(), *segment_fields(single), *age_fields(), *weekday_fields(), *summary_fields()]
+
+
+def least_squares(train: str, target: str, names: list[str], score: str) -> dict[str, str]:
+    """Views of a regression: ``predicted`` holds ``score`` with ``prediction``.
+
+    Each feature is freed of the ones before it by simple regressions (``z`` columns). Freed features
+    are uncorrelated, so the target's slopes on them are simple regressions as well.
+    """
+    out, rows = {}, train
+    for j, name in enumerate(names):
+        slopes = "".join(f", regr_slope({name}, z{i}) AS b{j}_{i}" for i in range(j))
+        out[f"fit{j}"] = f"SELECT avg({name}) AS a{j}{slopes} FROM {rows}"
+        freed = f"{name} - a{j}" + "".join(f" - b{j}_{i} * z{i}" for i in range(j))
+        out[f"train{j}"] = f"SELECT r.*, {freed} AS z{j} FROM {rows} r, fit{j}"
+        out[f"score{j}"] = f"SELECT r.*, {freed} AS z{j} FROM {score if j == 0 else f'score{j - 1}'} r, fit{j}"
+        rows = f"train{j}"
+    last = len(names) - 1
+    slopes = ", ".join(f"regr_slope({target}, z{j}) AS slope{j}" for j in range(len(names)))
+    out["slopes"] = f"SELECT avg({target}) AS level, {slopes} FROM {rows}"
+    terms = " + ".join(f"slope{j} * z{j}" for j in range(len(names)))
+    out["predicted"] = f"SELECT *, level + {terms} AS prediction FROM score{last}, slopes"
+    return out
+
+
+def coarse(expression: str, digits: int) -> str:
+    """A prediction rounded to four decimals, then off the ties to fewer."""
+    return tidy(r(f"{r(expression, 4)} + CAST(1.37e-8 AS DOUBLE)", digits))
 
 
 CUTOFF = "((SELECT as_of FROM as_of) - 90)"
@@ -433,6 +566,11 @@ USING (ctc_id, location)
 ORACLE: dict[str, str] = {
     "contacts_clean": on_lines("SELECT * FROM clean_contacts"),
     "transactions_typed": on_lines(f"SELECT ctc_id, order_date, source, location, {doubles('value')} FROM tx"),
+    "transactions_from_csv": on_lines(f"SELECT ctc_id, order_date, source, location, {doubles('value')} FROM tx"),
+    "contacts_from_csv": on_lines("""
+SELECT c_custkey AS ctc_id, CASE WHEN c_custkey % 3 <> 0 THEN c_name END AS post_code,
+       CAST(18 + c_custkey % 60 AS INTEGER) AS age, CAST(NULL AS DATE) AS birth_date, age_category
+FROM customer JOIN contacts ON c_custkey = ctc_id"""),
     "as_of_date": on_lines("SELECT * FROM as_of"),
     "tx_distinct_full": on_lines(distinct(ALL, "tx_copies")),
     "tx_distinct_loc": on_lines(distinct(NO_SOURCE, "tx_copies")),
@@ -533,20 +671,36 @@ LEFT JOIN (SELECT * FROM segments WHERE location = {PLACE}) s ON n.segment = s.s
     "summary_compare_location": on_lines(f"""
 SELECT one.location, {COMPARED_COUNTS}, {COMPARED_DOUBLES}
 FROM (SELECT {PLACE} AS location) one LEFT JOIN compared ON one.location = compared.location"""),
-    "report_payload": on_lines(f"""
-SELECT string_agg(location, ',' ORDER BY location) AS map_location,
-       {text("total_transaction", 3, "location")} AS loc_total_transaction,
-       {text("loyal_cus_percent", 1, "location")} AS loc_loyal_cus_percentage,
-       string_agg(CAST(no_new_cus AS VARCHAR), ',' ORDER BY location) AS no_new_cus,
-       string_agg(CAST(no_repeat_cus AS VARCHAR), ',' ORDER BY location) AS no_repeat_cus,
-       {text("latitude", 3, "location")} AS latitude, {text("longitude", 3, "location")} AS longitude
-FROM location_geo"""),
-    "publish": on_lines(
-        " UNION ALL ".join(
-            f"SELECT '{name}' AS table_name, count(*) AS table_rows FROM {view}"
-            for name, view in PUBLISHED.items()
-        )
+    "report_payload": document_query(map_fields()),
+    "publish": publish_query(),
+    "dashboard": document_query(DASHBOARD),
+    "document_ages": document_query(age_fields()),
+    "document_weekdays": document_query(weekday_fields()),
+    "document_segments": document_query(
+        segment_fields(lambda field, value, view: listed(field, value, view, "location")), on_orders
+    ),
+    "document_summary": document_query(summary_fields()),
+    "document_locations": document_query(
+        [listed("locations", "location", "(SELECT DISTINCT location FROM tx)", "location")]
     ),
-    "dashboard": dashboard_query(),
     "clv_training_set": on_lines(TRAINING),
+    "clv_model_fit": with_views(
+        {
+            **LINE,
+            "training": TRAINING,
+            **least_squares("training", "target", "no_visit value recency days_since_last_visit".split(), "rfm"),
+        },
+        f"SELECT ctc_id, location, {coarse('prediction', 1)} AS clv_3m FROM predicted",
+    ),
+    "forecast_model_fit": with_views(
+        {
+            **LINE,
+            "all_days": f"""
+  SELECT value, {CALENDAR.format("order_date")} FROM (
+    SELECT order_date, sum(value) AS value FROM ({distinct(NO_SOURCE_NO_LOCATION)})
+    WHERE value > 0 GROUP BY order_date)""",
+            **least_squares("all_days", "value", "month year day_of_week day_of_year".split(), "span"),
+        },
+        f"SELECT {CALENDAR_NAMES}, {coarse('prediction', 0)} AS label FROM predicted",
+    ),
 }

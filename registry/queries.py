@@ -6,8 +6,10 @@ import uuid
 from collections.abc import Callable
 from functools import reduce
 
+from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custvalue.functions.dates import calendar, with_calendar
 from custvalue.functions.materialise import ensure_checkpoint_dir, materialise
@@ -28,6 +30,7 @@ from custvalue.operators import (
 )
 from custvalue.operators.periods import Period
 from custvalue.plans import documents, payload, report_tables, reports, scored_clv
+from custvalue.sources import read_contacts, read_transactions
 from registry import fixtures as fx
 from registry.fixtures import RULES, Tables
 
@@ -109,6 +112,16 @@ def transactions_typed(t):
     return cleaning.type_transactions(fx.raw_line_visits(t).drop("l_linenumber"))
 
 
+@query
+def transactions_from_csv(t):
+    return read_transactions(t.spark, fx.csv_transactions(t))
+
+
+@query
+def contacts_from_csv(t):
+    return read_contacts(t.spark, fx.csv_contacts(t))
+
+
 @query
 def as_of_date(t):
     return cleaning.as_of(fx.line_visits(t))
@@ -462,36 +475,64 @@ def summary_compare_location(t):
 # Payloads, publishing and the combined report
 
 
-def joined(array: Column, decimals: int | None = None) -> Column:
-    """An array as comma-separated text, numbers with fixed decimals."""
-    kind = "string" if decimals is None else f"decimal(28,{decimals})"
-    return F.array_join(F.transform(array, lambda x: x.cast(kind).cast("string")), ",")
+def text_of(value: Column, kind: T.DataType) -> Column:
+    """A leaf of a document as text; numbers with fractions to six decimals."""
+    if isinstance(kind, T.VariantType):
+        number = text_of(F.try_variant_get(value, "$", "double"), T.DoubleType())
+        return F.coalesce(number, F.lit(documents.MISSING))
+    if isinstance(kind, T.DoubleType):
+        value = half_even(value + F.lit(OFF_TIE), 6).cast("decimal(28,6)")
+    return value.cast("string")
+
+
+def leaves(value: Column, kind: T.DataType, path: str) -> list[Column]:
+    """Arrays of (field, place, value) for everything below ``path``; place -1 is a single value."""
+    if isinstance(kind, T.StructType):
+        return [
+            leaf
+            for f in kind.fields
+            for leaf in leaves(value[f.name], f.dataType, f"{path}.{f.name}" if path else f.name)
+        ]
+
+    def row(place: Column, text: Column) -> Column:
+        return F.struct(
+            F.lit(path).alias("field"), place.cast("long").alias("place"), text.alias("value")
+        )
+
+    if isinstance(kind, T.ArrayType):
+        return [F.transform(value, lambda x, i: row(i, text_of(x, kind.elementType)))]
+    return [F.array(row(F.lit(-1), text_of(value, kind)))]
+
+
+def flat(document: DataFrame) -> DataFrame:
+    """Every value of a one-row document as a row of its own."""
+    whole = document.select(F.struct("*").alias("whole"))
+    parts = leaves(F.col("whole"), whole.schema["whole"].dataType, "")
+    return whole.select(F.explode(F.concat(*parts)).alias("leaf")).select("leaf.*")
 
 
 @query
 def report_payload(t):
     report = overview.with_geo(overview.location_overview(line_clv(t)), fx.geo(t))
-    row = payload.to_payload(report, ["location"], documents.MAP_FIELDS)
-    return row.select(
-        joined(F.col("map_location")).alias("map_location"),
-        joined(F.col("loc_total_transaction"), 3).alias("loc_total_transaction"),
-        joined(F.col("loc_loyal_cus_percentage"), 1).alias("loc_loyal_cus_percentage"),
-        joined(F.col("no_new_cus")).alias("no_new_cus"),
-        joined(F.col("no_repeat_cus")).alias("no_repeat_cus"),
-        joined(F.col("latitude"), 3).alias("latitude"),
-        joined(F.col("longitude"), 3).alias("longitude"),
-    )
+    return flat(payload.to_payload(report, ["location"], documents.MAP_FIELDS))
 
 
 @query
 def publish(t):
     path = f"{ensure_checkpoint_dir(t.spark)}/published-{uuid.uuid4().hex}"
     tables = reports.publish(fx.line_inputs(t), path, RULES)
-    counts = [
-        df.agg(F.lit(name).alias("table_name"), F.count(F.lit(1)).alias("table_rows"))
-        for name, df in tables.items()
-    ]
-    return reduce(DataFrame.unionByName, counts)
+    return reduce(DataFrame.unionByName, [totals(name, df) for name, df in tables.items()])
+
+
+def totals(name: str, df: DataFrame) -> DataFrame:
+    """Rows of a table and the sum of each number in it (in decimals, so order does not matter)."""
+    numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
+    sums = [F.sum(F.col(n).cast("decimal(28,6)")).cast("double").alias(n) for n in numbers]
+    summed = tidy(df).agg(F.count(F.lit(1)).alias("table_rows"), *sums)
+    named = [F.struct(F.lit(n).alias("column_name"), F.col(n).alias("total")) for n in numbers]
+    none = F.struct(F.lit("").alias("column_name"), F.lit(None).cast("double").alias("total"))
+    each = summed.select("table_rows", F.explode(F.array(*named, none)).alias("sum"))
+    return each.select(F.lit(name).alias("table_name"), "table_rows", "sum.*")
 
 
 @query
@@ -499,29 +540,34 @@ def dashboard(t):
     inputs = fx.line_inputs(t)
     today = cleaning.as_of_date(inputs.transactions)
     tables = report_tables(inputs, materialise(scored_clv(inputs)), today, RULES)
-    row = documents.dashboard(tables, fx.PLACE, YEAR, RULES)
-    graph, ages = F.col("prediction_graph"), F.col("analytics_graph")
-    return row.select(
-        F.size(graph["day_of_year"]).cast("long").alias("forecast_days"),
-        F.size(graph["transaction_val"]).cast("long").alias("actual_days"),
-        F.element_at(graph["prediction_val"], -1).alias("last_prediction"),
-        F.element_at(graph["transaction_val"], -1).alias("last_transaction"),
-        joined(graph["map_location"]).alias("map_location"),
-        *[
-            F.col(field)["users"].alias(f"{name}_users")
-            for name, field in documents.SEGMENT_FIELDS.items()
-        ],
-        *[
-            F.col(field)["clv"].alias(f"{name}_clv")
-            for name, field in documents.SEGMENT_FIELDS.items()
-        ],
-        joined(ages["age_category"]).alias("age_categories"),
-        joined(ages["no_cus_age_group"]).alias("no_cus_age_group"),
-        F.col("unknown_tot_cus"),
-        joined(F.col("revenue_graph.day_of_day_of_week")).alias("weekdays"),
-        F.col("executive_summary.customers_selected").cast("string").alias("customers_selected"),
-        F.col("executive_summary.orders_prev").cast("string").alias("orders_prev"),
-    )
+    return flat(documents.dashboard(tables, fx.PLACE, YEAR))
+
+
+@query
+def document_ages(t):
+    analytics = age.age_analytics(age.visits(fx.line_visits(t)), line_clv(t), clean_contacts(t))
+    return flat(documents.age_document(analytics, fx.PLACE))
+
+
+@query
+def document_weekdays(t):
+    rows = weekday.weekday_revenue(age.visits(fx.line_visits(t)))
+    return flat(documents.weekday_document(rows, fx.PLACE))
+
+
+@query
+def document_segments(t):
+    return flat(documents.segment_document(segments.segments(materialise(order_clv(t))), fx.PLACE))
+
+
+@query
+def document_summary(t):
+    return flat(documents.summary_document(materialise(line_first_visits(t)), fx.PLACE, YEAR))
+
+
+@query
+def document_locations(t):
+    return flat(documents.locations_document(overview.locations(fx.line_visits(t))))
 
 
 # Model fitting
@@ -537,16 +583,28 @@ def clv_training_set(t):
     return training_set(t)
 
 
+def coarse(df: DataFrame, label: str, digits: int) -> DataFrame:
+    """Predictions in fewer digits: two solvers agree in many, but not in the last."""
+    return df.withColumn(label, half_even(F.col(label) + F.lit(OFF_TIE), digits))
+
+
 @query
 def clv_model_fit(t):
-    """A model fitted on the past, scoring today's features. No SQL twin: fitted weights."""
-    model = training.fit_clv_model(materialise(training_set(t)))
-    return scoring.score_clv(features.rfm(fx.line_visits(t)), model)
+    """A value model fitted on the past by least squares, scoring today's features."""
+    model = training.fit_clv_model(
+        materialise(training_set(t)),
+        LinearRegression(solver="normal"),
+        training.LINEAR_CLV_FEATURES,
+        with_location=False,
+    )
+    scored = scoring.score_clv(features.rfm(fx.line_visits(t)), model)
+    return coarse(scored.select("ctc_id", "location", "clv_3m"), "clv_3m", 1)
 
 
 @query
 def forecast_model_fit(t):
-    """A model fitted on all daily revenue, scoring the data's span. No SQL twin."""
+    """A forecast fitted on all daily revenue by least squares, scoring the data's span."""
     first, last = data_span(t)
-    daily = series.daily_revenue(fx.line_visits(t), first, last)
-    return series.forecast(t.spark, first, last, training.fit_forecast_model(daily))
+    daily = materialise(series.daily_revenue(fx.line_visits(t), first, last))
+    model = training.fit_forecast_model(daily, LinearRegression(solver="normal"))
+    return coarse(series.forecast(t.spark, first, last, model), "label", 0)

