@@ -51,26 +51,53 @@ def order_statistics(
     computed in the sketch's pass and returned too.
 
     ``rows`` is read twice and must give the same rows both times: hand in a materialised or
-    written one. ``value`` must hold no nulls.
+    written one. ``value`` and the ``by`` columns must hold no nulls. Should a sketch miss a rank, its
+    groups are ordered without a bracket.
     """
     keys = [*by, *[f"{c}_rank" for c in ranks]]
     brackets = materialise(_brackets(rows, value, ranks, by, extra))
     groups, largest = brackets.agg(F.count(F.lit(1)), F.max("_n")).first()
+    in_bracket = (largest or 0) * BRACKET_STEPS / GRID_STEPS
+
+    found = materialise(_found(rows, value, list(ranks), keys, brackets, groups, in_bracket))
+    # A group whose rows all lie above its bracket is not found at all.
+    found = found.filter(~reduce(or_, [_missed(c) for c in ranks]))
+    lost = brackets.join(found.select(*by), list(by), "left_anti")
+    if not lost.isEmpty():
+        none = {c: F.lit(None).cast(lost.schema[c].dataType) for c in ("_low", "_high")}
+        wide = _found(rows, value, list(ranks), keys, lost.withColumns(none), groups, largest)
+        found = found.unionByName(wide)
+    kept = [c for c in brackets.columns if c not in ("_n", "_low", "_high", *keys)]
+    return found.select(*by, *[column for c in ranks for column in _unpacked(c)]).join(
+        brackets.select(*by, *kept), list(by)
+    )
 
+
+def _found(
+    rows: DataFrame,
+    value: str,
+    names: Sequence[str],
+    keys: Sequence[str],
+    brackets: DataFrame,
+    groups: int,
+    in_bracket: float,
+) -> DataFrame:
+    """Per group, what the exact count pass finds at each rank."""
+    by = [c for c in keys if c not in {f"{n}_rank" for n in names}]
     limits = _sized(brackets.select(*keys, "_low", "_high"), groups, BRACKET_BYTES)
-    counted = _counted(rows.select(*by, value).join(limits, list(by)), value, keys)
-    if (largest or 0) * BRACKET_STEPS / GRID_STEPS > ORDERED_VALUES:
-        running = _running_in_tiles(counted, keys, list(ranks), groups)
+    counted = _counted(rows.select(*by, value).join(limits, by), value, keys)
+    if in_bracket > ORDERED_VALUES:
+        running = _running_in_tiles(counted, keys, names, groups)
     else:
         ascending = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_probe"))
         upto = F.sum("_rows").over(ascending.rowsBetween(Window.unboundedPreceding, 0))
         running = counted.withColumn("_upto", upto)
+    return running.groupBy(*keys).agg(*[_at_rank(c) for c in names])
 
-    found = running.groupBy(*keys).agg(*[_at_rank(c) for c in ranks])
-    kept = [c for c in brackets.columns if c not in ("_n", "_low", "_high", *keys)]
-    return found.select(*by, *[column for c in ranks for column in _unpacked(c)]).join(
-        brackets.select(*by, *kept), list(by)
-    )
+
+def _missed(name: str) -> Column:
+    """Whether a rank's value lies outside its bracket."""
+    return (F.col(f"{name}_rank") >= 1) & F.col(name)["value"].isNull()
 
 
 def _sized(per_group: DataFrame, groups: int, row_bytes: int) -> DataFrame:
@@ -161,10 +188,9 @@ def _at_rank(name: str) -> Column:
 
 
 def _unpacked(name: str) -> list[Column]:
-    """Result columns of one rank. A rank outside its bracket is an error, never a wrong value."""
+    """Result columns of one rank."""
     hit, rank = F.col(name), F.col(f"{name}_rank")
-    missed = F.raise_error(F.lit("quantile sketch missed a rank"))
-    value = F.when(rank < 1, F.lit(None)).otherwise(F.coalesce(hit["value"], missed))
+    value = F.when(rank >= 1, hit["value"])
     return [
         value.alias(name),
         rank,

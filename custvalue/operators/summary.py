@@ -21,6 +21,7 @@ SUMMARY_COLUMNS = (
     "churn_users",
 )
 # Column of the comparison and the summary column behind it.
+# Field names of the summary document, without its suffixes.
 COMPARED = {
     "customers": "total_users",
     "orders": "total_no_orders",

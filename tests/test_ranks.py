@@ -66,6 +66,23 @@ def test_ranks_outside(spark, tiling):
     assert order_statistics(df.filter("v > 9"), "v", {"x": lambda _: F.lit(1)}, ["k"]).count() == 0
 
 
+def test_a_missed_bracket_is_widened(spark, tiling, monkeypatch):
+    """Brackets far above and far below the wanted ranks in some groups."""
+    right = ranks._brackets
+
+    def wrong(*arguments):
+        off = F.when(F.col("g") == "hot", F.lit(1e9)).when(F.col("g") == "a", F.lit(-1.0))
+        found = right(*arguments)
+        return found.withColumns({c: F.coalesce(off, c) for c in ("_low", "_high")})
+
+    monkeypatch.setattr(ranks, "_brackets", wrong)
+    df = materialise(spark.createDataFrame(skewed(7, 5_000), "g string, v double"))
+    got = median(df, "v", "m", ["g"], extra=[F.count(F.lit(1)).alias("n")])
+    expected = df.groupBy("g").agg(F.median("v").alias("e"), F.count("*").alias("c"))
+    both = got.join(expected, "g")
+    assert both.count() == expected.count() and both.filter("m <> e OR n <> c").count() == 0
+
+
 def take(totals, share, side):
     """First n customers by total and id, where every customer has one scored row."""
     n = round(len(totals) * share)
