@@ -9,14 +9,17 @@ from pyspark.sql import DataFrame, SparkSession
 from custvalue.llm.decontamination import contaminated
 from custvalue.llm.jaccard_join import jaccard_components
 from custvalue.llm.license_scan import license_scan
+from custvalue.llm.oracle import ORACLE
 from custvalue.llm.packing import pack
 from custvalue.llm.passage_dedup import repeated_passages
 from custvalue.llm.quality_model import quality_scores
-from custvalue.llm.quality_rules import QUALITY_RULES_SQL, quality_rules
+from custvalue.llm.quality_rules import quality_rules
 from custvalue.llm.sharding import ring_shards
 from custvalue.llm.suffix_dedup import remove_repeats
 from custvalue.llm.toxicity import toxicity
 
+__all__ = ["ORACLE", "QUERIES"]
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
@@ -87,8 +90,3 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_passage_dedup": op10_passage_dedup,
 }
-
-# Operators that SQL can express. The others are tested against brute force in tests/llm.
-ORACLE: dict[str, str] = {
-    "op9_quality_rules": QUALITY_RULES_SQL,
-}
