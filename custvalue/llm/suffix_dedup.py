@@ -13,7 +13,9 @@ Sorting every position would move many times the corpus. Two things avoid this:
   round. A few per cent of positions are anchors.
 * In the second round, all strings that share an anchor travel together as one fragment of text, and
   the ranks are named and paired where they are sorted. Equal fragments of one task are one entry,
-  so a passage or document with thousands of copies is sent once per task.
+  so a passage or document with thousands of copies is sent once per task. The strings around an
+  anchor that very many places have, such as a common line in different texts, are dealt out by
+  their next bytes as well: equal strings agree in these, so they still meet.
 """
 
 from __future__ import annotations
@@ -36,12 +38,13 @@ BLOCK_DOCS = 60_000
 FRAGMENT_BYTES = 8 << 20  # that a task packs together
 RUN = 4096  # most starts in one fragment
 KEY_BYTES = 5
+CROWDED = 1_000  # places from which on an anchor's strings are dealt out by more bytes
 SPREAD = 4  # hash ranges per shuffle partition in the second round
 LAST = (1 << 63) - 1  # a missing doc_id comes after all others
 
 ANCHORS = "part int, block long, head boolean, keys binary, docs binary, places binary"
-SHARED_SCHEMA = "block long, head boolean, places binary, docs binary, prints binary"
-ALIVE = "id long, print long, alive binary"
+SHARED_SCHEMA = "block long, head boolean, places binary, docs binary, prints binary, crowded binary"
+ALIVE = "id long, print long, alive binary, crowded binary"
 FRAGMENTS = (
     "part int, bytes binary, lengths binary, ids binary, prints binary, starts binary,"
     " gone_ids binary, gone_prints binary, gone_from binary, gone_to binary"
@@ -114,15 +117,15 @@ def _anchors(length: int, parts: int):
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names()
-        task = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
         number = count = held = 0
         packed: list[tuple[np.ndarray, ...]] = []  # keys, documents of the block, places
         heads: list[tuple[np.ndarray, np.ndarray]] = []
 
         def flush() -> pa.RecordBatch:
-            block = task + number
+            block = (task << 32) + number
             out = [(
-                number % parts, block, True, None,
+                (7 * task + number) % parts, block, True, None,
                 np.concatenate([h[0] for h in heads]).tobytes(), np.concatenate([h[1] for h in heads]).tobytes(),
             )]
             key, doc, place = (np.concatenate(c) for c in zip(*packed))
@@ -178,7 +181,7 @@ def _repeated(table: pa.Table) -> pa.Table:
     out, packed = [], []
     for _, block, head, keys, docs, places in _rows(table):
         if head:
-            out.append((block, True, None, docs, places))
+            out.append((block, True, None, docs, places, None))
         else:
             packed.append((block, keys, docs, places))
     if packed:
@@ -187,41 +190,73 @@ def _repeated(table: pa.Table) -> pa.Table:
         places = np.concatenate([np.frombuffer(p[3], np.uint32) for p in packed])
         blocks = np.repeat(np.arange(len(packed), dtype=np.int32), [len(p[2]) // 2 for p in packed])
         order = np.argsort(keys)
-        keys = keys[order]
-        same = keys[1:] == keys[:-1]
-        keep = np.zeros(len(keys), bool)
-        keep[1:] |= same
-        keep[:-1] |= same
-        order = np.sort(order[keep])  # by block again
-        docs, places, blocks = docs[order], places[order], blocks[order]
+        first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
+        times = np.diff(np.append(first, len(keys)))
+        count = np.empty(len(keys), np.int64)
+        count[order] = np.repeat(times, times)
+        keep = count > 1
+        docs, places, blocks, crowded = docs[keep], places[keep], blocks[keep], count[keep] > CROWDED
         at = np.flatnonzero(np.diff(blocks, prepend=-1))
         for a, b in zip(at, [*at[1:], len(blocks)]):
-            out.append((packed[blocks[a]][0], False, places[a:b].tobytes(), docs[a:b].tobytes(), None))
-    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-    columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 5, kinds)]
-    return pa.table(columns, ["block", "head", "places", "docs", "prints"])
+            out.append((
+                packed[blocks[a]][0], False, places[a:b].tobytes(), docs[a:b].tobytes(), None, crowded[a:b].tobytes(),
+            ))
+    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+    columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)]
+    return pa.table(columns, ["block", "head", "places", "docs", "prints", "crowded"])
 
 
 def _by_document(table: pa.Table) -> pa.Table:
     """The places of a block's anchors that stay, by document."""
-    docs, places = [], []
+    docs, places, crowds = [], [], []
     own = prints = np.zeros(0, np.int64)
-    for _, head, place, doc, last in _rows(table):
+    for _, head, place, doc, last, crowd in _rows(table):
         if head:
             own, prints = np.frombuffer(doc, np.int64), np.frombuffer(last, np.int64)
         else:
             docs.append(np.frombuffer(doc, np.uint16))
             places.append(np.frombuffer(place, np.uint32))
-    if not docs:
-        return pa.table([pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.binary())], ["id", "print", "alive"])
-    doc, place = np.concatenate(docs), np.concatenate(places)
+            crowds.append(np.frombuffer(crowd, bool))
+    none = np.zeros(0, np.uint32)
+    doc, place = np.concatenate([none.astype(np.uint16), *docs]), np.concatenate([none, *places])
+    crowd = np.concatenate([none.astype(bool), *crowds])
     order = np.argsort(doc, kind="stable")
-    doc, place = doc[order], place[order]
+    doc, place, crowd = doc[order], place[order], crowd[order]
     at = np.flatnonzero(np.diff(doc.astype(np.int32), prepend=-1))
-    alive = [place[a:b].tobytes() for a, b in zip(at, [*at[1:], len(doc)])]
+    ends = [*at[1:], len(doc)]
+    alive = [place[a:b].tobytes() for a, b in zip(at, ends)]
+    crowded = [place[a:b][crowd[a:b]].tobytes() for a, b in zip(at, ends)]
     return pa.table([
-        pa.array(own[doc[at]]), pa.array(prints[doc[at]]), pa.array(alive, pa.binary()),
-    ], ["id", "print", "alive"])
+        pa.array(own[doc[at]]), pa.array(prints[doc[at]]), pa.array(alive, pa.binary()), pa.array(crowded, pa.binary()),
+    ], ["id", "print", "alive", "crowded"])
+
+
+def _places(column: pa.Array, bounds: np.ndarray) -> np.ndarray:
+    """Lists of packed positions in documents as sorted positions in the batch."""
+    out = [
+        np.frombuffer(packed, np.uint32).astype(np.int64) + first
+        for lists, first in zip(column.to_pylist(), bounds)
+        for packed in lists
+    ]
+    return np.sort(np.concatenate(out)) if out else np.zeros(0, np.int64)
+
+
+def _narrowed(
+    names: Names, sums: np.ndarray, short: np.ndarray, least: np.ndarray, starts: np.ndarray, length: int
+) -> np.ndarray:
+    """Keys of strings with crowded anchors: the anchor and the bytes beside it, on the wider side.
+
+    The anchor is the first place of the least name in the string, so equal strings get one key.
+    """
+    half, side = length // 2, length // 4
+    place = np.full(len(starts), -1)
+    for step in range(length - half + 1):
+        hit = (place < 0) & (short[starts + step] == least[starts])
+        place[hit] = step
+    left = place >= length - half - place  # at least as many bytes before the anchor as after it
+    at = starts + np.where(left, place - side, place + half)
+    beside = (sums[at + side] - sums[at]) * names.inverse[at]
+    return tokens.mix(least[starts] + tokens.mix(beside + left.astype(np.uint64)))
 
 
 def _fragments(length: int, parts: int):
@@ -232,6 +267,7 @@ def _fragments(length: int, parts: int):
         names = Names()
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
+        turn = 7 * TaskContext.get().partitionId()
 
         def flush() -> pa.RecordBatch:
             part, name, lengths, own, prints, starts = (np.concatenate([h[c] for h in held]) for c in range(6))
@@ -254,9 +290,9 @@ def _fragments(length: int, parts: int):
                     lengths[mine].tobytes(), own[mine].tobytes(), prints[mine].tobytes(), starts[mine].tobytes(),
                     None, None, None, None,
                 ))
-            if len(gone):
+            if len(gone):  # any range can pass them on; blocks take turns
                 out.append((
-                    int(part[gone[0]]), None, None, None, None, None, own[gone].tobytes(),
+                    turn % parts, None, None, None, None, None, own[gone].tobytes(),
                     prints[gone].tobytes(), starts[gone].tobytes(), (starts[gone] + lengths[gone]).tobytes(),
                 ))
             held.clear()
@@ -267,11 +303,7 @@ def _fragments(length: int, parts: int):
         for batch in batches:
             data, bounds = tokens.texts(batch.column(3))
             own, prints = tokens.ids(batch.column(1)), tokens.ids(batch.column(2))
-            marks = [
-                np.concatenate([np.frombuffer(x, np.uint32) for x in places] or [np.zeros(0, np.uint32)]) + first
-                for places, first in zip(batch.column(4).to_pylist(), bounds)
-            ]
-            marks = np.sort(np.concatenate(marks)) if marks else np.zeros(0, np.int64)
+            marks, crowds = _places(batch.column(4), bounds), _places(batch.column(5), bounds)
             for begin, end, inner in _chunks(bounds, length):
                 a, b = np.searchsorted(marks, [begin, end - half + 1])
                 if a == b or end - begin < length:
@@ -281,8 +313,18 @@ def _fragments(length: int, parts: int):
                 at = marks[a:b] - begin
                 alive[at] = short[at]
                 open_ = (_sliding(np.minimum, alive, length - half + 1) == least) & (least != 0)
+                sums = names.sums(data[begin:end])
+                key = tokens.mix(least)
+                c, d = np.searchsorted(crowds, [begin, end - half + 1])
+                if c < d:
+                    crowd = np.full(len(short), np.uint64(0xFFFFFFFFFFFFFFFF))
+                    crowd[crowds[c:d] - begin] = short[crowds[c:d] - begin]
+                    many = np.flatnonzero(
+                        open_ & (_sliding(np.minimum, crowd, length - half + 1) == least)
+                    )
+                    key[many] = _narrowed(names, sums, short, least, many, length)
                 edge = np.ones(len(least) + 1, bool)
-                edge[1:-1] = (least[1:] != least[:-1]) | (open_[1:] != open_[:-1])
+                edge[1:-1] = (key[1:] != key[:-1]) | (open_[1:] != open_[:-1])
                 runs = np.flatnonzero(edge)
                 first, last = runs[:-1], runs[1:]
                 keep = open_[first]
@@ -294,16 +336,15 @@ def _fragments(length: int, parts: int):
                     first = first[step] + inside * RUN
                     last = np.minimum(first + RUN, last[step])
                 doc = np.searchsorted(bounds, begin + first, "right") - 1
-                sums = names.sums(data[begin:end])
                 width = last - first + length - 1
                 value = tokens.mix((sums[first + width] - sums[first]) * names.inverse[first])
-                part = tokens.range_of(tokens.mix(least[first]), parts)
+                part = tokens.range_of(key[first], parts)
                 take = np.concatenate([data[begin + f : begin + f + w] for f, w in zip(first, width)] or [data[:0]])
                 held.append((part, value, width, own[doc], prints[doc], begin + first - bounds[doc], take))
                 size += len(take)
                 if size > FRAGMENT_BYTES:
                     yield flush()
-                    size = 0
+                    size, turn = 0, turn + 1
         if size:
             yield flush()
 
@@ -430,9 +471,13 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     anchors = rows.mapInArrow(_anchors(length, parts), ANCHORS)
     shared = anchors.groupBy("part").applyInArrow(_repeated, SHARED_SCHEMA)
     alive = materialise(shared.groupBy("block").applyInArrow(_by_document, ALIVE))
-    places = alive.groupBy("id", "print").agg(F.collect_list("alive").alias("alive"))
+    places = alive.groupBy("id", "print").agg(
+        F.collect_list("alive").alias("alive"), F.collect_list("crowded").alias("crowded")
+    )
     # Both joins read the texts by (id, print), so one exchange of the texts serves the two.
-    open_ = rows.join(places.hint("shuffle_hash"), ["id", "print"]).select("doc_id", "id", "print", "text", "alive")
+    open_ = rows.join(places.hint("shuffle_hash"), ["id", "print"]).select(
+        "doc_id", "id", "print", "text", "alive", "crowded"
+    )
     fragments = open_.mapInArrow(_fragments(length, parts * SPREAD), FRAGMENTS)
     gone = fragments.groupBy("part").applyInArrow(_doubled(length), GONE)
     gone = gone.groupBy("id", "print").agg(F.collect_list("gone").alias("gone"))

@@ -67,6 +67,18 @@ def test_small_blocks_and_chunks(corpus, monkeypatch):
     assert found(remove_repeats(corpus(rows, 5))) == brute(rows)
 
 
+@pytest.mark.parametrize("length", [10, 100])
+def test_crowded_anchors(corpus, monkeypatch, length):
+    monkeypatch.setattr(suffix_dedup, "CROWDED", 2)
+    line = "the very same line in a good third of all texts, with others around it"
+    rng = random.Random(8)
+    rows = mixed_rows(5)
+    for i in range(1_000, 1_080):
+        words = [rng.choice(["aa", "bb", "cc", line]) for _ in range(12)]
+        rows.append((i, " ".join(words)))
+    assert found(remove_repeats(corpus(rows, 5), length)) == brute(rows, length)
+
+
 def test_odd_rows(corpus, odd_rows):
     """Equal rows are one document; other rows that share an id are ordered by a hash."""
     rows = [r for r in odd_rows if r != (5, "other text here")]
