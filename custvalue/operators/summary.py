@@ -37,13 +37,14 @@ COMPARED = {
 def _with_threshold(rows: DataFrame) -> DataFrame:
     """Add each period's churn frequency, taken over all its locations.
 
-    The thresholds are one row per period, two at most, so broadcasting them is safe.
+    Spark's own size check decides on a broadcast: two rows after tagging, but ``period`` may be any
+    column of the caller's.
     """
     returning = rows.filter(F.col("no_visit") > 1)
     limits = returning.groupBy("period").agg(
         half_even(exact_mean("frequency", 3), 3).alias("churn_frequency")
     )
-    return rows.join(F.broadcast(limits), "period", "left")
+    return rows.join(limits, "period", "left")
 
 
 def _member(group: str, rules: Rules) -> Column:
