@@ -7,12 +7,14 @@ lists that are left. So the short lists are merged first, which gives candidates
 their occurrences, and the long lists are probed only for these, by binary search in the sorted set.
 
 The lists are built in packed blocks: a task sends one row per block and hash range instead of one
-row per shingle. A shingle that no other document of fitting size has is forgotten at once; a
-document that keeps fewer than ``T`` shingles has no partner and drops out. What is left is a few
-per cent of a corpus, with the exact length of every list.
+row per shingle. A shingle that a block has several times is sent once with its count, and its
+postings wait for the list's length on the block's side, so a shingle in a third of all documents
+costs one entry per block. A shingle that no other document of fitting size has is forgotten at
+once; a document that keeps fewer than ``T`` shingles has no partner and drops out. What is left is
+a few per cent of a corpus, with the exact length of every list.
 
 Groups of copies never become pairs. Equal sets are one member for the rest of the search. Inside a
-list, members are first paired with neighbours only; once those links have merged most of a group
+list, members are first paired with a few neighbours; once those links have merged most of a group
 into one component, only pairs across components are still open, and all of these are tried.
 """
 
@@ -28,17 +30,24 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from custvalue.functions.materialise import materialise, materialise_small
+from custvalue.functions.materialise import materialise
 from custvalue.llm import tokens
 from custvalue.llm.graph import components
+from custvalue.llm.settings import small_batches
 
 BLOCK_SHINGLES = 2_000_000  # shingles that a task packs together
 BLOCK_DOCS = 60_000  # documents of a block are numbered with 16 bits
 KEY_BYTES = 5  # of a shingle's hash inside a range; the range adds its own bits
-NEAREST = 3  # partners that each member tries in the first round
+ROUNDS = 2  # of trying neighbours before all open pairs
+NEAREST = 6  # partners that each member tries in such a round
 
-PACKED = "part int, block long, head boolean, keys binary, docs binary, sizes binary"
-SHARED = "block long, part int, head boolean, keys binary, docs binary, counts binary"
+CROWD = 50_000  # members of a list that look for neighbours together
+
+# Kinds of rows on the way: a block's documents, postings, counts of shingles that a block has several
+# times, and the postings of these, which wait for the list's length.
+HEAD, POSTINGS, COUNTS, WAITING = range(4)
+PACKED = "part int, block long, kind int, keys binary, docs binary, sizes binary"
+SHARED = "block long, part int, kind int, keys binary, docs binary, counts binary"
 SETS = "doc_id long, n long, digest binary, ranked binary"
 
 
@@ -49,7 +58,7 @@ def _size_class(sizes: np.ndarray) -> np.ndarray:
 def _pack(size: int, parts: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = tokens.Words()
-        task = TaskContext.get().partitionId() << 32
+        task = TaskContext.get().partitionId()
         number = 0
         sets: list[np.ndarray] = []
         names: list[pa.Array] = []
@@ -57,33 +66,43 @@ def _pack(size: int, parts: int):
 
         def flush() -> pa.RecordBatch:
             nonlocal number, held, docs
-            block = task + number
+            block = (task << 32) + number
+            turn = (7 * task + number) % parts  # rows of no range take turns over all
             counts = np.array([len(s) for s in sets], np.int64)
             values = np.concatenate(sets)
             doc = np.repeat(np.arange(len(sets), dtype=np.uint16), counts)
             classes = np.repeat(_size_class(counts), counts)
-            part = tokens.range_of(values, parts)
-            order = np.argsort(part, kind="stable")
-            part, values, doc, classes = part[order], values[order], doc[order], classes[order]
-            at = np.flatnonzero(np.diff(part, prepend=-1))
-            ends = [*at[1:], len(part)]
+            order = np.argsort(values)  # by hash range, too
+            values, doc, classes = values[order], doc[order], classes[order]
+            first = np.flatnonzero(np.append(True, values[1:] != values[:-1])[: len(values)])
+            times = np.diff(np.append(first, len(values)))
+            several = np.repeat(times > 1, times)
             column = pa.concat_arrays(names)
             known = np.asarray(column.is_valid())
             out = [(
-                number % parts, block, True, np.asarray(column.fill_null(0)).astype("<i8").tobytes(),
+                turn, block, HEAD, np.asarray(column.fill_null(0)).astype("<i8").tobytes(),
                 known.tobytes(), counts.astype("<i8").tobytes(),
             )]
-            for a, b in zip(at, ends):
+            for part, a, b in tokens.by_range(values[~several], parts):
+                own = np.flatnonzero(~several)[a:b]
+                out.append((
+                    part, block, POSTINGS, tokens.pack_low(values[own], KEY_BYTES),
+                    doc[own].tobytes(), classes[own].tobytes(),
+                ))
+            for part, a, b in tokens.by_range(values[first[times > 1]], parts):
                 out.append((
-                    int(part[a]), block, False, tokens.pack_low(values[a:b], KEY_BYTES),
-                    doc[a:b].tobytes(), classes[a:b].tobytes(),
+                    part, block, COUNTS, tokens.pack_low(values[first[times > 1]][a:b], KEY_BYTES),
+                    times[times > 1][a:b].astype("<u4").tobytes(), None,
                 ))
+            out.append((
+                turn, block, WAITING, values[several].tobytes(), doc[several].tobytes(), None,
+            ))
             number, held, docs = number + 1, 0, 0
             sets.clear()
             names.clear()
-            kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-            return pa.record_batch(columns, ["part", "block", "head", "keys", "docs", "sizes"])
+            return pa.record_batch(columns, ["part", "block", "kind", "keys", "docs", "sizes"])
 
         for batch in batches:
             data, bounds = tokens.texts(batch.column(1))
@@ -106,63 +125,86 @@ def _share(reach: int):
     """Keep the postings of shingles that another document of fitting size also has."""
 
     def rows(table: pa.Table) -> pa.Table:
-        out = []
-        packed = []
-        for row in table.to_batches():
-            for i in range(row.num_rows):
-                part, block, head, *data = (row.column(c)[i].as_py() for c in range(6))
-                if head:
-                    out.append((block, -1, True, *data))
+        out, packed, counted = [], [], []
+        part = table.column("part")[0].as_py()
+        for batch in table.to_batches():
+            for i in range(batch.num_rows):
+                _, block, kind, *data = (batch.column(c)[i].as_py() for c in range(6))
+                if kind in (HEAD, WAITING):
+                    out.append((block, -1, kind, *data))
                 else:
-                    packed.append((block, *data))
-        if packed:
-            part = table.column("part")[0].as_py()
-            keys = np.concatenate([tokens.unpack_low(p[1], KEY_BYTES) for p in packed])
-            docs = np.concatenate([np.frombuffer(p[2], np.uint16) for p in packed])
-            classes = np.concatenate([np.frombuffer(p[3], np.uint8) for p in packed])
-            blocks = np.repeat(np.arange(len(packed), dtype=np.int32), [len(p[3]) for p in packed])
+                    (packed if kind == POSTINGS else counted).append((block, *data))
+        # Entries: postings stand for one document, counts for several of their block.
+        entries = [(p, np.ones(len(p[3]), np.uint32)) for p in packed]
+        entries += [(c, np.frombuffer(c[2], np.uint32)) for c in counted]
+        if entries:
+            keys = np.concatenate([tokens.unpack_low(e[1], KEY_BYTES) for e, _ in entries])
+            times = np.concatenate([n for _, n in entries])
+            sources = np.repeat(np.arange(len(entries), dtype=np.int32), [len(n) for _, n in entries])
+            places = np.concatenate([np.arange(len(n), dtype=np.int32) for _, n in entries])
+            classes = np.concatenate(
+                [np.frombuffer(p[3], np.uint8) for p in packed] + [np.zeros(len(c[2]) // 4, np.uint8) for c in counted]
+            )
             order = np.argsort(keys << np.uint64(8) | classes.astype(np.uint64))
-            keys, classes = keys[order], classes[order].astype(np.int16)
+            keys, classes, times, sources = keys[order], classes[order].astype(np.int16), times[order], sources[order]
+            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+            lengths = np.diff(np.append(starts, len(keys)))
+            total = np.minimum(np.add.reduceat(times.astype(np.int64), starts), 65_535).astype(np.uint16)
             near = (keys[1:] == keys[:-1]) & (classes[1:] - classes[:-1] <= reach)
-            keep = np.zeros(len(keys), bool)
+            keep = np.repeat(np.maximum.reduceat(times, starts) > 1, lengths)  # sizes in a block are not told
             keep[1:] |= near
             keep[:-1] |= near
-            starts = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
-            lengths = np.diff(np.append(starts, len(keys)))
-            counts = np.repeat(np.minimum(lengths, 65_535).astype(np.uint16), lengths)[keep]
-            keys, order = keys[keep], order[keep]
-            docs, blocks = docs[order], blocks[order]
-            by = np.argsort(blocks, kind="stable")
-            keys, docs, counts, blocks = keys[by], docs[by], counts[by], blocks[by]
-            at = np.flatnonzero(np.diff(blocks, prepend=-1))
-            for a, b in zip(at, [*at[1:], len(blocks)]):
+            total = np.repeat(total, lengths)[keep]
+            keys, sources, places = keys[keep], sources[keep], places[order][keep]
+            by = np.argsort(sources, kind="stable")
+            keys, sources, places, total = keys[by], sources[by], places[by], total[by]
+            at = np.flatnonzero(np.diff(sources, prepend=-1))
+            for a, b in zip(at, [*at[1:], len(sources)]):
+                source = entries[sources[a]][0]
+                posted = sources[a] < len(packed)
+                docs = np.frombuffer(source[2], np.uint16)[places[a:b]].tobytes() if posted else None
                 out.append((
-                    packed[blocks[a]][0], part, False, tokens.pack_low(keys[a:b], KEY_BYTES),
-                    docs[a:b].tobytes(), counts[a:b].tobytes(),
+                    source[0], part, POSTINGS if posted else COUNTS, tokens.pack_low(keys[a:b], KEY_BYTES),
+                    docs, total[a:b].tobytes(),
                 ))
-        kinds = [pa.int64(), pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
         columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)]
-        return pa.table(columns, ["block", "part", "head", "keys", "docs", "counts"])
+        return pa.table(columns, ["block", "part", "kind", "keys", "docs", "counts"])
 
     return rows
 
 
-def _rank(threshold: float):
+def _rank(threshold: float, parts: int):
     """Per document: size, shared shingles from the shortest list to the longest, and a digest."""
 
     def rows(table: pa.Table) -> pa.Table:
         keys, docs, counts = [], [], []
+        known_keys, known_counts = [], []
         for batch in table.to_batches():
             for i in range(batch.num_rows):
-                _, part, head, *data = (batch.column(c)[i].as_py() for c in range(6))
-                if head:
+                _, part, kind, *data = (batch.column(c)[i].as_py() for c in range(6))
+                if kind == HEAD:
                     names = np.frombuffer(data[0], "<i8")
                     known = np.frombuffer(data[1], bool)
                     sizes = np.frombuffer(data[2], "<i8")
+                elif kind == WAITING:
+                    values, owners = np.frombuffer(data[0], "<u8"), np.frombuffer(data[1], np.uint16)
+                    whole = tokens.in_range(values, parts)
                 else:
-                    keys.append(tokens.unpack_low(data[0], KEY_BYTES) | np.uint64(part) << np.uint64(40))
-                    docs.append(np.frombuffer(data[1], np.uint16))
-                    counts.append(np.frombuffer(data[2], np.uint16))
+                    own = tokens.unpack_low(data[0], KEY_BYTES) | np.uint64(part) << np.uint64(40)
+                    if kind == POSTINGS:
+                        keys.append(own)
+                        docs.append(np.frombuffer(data[1], np.uint16))
+                        counts.append(np.frombuffer(data[2], np.uint16))
+                    else:
+                        known_keys.append(own)
+                        known_counts.append(np.frombuffer(data[2], np.uint16))
+        if len(whole):  # every shingle that waits has its count
+            told, lengths = np.concatenate(known_keys), np.concatenate(known_counts)
+            order = np.argsort(told)
+            keys.append(whole)
+            docs.append(owners)
+            counts.append(lengths[order][np.searchsorted(told[order], whole)])
         digests: list[bytes | None] = [None] * len(sizes)
         ranked: list[bytes | None] = [None] * len(sizes)
         if keys:
@@ -237,7 +279,7 @@ def shingle_sets(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> Dat
     reach = math.floor(math.log(1 / threshold) / math.log(1.1)) + 1
     packed = docs.select("doc_id", "text").mapInArrow(_pack(size, parts), PACKED)
     shared = packed.groupBy("part").applyInArrow(_share(reach), SHARED)
-    return materialise(shared.groupBy("block").applyInArrow(_rank(threshold), SETS))
+    return materialise(shared.groupBy("block").applyInArrow(_rank(threshold, parts), SETS))
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
@@ -250,6 +292,34 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     return pairs.mapInArrow(_probe(threshold), "a long, b long")
 
 
+def _neighbours(lists: DataFrame, turn: int, nearest: int) -> DataFrame:
+    """Pairs ``(a, b)`` to try: neighbours in each list by size and, differently in each, at random.
+
+    Only pairs in two components, and of each member's the ``nearest`` that most lists name.
+    """
+    crowded = lists.groupBy("shingle").count().where(F.col("count") > CROWD)
+    spread = F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("count") / CROWD)), F.lit(0))
+    crowds = lists.join(crowded, "shingle", "left").withColumn("crowd", spread)
+    sizes = Window.partitionBy("shingle", "crowd").orderBy("n", "id")
+    mixed = Window.partitionBy("shingle", "crowd").orderBy(F.xxhash64("id", "shingle", F.lit(turn)), "id")
+    other = F.struct("id", "root")
+    near = crowds.select("id", "root", F.array(F.lag(other).over(sizes), F.lag(other).over(mixed)).alias("to"))
+    near = near.select("id", "root", F.explode("to").alias("to")).where("root <> to.root")
+    pairs = near.select(F.greatest("id", "to.id").alias("a"), F.least("id", "to.id").alias("b"))
+    votes = pairs.groupBy("a", "b").agg(F.count("*").alias("votes"))
+    best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
+    return votes.withColumn("place", F.row_number().over(best)).where(F.col("place") <= nearest).select("a", "b")
+
+
+def _still_open(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The lists whose members are in several components, with each member's ``root``."""
+    known = roots.select("id", "root")
+    lists = lists.select("shingle", "id", "n", "at").join(known, "id", "left")
+    lists = lists.withColumn("root", F.coalesce("root", "id"))
+    split = lists.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    return lists.join(split.where("low < high").select("shingle"), "shingle", "left_semi")
+
+
 def jaccard_components(
     docs: DataFrame, size: int = 5, threshold: float = 0.75, nearest: int = NEAREST
 ) -> DataFrame:
@@ -261,37 +331,34 @@ def jaccard_components(
     without doc_id gets its size and no component. An empty table gives an empty result. All words
     of a text count, however long it is.
     """
+    with small_batches(docs.sparkSession):
+        return _components(docs, size, threshold, nearest)
+
+
+def _components(docs: DataFrame, size: int, threshold: float, nearest: int) -> DataFrame:
     sets = shingle_sets(docs, size, threshold)
     open_ = sets.where("ranked IS NOT NULL")
     # Equal sets: one member stands for all.
     equal = open_.where("digest IS NOT NULL").select("doc_id", "digest")
     first = equal.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = equal.join(first, "digest").where("doc_id <> first").select("doc_id", "first").distinct()
-    copies = materialise_small(copies)
+    copies = materialise(copies)
     members = open_.join(copies, "doc_id", "left_anti").select("doc_id", "n", "ranked")
     members = materialise(members)
     lists = members.mapInArrow(_short_lists(threshold), "shingle long, id long, n long, at long")
     lists = materialise(lists)
 
-    # First round: neighbours in each list, by size and at random; the most frequent are probed.
-    sizes = Window.partitionBy("shingle").orderBy("n", "id")
-    mixed = Window.partitionBy("shingle").orderBy(F.xxhash64("id"), "id")
-    near = lists.select("id", F.array(F.lag("id").over(sizes), F.lag("id").over(mixed)).alias("to"))
-    near = near.select("id", F.explode("to").alias("to"))
-    pairs = near.where("id <> to").select(F.greatest("id", "to").alias("a"), F.least("id", "to").alias("b"))
-    votes = pairs.groupBy("a", "b").agg(F.count("*").alias("votes"))
-    best = Window.partitionBy("a").orderBy(F.desc("votes"), "b")
-    pairs = votes.withColumn("place", F.row_number().over(best)).where(F.col("place") <= nearest)
-    tried = pairs.select("a", "b")
-    links = materialise_small(_verified(tried, members, threshold))
-    roots = materialise_small(components(links))
-
-    # Second round: every pair of a list that is still in two components.
-    known = roots.select("id", "root")
-    lists = lists.join(known, "id", "left").withColumn("root", F.coalesce("root", "id"))
-    split = lists.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    lists = lists.join(split.where("low < high").select("shingle"), "shingle", "left_semi")
-    lists = materialise_small(lists)
+    # First some neighbours in each list, until most of a group is one component.
+    links = roots = None
+    for turn in range(ROUNDS):
+        alone = lists.withColumn("root", F.col("id"))
+        tried = _neighbours(alone if roots is None else _still_open(lists, roots), turn, nearest)
+        found = materialise(_verified(tried, members, threshold))
+        links = found if links is None else links.union(found)
+        roots = materialise(components(links))
+
+    # Then every pair of a list that is still in two components.
+    lists = materialise(_still_open(lists, roots))
     one, two = lists.alias("one"), lists.alias("two")
     percent = round(threshold * 100)
     rest = F.least(F.col("one.n") - F.col("one.at"), F.col("two.n") - F.col("two.at"))
@@ -303,7 +370,7 @@ def jaccard_components(
         & (F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent)
         & (rest * (100 + percent) >= total * percent),
     ).select(F.greatest("one.id", "two.id").alias("a"), F.least("one.id", "two.id").alias("b"))
-    late = _verified(pairs.distinct(), members, threshold)
+    late = materialise(_verified(pairs.distinct(), members, threshold))
     ends = late
     for end in ("a", "b"):
         at = roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))
@@ -319,7 +386,7 @@ def jaccard_components(
     owners = copies.select(F.col("doc_id"), F.col("first").alias("id"))
     owners = owners.union(tops.select(F.col("id").alias("doc_id"), "id"))
     owners = owners.join(tops, "id").groupBy("doc_id").agg(F.min("top").alias("top"))
-    owners = materialise_small(owners)
+    owners = materialise(owners)
     result = sets.select("doc_id", F.col("n").alias("n_shingles")).join(owners, "doc_id", "left")
     return result.select("doc_id", "n_shingles", F.coalesce("top", "doc_id").alias("component_id"))
 

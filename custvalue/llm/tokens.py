@@ -164,6 +164,20 @@ def range_of(values: np.ndarray, parts: int) -> np.ndarray:
     return ((values >> np.uint64(40)) * np.uint64(parts) >> np.uint64(24)).astype(np.uint16)
 
 
+def by_range(values: np.ndarray, parts: int) -> Iterator[tuple[int, int, int]]:
+    """The ranges of sorted hashes: number, begin and end."""
+    part = range_of(values, parts).astype(np.int32)
+    at = np.flatnonzero(np.diff(part, prepend=-1))
+    for a, b in zip(at, [*at[1:], len(part)]):
+        yield int(part[a]), int(a), int(b)
+
+
+def in_range(values: np.ndarray, parts: int) -> np.ndarray:
+    """Hashes as their range above the low 40 bits, as packed rows tell them."""
+    low = values & np.uint64((1 << 40) - 1)
+    return low | range_of(values, parts).astype(np.uint64) << np.uint64(40)
+
+
 def pack_low(values: np.ndarray, width: int) -> bytes:
     """The low ``width`` bytes of 64-bit values."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width]).tobytes()
