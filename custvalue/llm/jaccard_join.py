@@ -39,7 +39,8 @@ BLOCK_SHINGLES = 2_000_000  # shingles that a task packs together
 BLOCK_DOCS = 60_000  # documents of a block are numbered with 16 bits
 KEY_BYTES = 5  # of a shingle's hash inside a range; the range adds its own bits
 ROUNDS = 2  # of trying neighbours before all open pairs
-NEAREST = 6  # partners that each member tries in such a round
+NEAREST = 6  # partners that each member tries in the first round
+MORE = 4  # times as many in the next, where few lists are still open
 
 CROWD = 50_000  # members of a list that look for neighbours together
 
@@ -352,7 +353,7 @@ def _components(docs: DataFrame, size: int, threshold: float, nearest: int) -> D
     links = roots = None
     for turn in range(ROUNDS):
         alone = lists.withColumn("root", F.col("id"))
-        tried = _neighbours(alone if roots is None else _still_open(lists, roots), turn, nearest)
+        tried = _neighbours(alone if roots is None else _still_open(lists, roots), turn, nearest * MORE**turn)
         found = materialise(_verified(tried, members, threshold))
         links = found if links is None else links.union(found)
         roots = materialise(components(links))
