@@ -10,7 +10,8 @@ Sorting every position would move many times the corpus. Two things avoid this:
 * In the first round only *anchors* are sorted: of all half prefixes inside a full string, the one
   with the smallest name (with ties, each of them). Equal strings have equal anchors, so a string
   whose anchor is unique in the corpus is unique itself, and its positions leave before the second
-  round. A few per cent of positions are anchors.
+  round. A few per cent of positions are anchors, and what a task's block has several times is
+  sent once with its count.
 * In the second round, all strings that share an anchor travel together as one fragment of text, and
   the ranks are named and paired where they are sorted. Equal fragments of one task are one entry,
   so a passage or document with thousands of copies is sent once per task. The strings around an
@@ -42,8 +43,11 @@ CROWDED = 1_000  # places from which on an anchor's strings are dealt out by mor
 SPREAD = 4  # hash ranges per shuffle partition in the second round
 LAST = (1 << 63) - 1  # a missing doc_id comes after all others
 
-ANCHORS = "part int, block long, head boolean, keys binary, docs binary, places binary"
-SHARED_SCHEMA = "block long, head boolean, places binary, docs binary, prints binary, crowded binary"
+# Kinds of rows on the way: a block's documents, anchors that it has once, counts of those that it has
+# several times, and the places of these, which wait for the count of the whole corpus.
+HEAD, POSTINGS, COUNTS, WAITING = range(4)
+ANCHORS = "part int, block long, kind int, keys binary, docs binary, places binary"
+SHARED_SCHEMA = "block long, part int, kind int, keys binary, docs binary, places binary, crowded binary"
 ALIVE = "id long, print long, alive binary, crowded binary"
 FRAGMENTS = (
     "part int, bytes binary, lengths binary, ids binary, prints binary, starts binary,"
@@ -124,25 +128,34 @@ def _anchors(length: int, parts: int):
 
         def flush() -> pa.RecordBatch:
             block = (task << 32) + number
+            turn = (7 * task + number) % parts  # rows of no range take turns over all
             out = [(
-                (7 * task + number) % parts, block, True, None,
+                turn, block, HEAD, None,
                 np.concatenate([h[0] for h in heads]).tobytes(), np.concatenate([h[1] for h in heads]).tobytes(),
             )]
             key, doc, place = (np.concatenate(c) for c in zip(*packed))
-            part = tokens.range_of(key, parts)
-            order = np.argsort(part, kind="stable")
-            part, key, doc, place = part[order], key[order], doc[order], place[order]
-            at = np.flatnonzero(np.diff(part.astype(np.int32), prepend=-1))
-            for a, b in zip(at, [*at[1:], len(part)]):
+            order = np.argsort(key)
+            key, doc, place = key[order], doc[order], place[order]
+            first = np.flatnonzero(np.append(True, key[1:] != key[:-1]))
+            times = np.diff(np.append(first, len(key)))
+            several = np.repeat(times > 1, times)
+            single, repeated = np.flatnonzero(~several), first[times > 1]
+            for part, a, b in tokens.by_range(key[single], parts):
+                own = single[a:b]
                 out.append((
-                    int(part[a]), block, False, tokens.pack_low(key[a:b], KEY_BYTES),
-                    doc[a:b].tobytes(), place[a:b].tobytes(),
+                    part, block, POSTINGS, tokens.pack_low(key[own], KEY_BYTES), doc[own].tobytes(), place[own].tobytes(),
                 ))
+            counts = times[times > 1].astype("<u4")
+            for part, a, b in tokens.by_range(key[repeated], parts):
+                low = tokens.pack_low(key[repeated[a:b]], KEY_BYTES)
+                out.append((part, block, COUNTS, low, counts[a:b].tobytes(), None))
+            waiting = (key[several].tobytes(), doc[several].tobytes(), place[several].tobytes())
+            out.append((turn, block, WAITING, *waiting))
             packed.clear()
             heads.clear()
-            kinds = [pa.int32(), pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
+            kinds = [pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
             columns = [pa.array(c, k) for c, k in zip(zip(*out), kinds)]
-            return pa.record_batch(columns, ["part", "block", "head", "keys", "docs", "places"])
+            return pa.record_batch(columns, ["part", "block", "kind", "keys", "docs", "places"])
 
         for batch in batches:
             data, bounds = tokens.texts(batch.column(3))
@@ -178,57 +191,77 @@ def _rows(table: pa.Table) -> Iterator[tuple]:
 
 def _repeated(table: pa.Table) -> pa.Table:
     """First round: sort the anchors by rank and keep those that are not unique."""
-    out, packed = [], []
-    for _, block, head, keys, docs, places in _rows(table):
-        if head:
-            out.append((block, True, None, docs, places, None))
+    out, packed, counted = [], [], []
+    part = table.column("part")[0].as_py()
+    for _, block, kind, *data in _rows(table):
+        if kind in (HEAD, WAITING):
+            out.append((block, -1, kind, *data, None))
         else:
-            packed.append((block, keys, docs, places))
-    if packed:
-        keys = np.concatenate([tokens.unpack_low(p[1], KEY_BYTES) for p in packed])
-        docs = np.concatenate([np.frombuffer(p[2], np.uint16) for p in packed])
-        places = np.concatenate([np.frombuffer(p[3], np.uint32) for p in packed])
-        blocks = np.repeat(np.arange(len(packed), dtype=np.int32), [len(p[2]) // 2 for p in packed])
+            (packed if kind == POSTINGS else counted).append((block, *data))
+    # Entries: postings stand for one place, counts for several of their block.
+    entries = [(p, np.ones(len(p[2]) // 2, np.uint32)) for p in packed]
+    entries += [(c, np.frombuffer(c[2], "<u4")) for c in counted]
+    if entries:
+        keys = np.concatenate([tokens.unpack_low(e[1], KEY_BYTES) for e, _ in entries])
+        times = np.concatenate([n for _, n in entries]).astype(np.int64)
+        sources = np.repeat(np.arange(len(entries), dtype=np.int32), [len(n) for _, n in entries])
         order = np.argsort(keys)
         first = np.flatnonzero(np.append(True, keys[order][1:] != keys[order][:-1]))
-        times = np.diff(np.append(first, len(keys)))
-        count = np.empty(len(keys), np.int64)
-        count[order] = np.repeat(times, times)
-        keep = count > 1
-        docs, places, blocks, crowded = docs[keep], places[keep], blocks[keep], count[keep] > CROWDED
-        at = np.flatnonzero(np.diff(blocks, prepend=-1))
-        for a, b in zip(at, [*at[1:], len(blocks)]):
-            out.append((
-                packed[blocks[a]][0], False, places[a:b].tobytes(), docs[a:b].tobytes(), None, crowded[a:b].tobytes(),
-            ))
-    kinds = [pa.int64(), pa.bool_(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
-    columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 6, kinds)]
-    return pa.table(columns, ["block", "head", "places", "docs", "prints", "crowded"])
-
-
-def _by_document(table: pa.Table) -> pa.Table:
-    """The places of a block's anchors that stay, by document."""
-    docs, places, crowds = [], [], []
-    own = prints = np.zeros(0, np.int64)
-    for _, head, place, doc, last, crowd in _rows(table):
-        if head:
-            own, prints = np.frombuffer(doc, np.int64), np.frombuffer(last, np.int64)
-        else:
-            docs.append(np.frombuffer(doc, np.uint16))
-            places.append(np.frombuffer(place, np.uint32))
-            crowds.append(np.frombuffer(crowd, bool))
-    none = np.zeros(0, np.uint32)
-    doc, place = np.concatenate([none.astype(np.uint16), *docs]), np.concatenate([none, *places])
-    crowd = np.concatenate([none.astype(bool), *crowds])
-    order = np.argsort(doc, kind="stable")
-    doc, place, crowd = doc[order], place[order], crowd[order]
-    at = np.flatnonzero(np.diff(doc.astype(np.int32), prepend=-1))
-    ends = [*at[1:], len(doc)]
-    alive = [place[a:b].tobytes() for a, b in zip(at, ends)]
-    crowded = [place[a:b][crowd[a:b]].tobytes() for a, b in zip(at, ends)]
-    return pa.table([
-        pa.array(own[doc[at]]), pa.array(prints[doc[at]]), pa.array(alive, pa.binary()), pa.array(crowded, pa.binary()),
-    ], ["id", "print", "alive", "crowded"])
+        total = np.empty(len(keys), np.int64)
+        total[order] = np.repeat(np.add.reduceat(times[order], first), np.diff(np.append(first, len(keys))))
+        at = np.searchsorted(sources, np.arange(len(entries) + 1))
+        for (source, _), a, b, posted in zip(entries, at, at[1:], [True] * len(packed) + [False] * len(counted)):
+            keep = total[a:b] > 1
+            if not keep.any():
+                continue
+            crowded = (total[a:b][keep] > CROWDED).tobytes()
+            if posted:
+                docs, places = np.frombuffer(source[2], np.uint16)[keep], np.frombuffer(source[3], np.uint32)[keep]
+                out.append((source[0], part, POSTINGS, None, docs.tobytes(), places.tobytes(), crowded))
+            else:
+                out.append((source[0], part, COUNTS, source[1], None, None, crowded))
+    kinds = [pa.int64(), pa.int32(), pa.int32(), *[pa.binary()] * 4]
+    columns = [pa.array(c, k) for c, k in zip(zip(*out) if out else [()] * 7, kinds)]
+    return pa.table(columns, ["block", "part", "kind", "keys", "docs", "places", "crowded"])
+
+
+def _by_document(parts: int):
+    """The places of a block's anchors that stay, by document, and which of them are crowded."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        docs, places, crowds = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint32)], [np.zeros(0, bool)]
+        told, told_crowded = [np.zeros(0, np.uint64)], [np.zeros(0, bool)]
+        for _, part, kind, keys, doc, place, crowd in _rows(table):
+            if kind == HEAD:
+                own, prints = np.frombuffer(doc, np.int64), np.frombuffer(place, np.int64)
+            elif kind == COUNTS:
+                told.append(tokens.unpack_low(keys, KEY_BYTES) | np.uint64(part) << np.uint64(40))
+                told_crowded.append(np.frombuffer(crowd, bool))
+            else:
+                docs.append(np.frombuffer(doc, np.uint16))
+                places.append(np.frombuffer(place, np.uint32))
+                if kind == POSTINGS:
+                    crowds.append(np.frombuffer(crowd, bool))
+                else:
+                    waiting = len(docs) - 1
+                    wanted = tokens.in_range(np.frombuffer(keys, np.uint64), parts)
+                    crowds.append(np.zeros(len(wanted), bool))
+        known, crowded = np.concatenate(told), np.concatenate(told_crowded)
+        if len(wanted):  # every anchor that waits has its count
+            order = np.argsort(known)
+            crowds[waiting] = crowded[order][np.searchsorted(known[order], wanted)]
+        doc, place, crowd = np.concatenate(docs), np.concatenate(places), np.concatenate(crowds)
+        order = np.argsort(doc, kind="stable")
+        doc, place, crowd = doc[order], place[order], crowd[order]
+        at = np.flatnonzero(np.diff(doc.astype(np.int32), prepend=-1))
+        ends = [*at[1:], len(doc)]
+        alive = [place[a:b].tobytes() for a, b in zip(at, ends)]
+        many = [place[a:b][crowd[a:b]].tobytes() for a, b in zip(at, ends)]
+        return pa.table([
+            pa.array(own[doc[at]]), pa.array(prints[doc[at]]), pa.array(alive, pa.binary()), pa.array(many, pa.binary()),
+        ], ["id", "print", "alive", "crowded"])
+
+    return rows
 
 
 def _places(column: pa.Array, bounds: np.ndarray) -> np.ndarray:
@@ -470,7 +503,7 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     )
     anchors = rows.mapInArrow(_anchors(length, parts), ANCHORS)
     shared = anchors.groupBy("part").applyInArrow(_repeated, SHARED_SCHEMA)
-    alive = materialise(shared.groupBy("block").applyInArrow(_by_document, ALIVE))
+    alive = materialise(shared.groupBy("block").applyInArrow(_by_document(parts), ALIVE))
     places = alive.groupBy("id", "print").agg(
         F.collect_list("alive").alias("alive"), F.collect_list("crowded").alias("crowded")
     )
