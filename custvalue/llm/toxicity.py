@@ -3,8 +3,9 @@
 Words become symbols: insults and threats (with a weight), targets, negations, verbs of reported
 speech, clause ends. Four small transducers read the symbols of a clause one after the other. The
 negation transducer marks what follows a negation, the report transducer what follows a verb of
-speech, the target transducer binds insults and threats to the person they meet. They are composed
-into one machine, whose outputs are outcomes such as a plain, a targeted or a denied insult. A
+speech, the target transducer binds insults and threats to a person named before them. They are composed
+into one machine, whose outputs are outcomes such as a plain, a targeted or a denied insult. A threat
+that is still plain is bound to a person named later in the clause, too ("I will kill you"). A
 document's score is a logistic function of the weight of its matched clauses per outcome.
 
 The lexicon of insults is a short list of common ones and, learned from the labels, beginnings of
@@ -198,11 +199,18 @@ def clause_features(batch_text: pa.Array, lexicon: Lexicon, words: tokens.Words)
         docs = np.searchsorted(ranges, hits, "right") - 1
         spans = np.searchsorted(clauses, hits, "right") - 1
         for doc, span in dict.fromkeys(zip(docs.tolist(), spans.tolist())):
-            state = GRAMMAR.start
+            state, waiting = GRAMMAR.start, []
             for i in range(clauses[span], clauses[span + 1]):
-                state, outcome = GRAMMAR.step[state][int(symbols[i])]
-                if outcome is not None:
+                symbol = int(symbols[i])
+                state, outcome = GRAMMAR.step[state][symbol]
+                if symbol == TARGET:
+                    out[first + doc, number["targeted threat"]] += weights[waiting].sum()
+                    waiting.clear()
+                elif outcome == "threat":
+                    waiting.append(i)
+                elif outcome is not None:
                     out[first + doc, number[outcome]] += weights[i]
+            out[first + doc, number["threat"]] += weights[waiting].sum()
     return out
 
 

@@ -25,6 +25,11 @@ def outcomes(text):
     ("she said so. You loser", {"targeted insult": 1}),  # another clause
     ("they will kill them", {"targeted threat": 1}),
     ("the idiots, you said", {"insult": 1}),
+    ("I will kill you", {"targeted threat": 1}),
+    ("we will hurt and burn them", {"targeted threat": 2}),
+    ("kill the process", {"threat": 1}),
+    ("kill the process. You said so", {"threat": 1}),  # another clause
+    ("I will not kill you", {"denied threat": 1}),
     ("idiotic and trashy", {}),
     ("", {}), (None, {}),
 ])
