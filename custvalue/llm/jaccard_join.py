@@ -1,10 +1,10 @@
-"""N-gram Jaccard join by T-occurrence search with divided lists.
+"""N-gram Jaccard join by prefix filtering.
 
 Two documents link when their sets of word shingles overlap in at least ``T`` shingles, where ``T``
 follows from the Jaccard threshold and the set sizes. The inverted lists of a document's shingles
 are divided: if the ``L = T - 1`` longest lists are set aside, a partner must occur in the short
-lists that are left. So the short lists are merged first, which gives candidates with the number of
-their occurrences, and the long lists are probed only for these, by binary search in the sorted set.
+lists that are left. One occurrence there makes a candidate, which is verified on the whole sets, by
+binary search in the sorted set. Occurrences are counted only to choose the neighbours to try first.
 
 The lists are built in packed blocks: a task sends one row per block and hash range instead of one
 row per shingle. A shingle that a block has several times is sent once with its count, and its
