@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from custvalue.llm.decontamination import contaminated
 from custvalue.llm.jaccard_join import jaccard_components
 from custvalue.llm.license_scan import license_scan
+from custvalue.llm.mixing import mix
 from custvalue.llm.oracle import ORACLE
 from custvalue.llm.packing import pack
 from custvalue.llm.passage_dedup import repeated_passages
@@ -78,6 +79,12 @@ def op10_passage_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_passages(_table(spark, sf_dir, "documents"))
 
 
+def op11_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words of every document a mix of the sources by weights 5, 2, 1 takes."""
+    found = mix(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "cut")
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -89,4 +96,5 @@ QUERIES: dict[str, Query] = {
     "op8_quality_model": op8_quality_model,
     "op9_quality_rules": op9_quality_rules,
     "op10_passage_dedup": op10_passage_dedup,
+    "op11_pivotal_mixing": op11_pivotal_mixing,
 }
