@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from custvalue.llm.decontamination import contaminated
+from custvalue.llm.importance import resample
 from custvalue.llm.jaccard_join import jaccard_components
 from custvalue.llm.license_scan import license_scan
 from custvalue.llm.mixing import mix
@@ -85,6 +86,11 @@ def op11_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "cut")
 
 
+def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weight of every document towards the benchmark's words, and the tenth that is drawn by it."""
+    return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Query] = {
     "op1_best_fit_packing": op1_best_fit_packing,
     "op2_jaccard_join": op2_jaccard_join,
@@ -97,4 +103,5 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_passage_dedup": op10_passage_dedup,
     "op11_pivotal_mixing": op11_pivotal_mixing,
+    "op13_importance_resampling": op13_importance_resampling,
 }
