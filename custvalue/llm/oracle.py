@@ -99,10 +99,37 @@ SELECT doc_id, n_features, weight, score, CASE WHEN place <= taken THEN place EN
 FROM scored LEFT JOIN ranked USING (doc_id)
 """
 
+LEXICAL_SEARCH = f"""
+WITH docs AS ({alnum_words("documents", "doc_id")}
+), items AS (
+  SELECT DISTINCT item_id, unnest(w) AS term FROM ({alnum_words("benchmark", "item_id")})
+), sizes AS (
+  SELECT doc_id, len(w) AS n FROM docs WHERE len(w) > 0
+), totals AS (
+  SELECT count(*) AS all_n, CAST(sum(n) AS BIGINT) AS all_l FROM sizes
+), postings AS (
+  SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest(w) AS term FROM docs) GROUP BY ALL
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * all_n + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS weight
+  FROM (SELECT term, count(*) AS df FROM postings GROUP BY term), totals
+), scored AS (
+  SELECT item_id, doc_id,
+         CAST(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 90 + (90 * n * all_n) // all_l)))) AS BIGINT)
+           AS score
+  FROM items JOIN postings USING (term) JOIN weights USING (term) JOIN sizes USING (doc_id), totals
+  GROUP BY item_id, doc_id
+), ranked AS (
+  SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score
+  FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
 # The others are tested against brute force, exact round trips or held-out labels in tests/llm.
 ORACLE: dict[str, str] = {
     "op2_jaccard_join": JACCARD_JOIN,
     "op4_decontamination": DECONTAMINATION,
     "op9_quality_rules": QUALITY_RULES_SQL,
+    "op12_term_pipeline_search": LEXICAL_SEARCH,
     "op13_importance_resampling": IMPORTANCE,
 }

@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from custvalue.llm.decontamination import contaminated
 from custvalue.llm.importance import resample
 from custvalue.llm.jaccard_join import jaccard_components
+from custvalue.llm.lexical_search import ranked_search
 from custvalue.llm.license_scan import license_scan
 from custvalue.llm.mixing import mix
 from custvalue.llm.oracle import ORACLE
@@ -86,6 +87,11 @@ def op11_pivotal_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "size", "source_size", "target", "taken", "source", "copies", "cut")
 
 
+def op12_term_pipeline_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten documents of the highest lexical score for every benchmark item."""
+    return ranked_search(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
+
+
 def op13_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Weight of every document towards the benchmark's words, and the tenth that is drawn by it."""
     return resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
@@ -103,5 +109,6 @@ QUERIES: dict[str, Query] = {
     "op9_quality_rules": op9_quality_rules,
     "op10_passage_dedup": op10_passage_dedup,
     "op11_pivotal_mixing": op11_pivotal_mixing,
+    "op12_term_pipeline_search": op12_term_pipeline_search,
     "op13_importance_resampling": op13_importance_resampling,
 }
