@@ -1,11 +1,11 @@
-"""Exact order statistics without sorting or gathering a group in one task.
-
-``F.median`` and a global ``row_number`` hold a whole group in one task. Here a quantile sketch
-(fixed size, merged map-side) brackets the wanted ranks, and one exact count pass finds how many
-rows lie below the bracket and how often each value in it occurs. The bracket spans a few of the
-``GRID_STEPS`` sketch steps, whatever the values look like, so it holds under one percent of a
-group's rows, and equal values count as one. When even that is much, the bracket's values are cut
-into tiles of equal size, and only the tiles that hold a wanted rank are ordered.
+"""Exact order statistics by radix histograms, without sorting or gathering a group in one task.
+
+``F.median`` and a global ``row_number`` hold a whole group in one task. Here each value becomes a 64-bit
+key in the same order, and a round counts rows by the next ``DIGIT_BITS`` bits of the key, per group. The
+running count over these buckets tells in which bucket each wanted rank lies, and only its rows go into the
+next round. Four rounds see all bits; as soon as the wanted buckets hold few rows, one last round takes all
+remaining bits at once. Every round is an aggregate that folds before its shuffle, and what meets in one
+task are the counts of a group, never its rows: at most ``BUCKETS`` per group and wanted rank.
 """
 
 from __future__ import annotations
@@ -16,25 +16,59 @@ from operator import or_
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custvalue.functions.materialise import materialise
 
-GRID_STEPS = 500
-GRID = [step / GRID_STEPS for step in range(GRID_STEPS + 1)]
-# The sketch's rank error is a tenth of a grid step, so one step of margin always covers it.
-SKETCH_ACCURACY = GRID_STEPS * 10
-# Grid steps a bracket may span: two neighbouring ranks, rounding, and a margin on each side.
-BRACKET_STEPS = 6
-# A bracket that may hold more values than this in one group is cut into tiles.
-ORDERED_VALUES = 2_000_000
+KEY_BITS = 64
+DIGIT_BITS = 16
+BUCKETS = 1 << DIGIT_BITS
 # Per-group rows go to the other side by broadcast up to this many bytes, by shuffle beyond.
 BROADCAST_BYTES = 8 << 20
 BRACKET_BYTES = 256
-SPLITS_BYTES = 8 * len(GRID)
+
+# The layout of a double: its exponent's range and bias, and the bits of its fraction.
+FRACTION = float(1 << 52)
+BIAS = 1023
+LEAST_EXPONENT = -1022
 
 Rank = Callable[[Column], Column]
 
 
+def with_ordered_key(df: DataFrame, value: str, out_col: str) -> DataFrame:
+    """Add a value as a long in the same order; equal values, and only those, have equal keys.
+
+    A whole number is its own key. A double's key is its exponent followed by its fraction, found by exact
+    scaling with powers of two, and negative for a negative number. Minus zero equals zero; not-a-number
+    comes last. The steps are projections of their own, so that each is computed once a row.
+    """
+    kind, whole = df.schema[value].dataType, df.columns
+    if isinstance(kind, (T.ByteType, T.ShortType, T.IntegerType, T.LongType)):
+        return df.withColumn(out_col, F.col(value).cast("long"))
+    if not isinstance(kind, (T.DoubleType, T.FloatType)):
+        raise TypeError(f"no order statistics of {kind.simpleString()} values")
+    size, near, scaled = F.col("_size"), F.col("_near"), F.col("_scaled")
+    limited = F.greatest(F.least(F.floor(F.log2(size)), F.lit(BIAS)), F.lit(LEAST_EXPONENT)).cast("int")
+    # The logarithm may be one off beside a power of two; the scaled number then tells.
+    up, down = scaled >= 2, (scaled < 1) & (near > LEAST_EXPONENT)
+    exponent = near + F.when(up, 1).when(down, -1).otherwise(0)
+    fraction = F.when(up, scaled / 2).when(down, scaled * 2).otherwise(scaled) - 1
+    bits = (exponent + BIAS).cast("long") * F.lit(1 << 52) + (fraction * F.lit(FRACTION)).cast("long")
+    key = (
+        F.when(size == 0, F.lit(0).cast("long"))
+        .when(size == F.lit(float("inf")), F.lit((2 * BIAS + 1) << 52))
+        .otherwise(bits)
+    )
+    signed = F.when(F.col(value) < 0, -F.col("_bits")).otherwise(F.col("_bits"))
+    return (
+        df.select(*whole, F.abs(F.col(value).cast("double")).alias("_size"))
+        .select("*", limited.alias("_near"))
+        .select("*", (size * F.pow(F.lit(2.0), -near)).alias("_scaled"))
+        .select(*whole, size, key.alias("_bits"))
+        .select(*whole, F.when(F.isnan("_size"), F.lit((1 << 63) - 1)).otherwise(signed).alias(out_col))
+    )
+
+
 def order_statistics(
     rows: DataFrame,
     value: str,
@@ -47,155 +81,111 @@ def order_statistics(
     ``ranks`` maps an output column to a function of the group's row count; ranks past the end
     mean the last row, ranks below 1 give null. Beside each output column ``c`` come ``c_rank``
     (the rank after that), ``c_below`` and ``c_equal`` (rows smaller than and equal to the value).
-    All ranks of one call share a bracket, so they should be neighbours. ``extra`` are aggregates
-    computed in the sketch's pass and returned too.
+    The ranks of one call may lie anywhere in a group; all are found in the same rounds. ``extra`` are
+    aggregates that are returned too, from a pass of their own.
 
-    ``rows`` is read twice and must give the same rows both times: hand in a materialised or
-    written one. ``value`` and the ``by`` columns must hold no nulls. Should a sketch miss a rank, its
-    groups are ordered without a bracket.
+    ``rows`` is read two to four times and must give the same rows each time: hand in a materialised
+    or written one. ``value`` and the ``by`` columns must hold no nulls.
     """
-    keys = [*by, *[f"{c}_rank" for c in ranks]]
-    brackets = materialise(_brackets(rows, value, ranks, by, extra))
-    groups, largest = brackets.agg(F.count(F.lit(1)), F.max("_n")).first()
-    in_bracket = (largest or 0) * BRACKET_STEPS / GRID_STEPS
-
-    found = materialise(_found(rows, value, list(ranks), keys, brackets, groups, in_bracket))
-    # A group whose rows all lie above its bracket is not found at all.
-    found = found.filter(~reduce(or_, [_missed(c) for c in ranks]))
-    lost = brackets.join(found.select(*by), list(by), "left_anti")
-    if not lost.isEmpty():
-        none = {c: F.lit(None).cast(lost.schema[c].dataType) for c in ("_low", "_high")}
-        wide = _found(rows, value, list(ranks), keys, lost.withColumns(none), groups, largest)
-        found = found.unionByName(wide)
-    kept = [c for c in brackets.columns if c not in ("_n", "_low", "_high", *keys)]
-    return found.select(*by, *[column for c in ranks for column in _unpacked(c)]).join(
-        brackets.select(*by, *kept), list(by)
-    )
-
-
-def _found(
-    rows: DataFrame,
-    value: str,
-    names: Sequence[str],
-    keys: Sequence[str],
-    brackets: DataFrame,
+    by, names = list(by), list(ranks)
+    keyed = with_ordered_key(rows.select(*by, F.col(value).alias("_value")), "_value", "_key")
+
+    shift = KEY_BITS - DIGIT_BITS
+    counted = keyed.groupBy(*by, F.shiftright("_key", shift).alias("_prefix")).agg(*_counts())
+    running = _running(counted, by, Window.partitionBy(*by).orderBy("_prefix"))
+    whole = F.sum("_rows").over(Window.partitionBy(*by))
+    wanted = {f"{c}_rank": F.least(rank(F.col("_n")), F.col("_n")).cast("long") for c, rank in ranks.items()}
+    placed = running.withColumn("_n", whole).withColumns(wanted)
+    keys = [*by, *wanted]
+    found = materialise(placed.groupBy(*keys).agg(*[_at_rank(c, F.lit(True)) for c in names]))
+    groups, most = _left(found, names)
+    while groups and shift:
+        step = DIGIT_BITS if most > BUCKETS else shift
+        found = _narrowed(keyed, found, by, keys, names, groups, shift, shift - step)
+        shift -= step
+        if shift:
+            found = materialise(found)
+            groups, most = _left(found, names)
+    result = found.select(*by, *[column for c in names for column in _unpacked(c)])
+    return result.join(rows.groupBy(*by).agg(*extra), by) if extra else result
+
+
+def _counts() -> list[Column]:
+    """Rows of a bucket, and its value if it has only one."""
+    return [F.count(F.lit(1)).alias("_rows"), F.min("_value").alias("_value")]
+
+
+def _running(counted: DataFrame, by: list[str], in_order) -> DataFrame:
+    upto = F.sum("_rows").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
+    return counted.withColumn("_upto", upto)
+
+
+def _left(found: DataFrame, names: list[str]) -> tuple[int, int]:
+    """How many groups there are, and the most rows that a bucket with a wanted rank holds."""
+    in_bucket = F.max(F.greatest(*[F.col(c)["rows"] for c in names], F.lit(0)))
+    groups, most = found.agg(F.count(F.lit(1)), in_bucket).first()
+    return groups, most or 0
+
+
+def _narrowed(
+    keyed: DataFrame,
+    found: DataFrame,
+    by: list[str],
+    keys: list[str],
+    names: list[str],
     groups: int,
-    in_bracket: float,
+    shift: int,
+    rest: int,
 ) -> DataFrame:
-    """Per group, what the exact count pass finds at each rank."""
-    by = [c for c in keys if c not in {f"{n}_rank" for n in names}]
-    limits = _sized(brackets.select(*keys, "_low", "_high"), groups, BRACKET_BYTES)
-    counted = _counted(rows.select(*by, value).join(limits, by), value, keys)
-    if in_bracket > ORDERED_VALUES:
-        running = _running_in_tiles(counted, keys, names, groups)
-    else:
-        ascending = Window.partitionBy(*keys).orderBy(F.asc_nulls_first("_probe"))
-        upto = F.sum("_rows").over(ascending.rowsBetween(Window.unboundedPreceding, 0))
-        running = counted.withColumn("_upto", upto)
-    return running.groupBy(*keys).agg(*[_at_rank(c) for c in names])
-
-
-def _missed(name: str) -> Column:
-    """Whether a rank's value lies outside its bracket."""
-    return (F.col(f"{name}_rank") >= 1) & F.col(name)["value"].isNull()
-
-
-def _sized(per_group: DataFrame, groups: int, row_bytes: int) -> DataFrame:
-    """Hint a broadcast of a counted per-group table when it is small enough."""
-    return F.broadcast(per_group) if groups * row_bytes <= BROADCAST_BYTES else per_group
-
+    """Each rank's bucket by the bits above ``rest``, given that by the bits above ``shift``.
 
-def _brackets(
-    rows: DataFrame,
-    value: str,
-    ranks: dict[str, Rank],
-    by: Sequence[str],
-    extra: Sequence[Column],
-) -> DataFrame:
-    """Per group: row count, clamped ranks, limits around them, and the extra aggregates."""
-    sketch = rows.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.percentile_approx(value, GRID, SKETCH_ACCURACY).alias("_grid"),
-        *extra,
-    )
-    clamped = {
-        f"{c}_rank": F.least(rank(F.col("_n")), F.col("_n")).cast("long")
-        for c, rank in ranks.items()
-    }
-    wanted = F.array(*clamped)
-    step = F.lit(float(GRID_STEPS)) / F.col("_n")
-    first = F.floor(F.array_min(wanted) * step).cast("int") - 1
-    last = F.ceil(F.array_max(wanted) * step).cast("int") + 1
-    # Outside the grid F.get is null: no limit on that side.
-    return (
-        sketch.withColumns(clamped)
-        .withColumns({"_low": F.get("_grid", first), "_high": F.get("_grid", last)})
-        .drop("_grid")
-    )
-
-
-def _counted(bounded: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
-    """How often each bracket value occurs; all rows below fold into one with a null ``_probe``."""
-    below = F.coalesce(F.col(value) < F.col("_low"), F.lit(False))
-    above = F.coalesce(F.col(value) > F.col("_high"), F.lit(False))
-    return (
-        bounded.filter(~above)
-        .groupBy(*keys, F.when(~below, F.col(value)).alias("_probe"))
-        .agg(F.count(F.lit(1)).alias("_rows"))
-    )
-
-
-def _running_in_tiles(
-    counted: DataFrame, keys: Sequence[str], names: Sequence[str], groups: int
-) -> DataFrame:
-    """Running counts, only for the tiles that hold a wanted rank.
-
-    The values are distinct by now, so sketched quantiles cut them evenly. A tile holds one part
-    in ``GRID_STEPS`` of a bracket, and the tiles of a group number ``GRID_STEPS`` at most.
+    Only rows of a bucket with a wanted rank are counted. Their running counts start at the rows that lie
+    below the bucket.
     """
-    counted = materialise(counted)
-    splits = (
-        counted.filter(F.col("_probe").isNotNull())
-        .groupBy(*keys)
-        .agg(F.percentile_approx("_probe", GRID, SKETCH_ACCURACY).alias("_splits"))
-    )
-    smaller = F.size(F.filter("_splits", lambda split: split < F.col("_probe")))
-    tiled = counted.join(_sized(splits, groups, SPLITS_BYTES), list(keys), "left").withColumn(
-        "_tile", F.when(F.col("_probe").isNull(), F.lit(-1)).otherwise(smaller)
+    limits = found.select(*keys, *[column for c in names for column in _start(c)])
+    if groups * BRACKET_BYTES * len(names) <= BROADCAST_BYTES:
+        limits = F.broadcast(limits)
+    prefix = F.shiftright("_key", shift)
+    inside = reduce(or_, [F.col(f"_{c}_prefix") == prefix for c in names])
+    starts = [F.first(f"_{c}_{part}").alias(f"_{c}_{part}") for c in names for part in ("prefix", "below")]
+    counted = (
+        keyed.join(limits, by)
+        .filter(F.coalesce(inside, F.lit(False)))
+        .groupBy(*keys, prefix.alias("_above"), F.shiftright("_key", rest).alias("_prefix"))
+        .agg(*_counts(), *starts)
     )
-    tiled = materialise(tiled.drop("_splits"))
+    running = _running(counted, by, Window.partitionBy(*keys, "_above").orderBy("_prefix"))
+    hits = [_at_rank(c, F.col("_above") == F.col(f"_{c}_prefix"), F.col(f"_{c}_below")) for c in names]
+    narrow = running.groupBy(*keys).agg(*hits)
+    # A group that wants only ranks below 1 has no rows left.
+    lost = found.select(*keys).join(narrow, keys, "left")
+    return lost.select(*keys, *names)
 
-    sums = tiled.groupBy(*keys, "_tile").agg(F.sum("_rows").alias("_tile_rows"))
-    in_order = Window.partitionBy(*keys).orderBy("_tile")
-    upto = F.sum("_tile_rows").over(in_order.rowsBetween(Window.unboundedPreceding, 0))
-    before = upto - F.col("_tile_rows")
-    ranks = [F.greatest(F.col(f"{c}_rank"), F.lit(1)) for c in names]
-    chosen = reduce(or_, [(r > F.col("_before")) & (r <= F.col("_end")) for r in ranks])
-    tiles = sums.select(*keys, "_tile", before.alias("_before"), upto.alias("_end")).filter(chosen)
 
-    inside = Window.partitionBy(*keys, "_tile").orderBy(F.asc_nulls_first("_probe"))
-    within = F.sum("_rows").over(inside.rowsBetween(Window.unboundedPreceding, 0))
-    return tiled.join(tiles, [*keys, "_tile"]).withColumn("_upto", F.col("_before") + within)
+def _start(name: str) -> list[Column]:
+    """A rank's bucket so far and the rows below it, under names of their own."""
+    hit = F.col(name)
+    return [hit["prefix"].alias(f"_{name}_prefix"), (hit["upto"] - hit["rows"]).alias(f"_{name}_below")]
 
 
-def _at_rank(name: str) -> Column:
-    """The first bracket value whose running count reaches the rank, with its counts."""
-    hit = F.col("_upto") >= F.col(f"{name}_rank")
+def _at_rank(name: str, here: Column, below: Column | None = None) -> Column:
+    """The first bucket whose running count reaches the rank, with its counts; null for a rank below 1."""
+    upto = F.col("_upto") if below is None else F.col("_upto") + below
+    rank = F.col(f"{name}_rank")
     row = F.struct(
-        F.col("_upto").alias("upto"), F.col("_probe").alias("value"), F.col("_rows").alias("equal")
+        upto.alias("upto"), F.col("_prefix").alias("prefix"), F.col("_rows").alias("rows"), F.col("_value").alias("value")
     )
-    return F.min(F.when(hit, row)).alias(name)
+    return F.min(F.when(here & (rank >= 1) & (upto >= rank), row)).alias(name)
 
 
 def _unpacked(name: str) -> list[Column]:
     """Result columns of one rank."""
-    hit, rank = F.col(name), F.col(f"{name}_rank")
-    value = F.when(rank >= 1, hit["value"])
+    hit = F.col(name)
     return [
-        value.alias(name),
-        rank,
-        F.when(rank >= 1, hit["upto"] - hit["equal"]).alias(f"{name}_below"),
-        F.when(rank >= 1, hit["equal"]).alias(f"{name}_equal"),
+        hit["value"].alias(name),
+        F.col(f"{name}_rank"),
+        (hit["upto"] - hit["rows"]).alias(f"{name}_below"),
+        hit["rows"].alias(f"{name}_equal"),
     ]
 
 

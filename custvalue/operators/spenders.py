@@ -27,43 +27,42 @@ def spender_count(totals: DataFrame, share: float) -> DataFrame:
     return totals.agg(F.rint(F.sum("scored_rows") * F.lit(share)).cast("long").alias("n"))
 
 
-def _key(side: str) -> Column:
-    """What a side sorts by, ascending."""
-    return -F.col("total_transaction") if side == "top" else F.col("total_transaction")
+def _cut_rank(side: str, n: Column, customers: Column) -> Column:
+    """The ascending rank of the last customer that a side takes; 0 if it takes none."""
+    if side == "low":
+        return n
+    return F.when(n < 1, F.lit(0)).otherwise(F.greatest(customers + 1 - n, F.lit(1)))
 
 
 def _members(totals: DataFrame, share: float, sides: Sequence[str]) -> dict[str, Column]:
     """Per side, a predicate true for its first n customers by total, then by ctc_id.
 
-    One exact selection finds each side's last total; only that number and its counts reach the
+    One exact selection finds the last total of all sides; only these numbers and their counts reach the
     driver. When n cuts through customers with that very total, a second one finds the last id
     among them, so a total shared by many is never sorted as a whole.
     """
     n = spender_count(totals, share).scalar()
-    keyed = totals.select(
-        "ctc_id",
-        F.explode(
-            F.array(*[F.struct(F.lit(s).alias("side"), _key(s).alias("key")) for s in sides])
-        ).alias("by"),
-    ).select("ctc_id", "by.side", "by.key")
-    last = order_statistics(keyed, "key", {"key": lambda _: n}, ["side"])
-    cuts = {row["side"]: row for row in last.collect()}
+    ranks = {side: lambda customers, s=side: _cut_rank(s, n, customers) for side in sides}
+    one = totals.select("total_transaction", F.lit(1).alias("one"))
+    cut = order_statistics(one, "total_transaction", ranks, ["one"]).first()
 
     members = {}
+    total = F.col("total_transaction")
     for side in sides:
-        cut = cuts.get(side)
-        if cut is None or cut["key"] is None:
+        if cut is None or cut[side] is None:
             members[side] = F.lit(False)
             continue
-        key, limit = _key(side), F.lit(cut["key"])
-        left = cut["key_rank"] - cut["key_below"]
-        if left == cut["key_equal"]:
-            members[side] = key <= limit
+        rank, below, equal = (cut[f"{side}_{part}"] for part in ("rank", "below", "equal"))
+        limit = F.lit(cut[side])
+        left = below + equal - rank + 1 if side == "top" else rank - below
+        within = total > limit if side == "top" else total < limit
+        if left == equal:
+            members[side] = within | (total == limit)
             continue
-        tied = totals.filter(key == limit).select("ctc_id", F.lit(side).alias("side"))
-        last_id = order_statistics(tied, "ctc_id", {"last_id": lambda _, k=left: F.lit(k)}, ["side"])
-        members[side] = (key < limit) | (
-            (key == limit) & (F.col("ctc_id") <= F.lit(last_id.first()["last_id"]))
+        tied = totals.filter(total == limit).select("ctc_id", F.lit(1).alias("one"))
+        last_id = order_statistics(tied, "ctc_id", {"last_id": lambda _, k=left: F.lit(k)}, ["one"])
+        members[side] = within | (
+            (total == limit) & (F.col("ctc_id") <= F.lit(last_id.first()["last_id"]))
         )
     return members
 
