@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from custvalue.functions.materialise import materialise, scratch
 from custvalue.operators import cleaning, series, training
+from custvalue.operators.period_table import PeriodTables
 from custvalue.operators.periods import Period
 from custvalue.plans import Inputs, Reports, documents, load_reports, publish
 from custvalue.rules import Rules
@@ -67,8 +68,8 @@ def document(tables: Reports, args: argparse.Namespace) -> DataFrame:
         "ages": lambda: documents.age_document(tables["age_analytics"], args.location, rules),
         "weekdays": lambda: documents.weekday_document(tables["weekday_revenue"], args.location),
         "segments": lambda: documents.segment_document(tables["segments"], args.location),
-        "summary": lambda: documents.summary_document(
-            tables["first_visit"], args.location, period, rules
+        "summary": lambda: documents.period_document(
+            PeriodTables(tables["period_totals"], tables["period_idle"]), args.location, period, rules
         ),
         "locations": lambda: documents.locations_document(tables["locations"]),
     }[args.document]()

@@ -4,14 +4,20 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 from contextlib import contextmanager
+from contextvars import ContextVar, copy_context
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
 from custvalue.functions.files import remove
 
-_jobs: list[str] = []  # folders of the running jobs, the innermost last
+T = TypeVar("T")
+
+# The folder of the job that the calling thread works for.
+_job: ContextVar[str | None] = ContextVar("custvalue_job", default=None)
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -34,17 +40,25 @@ def scratch(spark: SparkSession) -> Iterator[str]:
     """Tables materialised inside the block share one folder, which goes at its end, come what may.
 
     For jobs that write their results: a frame that still reads a materialised table must not leave
-    the block. One job runs at a time in a session; its own threads share the folder.
+    the block. Each job has a folder of its own, also if several run in threads of one session; the
+    threads of :func:`parallel` work for the job that starts them.
     """
     folder = f"{ensure_checkpoint_dir(spark)}/job-{uuid.uuid4().hex}"
-    _jobs.append(folder)
+    before = _job.set(folder)
     try:
         yield folder
     finally:
-        _jobs.remove(folder)
+        _job.reset(before)
         remove(spark, folder)
 
 
+def parallel(tasks: Iterable[Callable[[], T]], threads: int) -> list[T]:
+    """Results of tasks that start Spark jobs side by side, in order, in the caller's :func:`scratch`."""
+    with ThreadPoolExecutor(threads) as pool:
+        running = [pool.submit(copy_context().run, task) for task in tasks]
+        return [task.result() for task in running]
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into a table in the checkpoint folder and read that from here on.
 
@@ -55,7 +69,7 @@ def materialise(df: DataFrame) -> DataFrame:
     the end of the :func:`scratch` block they were made in.
     """
     spark = df.sparkSession
-    folder = _jobs[-1] if _jobs else ensure_checkpoint_dir(spark)
+    folder = _job.get() or ensure_checkpoint_dir(spark)
     path = f"{folder}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

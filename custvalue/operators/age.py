@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from custvalue.functions.materialise import materialise
 from custvalue.functions.rounding import exact_sum, half_even
-from custvalue.operators.cleaning import ALL_COLUMNS, distinct_rows
+from custvalue.operators.cleaning import ALL_COLUMNS, NestedVisits, distinct_rows
 from custvalue.operators.ranks import median
 from custvalue.operators.scoring import LABEL_DECIMALS
 from custvalue.rules import DEFAULT_RULES, Rules
@@ -15,7 +15,7 @@ from custvalue.rules import DEFAULT_RULES, Rules
 GROUP = ("age_category", "location")
 
 
-def visits(tx: DataFrame) -> DataFrame:
+def visits(tx: DataFrame | NestedVisits) -> DataFrame:
     """Value per customer, location, day and source, and ``entries``, how many rows it sums up."""
     return (
         distinct_rows(tx, ALL_COLUMNS)

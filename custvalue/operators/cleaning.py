@@ -7,10 +7,13 @@ set gives a different number of rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from custvalue.functions.materialise import materialise
+
 ALL_COLUMNS = ("ctc_id", "order_date", "source", "location", "value")
 NO_SOURCE = ("ctc_id", "order_date", "location", "value")
 NO_SOURCE_NO_LOCATION = ("ctc_id", "order_date", "value")
@@ -21,12 +24,113 @@ def type_transactions(raw: DataFrame) -> DataFrame:
     return raw.withColumn("order_date", F.col("order_date").cast("date"))
 
 
-def distinct_rows(tx: DataFrame, columns: Sequence[str] = ALL_COLUMNS) -> DataFrame:
+# Pairs of source and location that are numbered; beyond them a row lists its pairs by name.
+MAX_PLACES = 1_024
+WORD_BITS = 63
+
+Place = tuple[str | None, str | None]
+
+
+@dataclass(frozen=True)
+class NestedVisits:
+    """All three distinct sets in one table: a row per customer, day and value with its places.
+
+    ``table`` has the columns of the narrowest set and ``places``, the distinct pairs of source and
+    location (either may be null): their numbers in ``known``, or structs if there are too many to number.
+    It takes one shuffle; the wider sets unfold from its rows without another. Store it
+    (:func:`nested_distinct` gives a plan) before several sets are read.
+    """
+
+    table: DataFrame
+    known: tuple[Place, ...] | None
+
+    def rows(self, columns: Sequence[str]) -> DataFrame:
+        """What :func:`distinct_rows` of the transactions gives."""
+        known = {ALL_COLUMNS: self._full, NO_SOURCE: self._places, NO_SOURCE_NO_LOCATION: self._days}
+        return known[tuple(columns)]()
+
+    def filter(self, condition: Column) -> NestedVisits:
+        """Only visits that meet a condition on customer, day and value."""
+        return NestedVisits(self.table.filter(condition), self.known)
+
+    def stored(self) -> NestedVisits:
+        """The same from a written table."""
+        return NestedVisits(materialise(self.table), self.known)
+
+    def _days(self) -> DataFrame:
+        return self.table.select(*NO_SOURCE_NO_LOCATION)
+
+    def _places(self) -> DataFrame:
+        if self.known is None:
+            named = F.transform("places", lambda p: p["location"])
+        else:
+            locations = F.lit([location for _, location in self.known] or [None]).cast("array<string>")
+            named = F.transform("places", lambda number: F.get(locations, number))
+        each = self.table.withColumn("location", F.explode(F.array_distinct(F.array_compact(named))))
+        return each.select(*NO_SOURCE)
+
+    def _full(self) -> DataFrame:
+        each = self.table.withColumn("place", F.explode("places"))
+        if self.known is None:
+            named = {name: F.col("place")[name] for name in ("source", "location")}
+        else:
+            lists = zip(("source", "location"), zip(*self.known) if self.known else ([None], [None]))
+            named = {name: F.get(F.lit(list(values)).cast("array<string>"), F.col("place")) for name, values in lists}
+        return each.withColumns(named).select(*ALL_COLUMNS).na.drop("any", subset=["source", "location"])
+
+
+def nested_distinct(tx: DataFrame, max_places: int = MAX_PLACES) -> NestedVisits:
+    """The three distinct sets from one exchange.
+
+    The shuffle hashes customer, day and value, which all three sets have, so equal rows of each set meet.
+    A pair of source and location is a bit in one of a few longs, so copies fold map-side into numbers of
+    fixed size; a pass over the two columns finds the pairs first. With more than ``max_places`` pairs the
+    rows gather sets of names instead.
+    """
+    kept = tx.select(*ALL_COLUMNS).na.drop("any", subset=list(NO_SOURCE_NO_LOCATION))
+    pairs = kept.select("source", "location").distinct().limit(max_places + 1).collect()
+    days = kept.groupBy(*NO_SOURCE_NO_LOCATION)
+    if len(pairs) > max_places:
+        return NestedVisits(days.agg(F.collect_set(F.struct("source", "location")).alias("places")), None)
+    known = tuple(sorted(map(tuple, pairs), key=lambda p: [(name is not None, name or "") for name in p]))
+    numbered = tx.sparkSession.createDataFrame(
+        [(s, p, i // WORD_BITS, 1 << i % WORD_BITS) for i, (s, p) in enumerate(known)],
+        "_source string, _location string, word int, bit long",
+    )
+    same = F.col("source").eqNullSafe(F.col("_source")) & F.col("location").eqNullSafe(F.col("_location"))
+    coded = kept.join(F.broadcast(numbered), same).groupBy(*NO_SOURCE_NO_LOCATION)
+    words = range(max(1, -(-len(known) // WORD_BITS)))
+    bits = coded.agg(
+        *[F.bit_or(F.when(F.col("word") == w, F.col("bit"))).alias(f"word_{w}") for w in words]
+    )
+    places = F.concat(*[_set_bits(f"word_{w}", w * WORD_BITS) for w in words])
+    return NestedVisits(bits.select(*NO_SOURCE_NO_LOCATION, places.alias("places")), known)
+
+
+def _set_bits(word: str, first: int) -> Column:
+    """The places of the bits that are set in a long, counted from ``first``; none for a null."""
+    start = F.struct(F.col(word).alias("rest"), F.array().cast("array<int>").alias("found"))
+
+    def step(state: Column, _: Column) -> Column:
+        rest = state["rest"]
+        place = F.bit_count(rest.bitwiseAND(-rest) - 1) + first
+        return F.struct(
+            rest.bitwiseAND(rest - 1).alias("rest"), F.array_append(state["found"], place).alias("found")
+        )
+
+    turns = F.sequence(F.lit(1), F.bit_count(F.col(word)))
+    found = F.aggregate(turns, start, step, lambda state: state["found"])
+    return F.when(F.col(word).isNull(), F.array().cast("array<int>")).otherwise(found)
+
+
+def distinct_rows(tx: DataFrame | NestedVisits, columns: Sequence[str] = ALL_COLUMNS) -> DataFrame:
     """Rows of ``columns`` without nulls and without copies.
 
     The shuffle hashes all the columns after a map-side pass, so neither a busy customer nor a
-    large group of copies lands in one task.
+    large group of copies lands in one task. Of nested visits the rows are unfolded instead.
     """
+    if isinstance(tx, NestedVisits):
+        return tx.rows(columns)
     return tx.select(*columns).na.drop("any").dropDuplicates()
 
 

@@ -6,15 +6,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.functions.dates import DateLike, as_date, with_calendar
-from custvalue.operators.cleaning import NO_SOURCE, as_of_date, distinct_rows
+from custvalue.operators.cleaning import NO_SOURCE, NestedVisits, as_of_date, distinct_rows
 
 
-def rfm(tx: DataFrame, as_of: DateLike | None = None) -> DataFrame:
+def rfm(tx: DataFrame | NestedVisits, as_of: DateLike | None = None) -> DataFrame:
     """Visits, mean value, customer age, recency and days since the last visit.
 
     One row per (ctc_id, location). ``as_of`` defaults to the latest date of ``tx`` before
-    cleaning.
+    cleaning, and must be given for nested visits, which are cleaned.
     """
+    if as_of is None and isinstance(tx, NestedVisits):
+        raise ValueError("nested visits do not tell the latest date before cleaning")
     today = as_of_date(tx) if as_of is None else as_date(as_of)
     grouped = (
         distinct_rows(tx, NO_SOURCE)

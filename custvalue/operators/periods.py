@@ -68,6 +68,34 @@ class Period:
             )
         return _in_month(self.year and self.year - 1, None)
 
+    def bounds(self, which: str = CURRENT) -> tuple[Column | None, Column | None]:
+        """First and last day of the current or the previous period; ``None`` is no limit on that side."""
+        before = which == PREVIOUS
+        if self.start:
+            first, last = as_date(self.start), as_date(self.end) if self.end else None
+            if before:
+                first, last = F.add_months(first, -12), None if last is None else F.add_months(last, -12)
+            return first, last
+        if self.year is None:
+            return None, None
+        if not self.month:
+            return _days_of(self.year - before, 1, 12)
+        if not before:
+            return _days_of(self.year, self.month, self.month)
+        month = self.month - 1
+        return _days_of(self.year, month, month) if month else _days_of(self.year - 1, 12, 12)
+
+
+# The bounds of a period that no date can lie in.
+NO_DAY = ("0001-01-02", "0001-01-01")
+
+
+def _days_of(year: int, first: int, last: int) -> tuple[Column, Column]:
+    """From the first day of a month to the last day of another in the same year."""
+    if not (1 <= year <= 9999 and 1 <= first <= last <= 12):
+        return as_date(NO_DAY[0]), as_date(NO_DAY[1])
+    return as_date(f"{year:04}-{first:02}-01"), F.last_day(as_date(f"{year:04}-{last:02}-01"))
+
 
 def _in_range(first: Column, last: Column | None) -> Column:
     """Days from ``first`` on, up to ``last``. The bounds on the year let a table laid out by

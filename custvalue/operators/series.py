@@ -13,11 +13,11 @@ from custvalue.functions.dates import (
     with_calendar,
 )
 from custvalue.functions.rounding import half_even
-from custvalue.operators.cleaning import NO_SOURCE_NO_LOCATION, distinct_rows
+from custvalue.operators.cleaning import NO_SOURCE_NO_LOCATION, NestedVisits, distinct_rows
 from custvalue.operators.scoring import Model, score
 
 
-def daily_revenue(tx: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
+def daily_revenue(tx: DataFrame | NestedVisits, start: DateLike, end: DateLike) -> DataFrame:
     """Positive revenue per day in [start, end] with calendar features (the date is dropped).
 
     The filter touches only columns that survive into the distinct, so it goes first and

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.operators.age import age_for_location
+from custvalue.operators.period_table import PeriodTables, summary_of_period
 from custvalue.operators.periods import Period, tag_periods
 from custvalue.operators.segments import SEGMENTS
 from custvalue.operators.summary import COMPARED, compare, executive_summary
@@ -94,7 +95,17 @@ def summary_document(
     first_visits: DataFrame, location: str, period: Period, rules: Rules = DEFAULT_RULES
 ) -> DataFrame:
     """Current and previous figures of one location; a missing figure reads ``-``."""
-    figures = compare(executive_summary(tag_periods(first_visits, period), rules), location)
+    return _figures(compare(executive_summary(tag_periods(first_visits, period), rules), location))
+
+
+def period_document(
+    tables: PeriodTables, location: str, period: Period, rules: Rules = DEFAULT_RULES
+) -> DataFrame:
+    """The document of :func:`summary_document` from the tables of periods, without a customer's row."""
+    return _figures(compare(summary_of_period(tables, period, rules), location))
+
+
+def _figures(figures: DataFrame) -> DataFrame:
     dash = F.parse_json(F.lit(f'"{MISSING}"'))
     names = [f"{name}_{suffix}" for suffix in ("prev", "selected") for name in COMPARED]
     fields = [F.coalesce(F.col(n).cast("variant"), dash).alias(n) for n in names]
@@ -138,7 +149,9 @@ def dashboard(
         "segments": _packed(segment_document(tables["segments"], location, lists=False)),
         "ages": _packed(age_document(tables["age_analytics"], location, rules)),
         "revenue_graph": weekday_document(tables["weekday_revenue"], location),
-        "executive_summary": summary_document(tables["first_visit"], location, period, rules),
+        "executive_summary": period_document(
+            PeriodTables(tables["period_totals"], tables["period_idle"]), location, period, rules
+        ),
     }
     parts = _one_row(tables["segments"], whole)
     return parts.select(

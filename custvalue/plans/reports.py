@@ -5,21 +5,25 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Callable
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
 from datetime import datetime, timezone
+from threading import Lock
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from custvalue.functions.dates import DateLike
 from custvalue.functions.files import children, exists, mark, remove
-from custvalue.functions.materialise import materialise, scratch
-from custvalue.operators import age, cleaning, features, overview, segments, series, weekday
+from custvalue.functions.materialise import materialise, parallel, scratch
+from custvalue.operators import age, cleaning, features, overview, period_table, segments, series, weekday
+from custvalue.operators.cleaning import NestedVisits
 from custvalue.operators.scoring import Model, score_clv
 from custvalue.rules import DEFAULT_RULES, Rules
 from custvalue.sources.writers import read_table, write_table
 
+T = TypeVar("T")
+
 # Summaries ask for a year or a date range of first visits, so that table is laid out by year.
 PARTITIONING = {"first_visit": ("year",)}
 PARALLEL_WRITES = 4
@@ -35,6 +39,8 @@ TABLES = (
     "weekday_revenue",
     "segments",
     "first_visit",
+    "period_totals",
+    "period_idle",
     "locations",
 )
 
@@ -50,9 +56,16 @@ class Inputs:
     forecast_model: Model
 
 
-def scored_clv(inputs: Inputs, as_of: DateLike | None = None) -> DataFrame:
-    """Scored features per customer and location."""
-    return score_clv(features.rfm(inputs.transactions, as_of), inputs.clv_model)
+def scored_clv(
+    inputs: Inputs, as_of: DateLike | None = None, visits: NestedVisits | None = None
+) -> DataFrame:
+    """Scored features per customer and location, from nested visits if they are there."""
+    return score_clv(features.rfm(visits or inputs.transactions, as_of), inputs.clv_model)
+
+
+def stored_visits(inputs: Inputs) -> NestedVisits:
+    """The distinct transactions as a stored table, from which every report on visits starts."""
+    return cleaning.nested_distinct(inputs.transactions).stored()
 
 
 class Reports(dict[str, DataFrame]):
@@ -63,21 +76,40 @@ class Reports(dict[str, DataFrame]):
         self.rules = rules
 
 
+def _once(build: Callable[[], T]) -> Callable[[], T]:
+    """``build``, run by the first of the threads that need its result."""
+    lock, results = Lock(), []
+
+    def get() -> T:
+        with lock:
+            if not results:
+                results.append(build())
+        return results[0]
+
+    return get
+
+
 def report_builders(
-    inputs: Inputs, clv: DataFrame, as_of: DateLike, rules: Rules = DEFAULT_RULES
+    inputs: Inputs,
+    clv: DataFrame,
+    as_of: DateLike,
+    rules: Rules = DEFAULT_RULES,
+    nested: NestedVisits | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
     """How to build every report on the scored table, by name; building may run jobs.
 
     Most of them read ``clv``, so it should be a written or materialised table. The widest shuffle,
-    the distinct transactions, happens once: the reports by age and by weekday both start from the
-    stored visits.
+    the distinct transactions, happens once, in ``nested``: the daily series unfold it, and the reports by
+    age and by weekday both start from the visits stored from it.
     """
     tx = inputs.transactions
-    visits = materialise(age.visits(tx))
+    nested = nested or stored_visits(inputs)
+    visits = _once(lambda: materialise(age.visits(nested)))
+    periods = _once(lambda: period_table.period_tables(features.first_visit(clv, as_of), rules))
     contacts = cleaning.clean_contacts(inputs.contacts)
 
     def actual() -> DataFrame:
-        daily = series.daily_revenue(tx, rules.actuals_start, rules.actuals_end)
+        daily = series.daily_revenue(nested, rules.actuals_start, rules.actuals_end)
         return series.cumulative(daily, "value")
 
     def predicted() -> DataFrame:
@@ -89,9 +121,11 @@ def report_builders(
     return {
         # Those with several passes of their own come first.
         "segments": lambda: segments.segments(clv, rules),
-        "age_analytics": lambda: age.age_analytics(visits, clv, contacts, rules),
+        "age_analytics": lambda: age.age_analytics(visits(), clv, contacts, rules),
+        "period_totals": lambda: periods().totals,
+        "period_idle": lambda: periods().idle,
         "first_visit": lambda: features.first_visit(clv, as_of),
-        "weekday_revenue": lambda: weekday.weekday_revenue(visits),
+        "weekday_revenue": lambda: weekday.weekday_revenue(visits()),
         "location_overview": lambda: overview.with_geo(
             overview.location_overview(clv, rules), inputs.geo
         ),
@@ -102,11 +136,15 @@ def report_builders(
 
 
 def report_tables(
-    inputs: Inputs, clv: DataFrame, as_of: DateLike, rules: Rules = DEFAULT_RULES
+    inputs: Inputs,
+    clv: DataFrame,
+    as_of: DateLike,
+    rules: Rules = DEFAULT_RULES,
+    nested: NestedVisits | None = None,
 ) -> Reports:
-    """Every report built on the scored table, by name."""
-    builders = report_builders(inputs, clv, as_of, rules)
-    return Reports({name: build() for name, build in builders.items()}, rules)
+    """Every report built on the scored table, by name. Those that run jobs for it do so side by side."""
+    builders = report_builders(inputs, clv, as_of, rules, nested)
+    return Reports(dict(zip(builders, parallel(builders.values(), PARALLEL_WRITES))), rules)
 
 
 def publish(
@@ -117,8 +155,8 @@ def publish(
 ) -> Reports:
     """Write every table and the rules as a new version under ``path``; return them read back.
 
-    The as-of date and the scored table go first; the other reports read those written copies,
-    so the features are computed once, and a lost executor costs no more than its own tasks.
+    The as-of date, the nested visits and the scored table go first; the other reports read those written
+    copies, so the features are computed once, and a lost executor costs no more than its own tasks.
     ``with_transactions`` also writes the transactions, and the reports read that copy: worth it
     for text inputs, which six passes would parse otherwise.
 
@@ -140,12 +178,12 @@ def publish(
                 inputs = replace(inputs, transactions=tables["transactions"])
             tables["as_of"] = write("as_of", cleaning.as_of(inputs.transactions))
             today = tables["as_of"].scalar()
-            tables["clv"] = write("clv", scored_clv(inputs, today))
-            builders = report_builders(inputs, tables["clv"], today, rules)
+            nested = stored_visits(inputs)
+            tables["clv"] = write("clv", scored_clv(inputs, today, nested))
+            builders = report_builders(inputs, tables["clv"], today, rules, nested)
             # The reports do not depend on each other: small ones fill the cluster beside large ones.
-            with ThreadPoolExecutor(PARALLEL_WRITES) as pool:
-                built = pool.map(lambda name: write(name, builders[name]()), builders)
-                tables.update(zip(builders, built, strict=True))
+            writes = [lambda name=name, build=build: write(name, build()) for name, build in builders.items()]
+            tables.update(zip(builders, parallel(writes, PARALLEL_WRITES), strict=True))
             text = spark.createDataFrame([(json.dumps(asdict(rules)),)], "rules string")
             write_table(text, f"{version}/rules")
     except BaseException:

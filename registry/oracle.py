@@ -168,6 +168,8 @@ RANGE = tagged(
 )
 OPEN_RANGE = tagged("order_date >= DATE '2000-01-01'", "order_date >= DATE '1999-01-01'")
 
+EVERYTHING = tagged("true", "true")
+
 
 def views(tx: str) -> dict[str, str]:
     """Named subqueries over one fixture, in dependency order."""
@@ -277,8 +279,31 @@ def views(tx: str) -> dict[str, str]:
         "tagged_month": MONTH,
         "tagged_range": RANGE,
         "tagged_open": OPEN_RANGE,
+        "tagged_everything": EVERYTHING,
         **summaries("tagged_year", "_y"),
+        **summaries("tagged_month", "_m"),
         **summaries("tagged_range", "_r"),
+        **summaries("tagged_open", "_o"),
+        **summaries("tagged_everything", "_e"),
+        "period_nodes": """
+  SELECT *, day >> level AS slot FROM (
+    SELECT *, date_diff('day', DATE '0001-01-01', order_date) AS day,
+           CAST(unnest(range((SELECT CASE WHEN x = 0 THEN 1 ELSE length(bin(x)) + 1 END FROM (
+             SELECT xor(min(date_diff('day', DATE '0001-01-01', order_date)),
+                        max(date_diff('day', DATE '0001-01-01', order_date))) AS x FROM first_visit)))) AS INTEGER)
+             AS level FROM first_visit)""",
+        "period_totals": """
+  SELECT location, level, slot, count(*) AS users, CAST(sum(no_visit) AS BIGINT) AS orders, sum(clv_3m) AS clv_3m,
+         sum(value) AS value, sum(total_transaction) AS total_transaction,
+         count(*) FILTER (no_visit >= 2) AS repeat_users, count(*) FILTER (no_visit = 1) AS new_users,
+         count(*) FILTER (no_visit > 1) AS came_back,
+         sum(CAST(frequency AS DECIMAL(28,3))) FILTER (no_visit > 1) AS frequency
+  FROM period_nodes GROUP BY location, level, slot""",
+        "period_idle": """
+  SELECT location, level, slot, idle,
+         CAST(sum(n) OVER (PARTITION BY location, level, slot ORDER BY idle DESC) AS BIGINT) AS at_least
+  FROM (SELECT location, level, slot, days_since_last_visit AS idle, count(*) AS n FROM period_nodes
+        WHERE no_visit > 1 GROUP BY ALL)""",
         "compared": """
   SELECT c.location, """
         + ", ".join(
@@ -383,6 +408,8 @@ PUBLISHED = {
     "weekday_revenue": "weekday",
     "segments": "segments",
     "first_visit": "first_visit",
+    "period_totals": "period_totals",
+    "period_idle": "period_idle",
     "locations": "(SELECT DISTINCT location FROM tx)",
 }
 
@@ -399,10 +426,13 @@ PUBLISHED_NUMBERS = {
     "segments": "clv aov revenue users frequency",
     "first_visit": "ctc_id no_visit value customer_age recency days_since_last_visit clv_3m total_transaction"
     " frequency month year day_of_week day_of_year",
+    "period_totals": "level slot users orders clv_3m value total_transaction repeat_users new_users came_back frequency",
+    "period_idle": "level slot idle at_least",
 }
 COUNTS = set(
     "ctc_id no_visit customer_age recency days_since_last_visit days year day_of_year total_customer no_loyal_cus"
-    " no_new_cus no_repeat_cus total_cus total_clv_cus day_of_week users month".split()
+    " no_new_cus no_repeat_cus total_cus total_clv_cus day_of_week users month level slot orders repeat_users new_users"
+    " came_back idle at_least".split()
 )
 
 
@@ -575,6 +605,10 @@ FROM customer JOIN contacts ON c_custkey = ctc_id"""),
     "tx_distinct_full": on_lines(distinct(ALL, "tx_copies")),
     "tx_distinct_loc": on_lines(distinct(NO_SOURCE, "tx_copies")),
     "tx_distinct_daily": on_lines(distinct(NO_SOURCE_NO_LOCATION, "tx_copies")),
+    "tx_distinct_nested": on_lines(f"""
+SELECT 'full' AS name, {ALL} FROM ({distinct(ALL, "tx_copies")})
+UNION ALL SELECT 'loc', ctc_id, order_date, NULL, location, value FROM ({distinct(NO_SOURCE, "tx_copies")})
+UNION ALL SELECT 'daily', ctc_id, order_date, NULL, NULL, value FROM ({distinct(NO_SOURCE_NO_LOCATION, "tx_copies")})"""),
     "daily_revenue": on_lines("SELECT * FROM daily"),
     "calendar_features": f"""
 SELECT o_orderkey, order_date, {CALENDAR.format("order_date")}
@@ -667,6 +701,13 @@ LEFT JOIN (SELECT * FROM segments WHERE location = {PLACE}) s ON n.segment = s.s
     "summary_churn": summary_query("churn"),
     "executive_summary": on_lines(EXECUTIVE + "_y"),
     "executive_summary_range": on_lines(EXECUTIVE + "_r"),
+    "executive_summary_periods": on_lines(
+        " UNION ALL ".join(
+            f"SELECT '{kind}' AS kind, * FROM ({EXECUTIVE}_{kind[0]})"
+            for kind in ("year", "month", "range", "open", "everything")
+        )
+    ),
+    "summary_compare_periods": on_lines(f"SELECT location, {COMPARED_COUNTS}, {COMPARED_DOUBLES} FROM compared"),
     "summary_compare": on_lines(f"SELECT location, {COMPARED_COUNTS}, {COMPARED_DOUBLES} FROM compared"),
     "summary_compare_location": on_lines(f"""
 SELECT one.location, {COMPARED_COUNTS}, {COMPARED_DOUBLES}
@@ -680,6 +721,7 @@ FROM (SELECT {PLACE} AS location) one LEFT JOIN compared ON one.location = compa
         segment_fields(lambda field, value, view: listed(field, value, view, "location")), on_orders
     ),
     "document_summary": document_query(summary_fields()),
+    "document_summary_periods": document_query(summary_fields()),
     "document_locations": document_query(
         [listed("locations", "location", "(SELECT DISTINCT location FROM tx)", "location")]
     ),

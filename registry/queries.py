@@ -19,6 +19,7 @@ from custvalue.operators import (
     cleaning,
     features,
     overview,
+    period_table,
     periods,
     scoring,
     segments,
@@ -41,6 +42,7 @@ YEAR = Period.from_params(year=1997)
 MONTH = Period.from_params(year=1997, month=1)
 RANGE = Period.from_params(start="1997-03-01", end="1997-08-31")
 OPEN_RANGE = Period.from_params(start="2000-01-01")
+KINDS = {"year": YEAR, "month": MONTH, "range": RANGE, "open": OPEN_RANGE, "everything": Period()}
 
 
 # Means of values with few decimals often fall on a rounding tie, where the last bit of a sum
@@ -142,6 +144,15 @@ def tx_distinct_daily(t):
     return cleaning.distinct_rows(fx.line_visits_with_copies(t), cleaning.NO_SOURCE_NO_LOCATION)
 
 
+@query
+def tx_distinct_nested(t):
+    """The three distinct sets from one table that took one shuffle."""
+    stored = cleaning.nested_distinct(fx.line_visits_with_copies(t)).stored()
+    sets = {"full": cleaning.ALL_COLUMNS, "loc": cleaning.NO_SOURCE, "daily": cleaning.NO_SOURCE_NO_LOCATION}
+    named = [stored.rows(columns).withColumn("name", F.lit(name)) for name, columns in sets.items()]
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), named)
+
+
 # Daily series and forecast
 
 
@@ -472,6 +483,27 @@ def summary_compare_location(t):
     return summary.compare(summary.executive_summary(stored_tagged(t, YEAR)), fx.PLACE)
 
 
+def stored_period_tables(t: Tables) -> period_table.PeriodTables:
+    tables = period_table.period_tables(line_first_visits(t), RULES)
+    return period_table.PeriodTables(*[materialise(table) for table in tables])
+
+
+@query
+def executive_summary_periods(t):
+    """Every kind of period from the nodes of days, without a customer's row."""
+    tables = stored_period_tables(t)
+    each = [
+        period_table.summary_of_period(tables, period, RULES).withColumn("kind", F.lit(kind))
+        for kind, period in KINDS.items()
+    ]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query
+def summary_compare_periods(t):
+    return summary.compare(period_table.summary_of_period(stored_period_tables(t), YEAR, RULES))
+
+
 # Payloads, publishing and the combined report
 
 
@@ -539,8 +571,11 @@ def totals(name: str, df: DataFrame) -> DataFrame:
 def dashboard(t):
     inputs = fx.line_inputs(t)
     today = cleaning.as_of_date(inputs.transactions)
-    tables = report_tables(inputs, materialise(scored_clv(inputs)), today, RULES)
-    return flat(documents.dashboard(tables, fx.PLACE, YEAR))
+    nested = reports.stored_visits(inputs)
+    clv = materialise(scored_clv(inputs, today, nested))
+    tables = report_tables(inputs, clv, today, RULES, nested)
+    # Each leaf of the document repeats what it is made of, so it is stored before it is taken apart.
+    return flat(materialise(documents.dashboard(tables, fx.PLACE, YEAR)))
 
 
 @query
@@ -565,6 +600,11 @@ def document_summary(t):
     return flat(documents.summary_document(materialise(line_first_visits(t)), fx.PLACE, YEAR))
 
 
+@query
+def document_summary_periods(t):
+    return flat(documents.period_document(stored_period_tables(t), fx.PLACE, YEAR, RULES))
+
+
 @query
 def document_locations(t):
     return flat(documents.locations_document(overview.locations(fx.line_visits(t))))

@@ -1,9 +1,19 @@
 import datetime as dt
 
+import pytest
+
 from custvalue.operators import cleaning
+from custvalue.operators.cleaning import (
+    ALL_COLUMNS,
+    NO_SOURCE,
+    NO_SOURCE_NO_LOCATION,
+    distinct_rows,
+    nested_distinct,
+)
 from custvalue.operators.features import first_visit, rfm
 from custvalue.operators.overview import locations
 from custvalue.operators.scoring import score_clv
+from custvalue.operators.series import daily_revenue
 from tests.conftest import rows_of
 
 
@@ -88,3 +98,34 @@ def test_locations(make_tx):
     tx = make_tx((1, "2022-01-01", "w", "A", 1), (2, "2022-01-01", "w", "A", 1),
                  (2, "2022-01-01", "w", None, 1), (2, "2022-01-01", None, "B", 1))
     assert rows_of(locations(tx)) == [("A",), ("B",)]
+
+
+@pytest.mark.parametrize("max_places", [1_024, 2])
+def test_nested_sets_equal_single_ones(spark, make_tx, max_places):
+    """Nulls, copies, hot copies, and rows that are equal in one set only."""
+    rows = [
+        (1, "2020-01-01", "w", "A", 5), (1, "2020-01-01", "w", "A", 5), (1, "2020-01-01", "v", "A", 5),
+        (1, "2020-01-01", None, "A", 5), (1, "2020-01-01", "w", None, 5), (1, "2020-01-01", None, None, 6),
+        (None, "2020-01-01", "w", "A", 5), (1, None, "w", "A", 5), (1, "2020-01-01", "w", "A", None),
+        (1, "2020-01-01", "w", "B", 5), (1, "2020-01-01", "w", "B", -0.0), (1, "2020-01-01", "w", "B", 0.0),
+    ] + [(9, "2021-01-01", "w", "A", 1)] * 500
+    rows += [(n % 3, "2021-01-01", f"s{n % 20}", f"place {n % 11}", n % 2) for n in range(2_000)]
+    tx = make_tx(*rows).repartition(7)
+    nested = nested_distinct(tx, max_places)
+    for columns in (ALL_COLUMNS, NO_SOURCE, NO_SOURCE_NO_LOCATION):
+        assert rows_of(distinct_rows(nested, columns)) == rows_of(distinct_rows(tx, columns))
+    assert rows_of(rfm(nested, "2022-01-01")) == rows_of(rfm(tx, "2022-01-01"))
+    assert rows_of(daily_revenue(nested, "2019-01-01", "2022-01-01")) == rows_of(daily_revenue(tx, "2019-01-01", "2022-01-01"))
+    with pytest.raises(ValueError, match="before cleaning"):
+        rfm(nested)
+    assert nested_distinct(tx.filter("ctc_id < 0")).rows(ALL_COLUMNS).count() == 0
+
+
+def test_one_exchange_for_all_three_sets(spark, make_tx):
+    nested = nested_distinct(make_tx((1, "2020-01-01", "w", "A", 5)))
+    plan = nested.table._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning(ctc_id") == 1 and plan.count("Exchange hash") == 1
+    assert "partial_bit_or" in plan and "SortMergeJoin" not in plan
+    stored = nested.stored()
+    for columns in (ALL_COLUMNS, NO_SOURCE, NO_SOURCE_NO_LOCATION):
+        assert "Exchange" not in stored.rows(columns)._jdf.queryExecution().executedPlan().toString()
