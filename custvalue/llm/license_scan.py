@@ -3,8 +3,10 @@
 Every run of ``k`` words of every text is hashed, and Spark joins the hashes to the positions at
 which the templates have them. A hit votes for the diagonal ``word position - template position``:
 an unbroken copy of a template puts all its votes on one diagonal, and a lost or added word moves the
-rest to a neighbouring one. Votes are summed by diagonal, neighbouring diagonals are merged into
-spans, and a span counts if it covers enough of its template.
+rest to a neighbouring one. Votes are gathered by diagonal, and a diagonal is merged with those up to
+``drift`` beyond it into a span. A span is verified by its order: it holds the longest sequence of its hits
+in which both the template position and the word position grow. So a template position counts once, however
+often the text repeats its words, and a span is at most ``drift`` words longer than its template.
 """
 
 from __future__ import annotations
@@ -50,7 +52,7 @@ TEMPLATES = (
     Template("unlicense", "this is free and unencumbered software released into the public domain"),
 )
 COVERAGE = 0.75  # share of a template's k-grams that a span must hold
-DRIFT = 3  # words lost or added that a span may bridge
+DRIFT = 3  # words lost or added that a span may bridge in all
 
 ROWS = "row long, doc_id long, n_words long, pos long, pair long, triple long"
 
@@ -111,6 +113,51 @@ def template_index(spark: SparkSession, templates: tuple[Template, ...]) -> Data
     return spark.createDataFrame(rows, schema)
 
 
+def in_order(hits: list[tuple[int, int]]) -> int:
+    """The most hits ``(template position, shift)`` of which position and position + shift grow together."""
+    best: dict[int, list[tuple[int, int]]] = {}  # by shift: positions and the longest sequence up to them
+    for place in sorted({t for t, _ in hits}):
+        found = []
+        for shift in (s for t, s in hits if t == place):
+            before = 0
+            for other, ends in best.items():
+                last = place - max(1, other - shift + 1)  # from here back the words come before, too
+                before = max([before, *[n for t, n in ends if t <= last][-1:]])
+            found.append((shift, before + 1))
+        for shift, n in found:
+            ends = best.setdefault(shift, [])
+            ends.append((place, max(n, ends[-1][1]) if ends else n))
+    return max((ends[-1][1] for ends in best.values()), default=0)
+
+
+SPANS = (
+    "row long, template int, diagonal long, doc_id long, n_words long, places int, base boolean, held double"
+)
+
+
+def _verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The share of the template that the span from each diagonal on holds."""
+    for batch in batches:
+        near, grams, base = batch.column("near"), batch.column("grams").to_pylist(), batch.column("base").to_pylist()
+        held, places = [], []
+        for i, n in enumerate(grams):
+            if n is None:
+                held.append(None)
+                places.append(0)
+                continue
+            hits = [(t, d["diagonal"]) for d in near[i].as_py() for t in d["held"]]
+            if base[i]:  # its words stand consecutively
+                own = min(d for _, d in hits)
+                places.append(int(sum(d == own for _, d in hits) == n))
+                held.append(float(places[-1]))
+            else:
+                places.append(0)
+                held.append(in_order(hits) / n)
+        kept = [batch.column(c) for c in ("row", "template", "diagonal", "doc_id", "n_words")]
+        kept += [pa.array(places, pa.int32()), batch.column("base"), pa.array(held, pa.float64())]
+        yield pa.record_batch(kept, [f.split()[0] for f in SPANS.split(", ")])
+
+
 def license_scan(
     docs: DataFrame, templates: tuple[Template, ...] = TEMPLATES, coverage: float = COVERAGE, drift: int = DRIFT
 ) -> DataFrame:
@@ -118,9 +165,9 @@ def license_scan(
 
     ``n_base`` counts the places where the words of a base phrase stand consecutively, ``first_word``
     and ``last_word`` are the smallest and largest start (null without one), ``base_labels`` the
-    labels of these phrases. ``labels`` adds those of templates of which a span of at most
-    ``drift`` shifts holds the share ``coverage``. ``score`` is the best share held of any template, 1
-    for a base phrase. Words are lower-cased runs of letters, digits and non-ASCII characters.
+    labels of these phrases. ``labels`` adds those of templates of which a span holds the share ``coverage``:
+    so many of its k-grams in their order, on diagonals at most ``drift`` apart. ``score`` is the best share
+    that a span holds of any template, 1 for a base phrase. Words are lower-cased runs of letters, digits and non-ASCII characters.
 
     A null or empty text has no words, labels are then empty strings and the score is 0. Repeated
     rows and null ids each give their row; other columns are not used, whatever their names. An
@@ -134,35 +181,24 @@ def license_scan(
     # Texts without any hit keep their own row (template null).
     diagonals = votes.groupBy("row", "template", (F.col("pos") - F.col("t_pos")).alias("diagonal")).agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.count("template").alias("votes"), F.first("grams").alias("grams"), F.first("base").alias("base"),
-        F.min("pos").alias("start"),
-    )
-    whole = F.col("base") & (F.col("votes") == F.col("grams"))
-    # A gap of more than `drift` between diagonals begins another span.
-    track = Window.partitionBy("row", "template").orderBy("diagonal")
-    new = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(track) > drift, F.lit(True))
-    spans = diagonals.withColumn("new", new.cast("int"))
-    spans = spans.withColumn("span", F.sum("new").over(track))
-    spans = spans.groupBy("row", "template", "span").agg(
-        F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
-        F.sum(whole.cast("int")).alias("places"),
-        F.min(F.when(whole, F.col("diagonal"))).alias("first_word"),
-        F.max(F.when(whole, F.col("diagonal"))).alias("last_word"),
-        F.least(F.sum("votes") / F.first("grams"), F.lit(1.0)).alias("held"),
-        F.first("base").alias("base"),
+        F.first("grams").alias("grams"), F.first("base").alias("base"), F.collect_set("t_pos").alias("held"),
     )
+    # A span holds at most `drift` + 1 diagonals, and of each at most the template's positions.
+    beyond = Window.partitionBy("row", "template").orderBy("diagonal").rangeBetween(0, drift)
+    near = F.collect_list(F.struct("diagonal", "held")).over(beyond)
+    spans = diagonals.withColumn("near", near).drop("held").mapInArrow(_verified, SPANS)
     label = F.element_at(F.array(*[F.lit(t.label) for t in templates]), F.col("template") + 1)
     known = F.when(F.col("template").isNotNull(), label)
+    place = F.when(F.col("places") > 0, F.col("diagonal"))
     based = F.when(F.col("places") > 0, known)
     found = F.when(F.col("base"), based).when(F.col("held") >= coverage, known)
-    score = F.when(F.col("base"), (F.col("places") > 0).cast("double")).otherwise(F.col("held"))
     sorted_set = lambda c: F.array_join(F.array_sort(F.collect_set(c)), ",")  # noqa: E731  labels only
     return spans.groupBy("row").agg(
         F.max("doc_id").alias("doc_id"), F.max("n_words").alias("n_words"),
         F.coalesce(F.sum("places"), F.lit(0)).cast("long").alias("n_base"),
-        F.min("first_word").cast("long").alias("first_word"), F.max("last_word").cast("long").alias("last_word"),
+        F.min(place).alias("first_word"), F.max(place).alias("last_word"),
         sorted_set(based).alias("base_labels"), sorted_set(found).alias("labels"),
-        F.coalesce(F.max(F.when(F.col("template").isNotNull(), score)), F.lit(0.0)).alias("score"),
+        F.coalesce(F.max("held"), F.lit(0.0)).alias("score"),
     ).drop("row")
 
 

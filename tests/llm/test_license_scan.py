@@ -1,5 +1,7 @@
 """License phrases against plain search, and notices with changes."""
 
+import random
+
 import pytest
 
 from custvalue.llm.license_scan import TEMPLATES, Template, license_scan, template_index, words_of
@@ -20,6 +22,64 @@ def base(text):
     return len(words), len(places), min(starts, default=None), max(starts, default=None), labels
 
 
+def held(words, template, drift=3):
+    """The best share of a template's triples that some span holds in order, by trying every span."""
+    triples = {}
+    for i in range(len(words) - 2):
+        triples.setdefault(tuple(words[i : i + 3]), []).append(i)
+    grams = [tuple(template[t : t + 3]) for t in range(len(template) - 2)]
+    hits = [(t, p) for t, gram in enumerate(grams) for p in triples.get(gram, [])]
+    best = 0
+    for low in {p - t for t, p in hits}:
+        inside = sorted((t, p) for t, p in hits if low <= p - t <= low + drift)
+        longest = []
+        for t, p in inside:
+            longest.append(1 + max((n for (a, b), n in zip(inside, longest) if a < t and b < p), default=0))
+        best = max(best, max(longest))
+    return best / len(grams)
+
+
+def verdict(text):
+    """Labels and score of one text by brute force."""
+    words = words_of(text or "")
+    labels = set(filter(None, base(text)[4].split(",")))
+    score = float(bool(labels))
+    for template in TEMPLATES:
+        if not template.base:
+            share = held(words, template.text.split())
+            score = max(score, share)
+            labels |= {template.label} if share >= 0.75 else set()
+    return ",".join(sorted(labels)), pytest.approx(score)
+
+
+REPEATED = [
+    "portions of the " + "of the software " * 40, "is free software " * 12 + "published by the " * 12,
+    " ".join(reversed("this program is free software you can redistribute it and or modify it".split())),
+    "permission is hereby granted free of charge " * 9, "a a a " * 50 + "licensed under the apache license version 2 0",
+]
+
+
+def test_repeated_words_are_no_notice(corpus):
+    rows = scan(corpus, list(enumerate(REPEATED)))
+    assert [rows[i].labels for i in range(4)] == ["", "", "", ""] and rows[4].labels == "apache"
+    assert {i: (r.labels, r.score) for i, r in rows.items()} == {i: verdict(t) for i, t in enumerate(REPEATED)}
+
+
+def test_changed_notices_against_brute_force(corpus):
+    """Words lost, added, swapped and repeated at random places of every notice."""
+    rng = random.Random(5)
+    texts = []
+    for template in TEMPLATES:
+        for _ in range(12):
+            words = ["so"] + template.text.split() + ["so"]
+            for _ in range(rng.randrange(7)):
+                at = rng.randrange(len(words))
+                words[at : at + rng.randrange(2)] = rng.choice([[], ["new"], words[at - 2 : at], words[:3]])
+            texts.append(" ".join(words * rng.choice([1, 1, 2])))
+    rows = scan(corpus, list(enumerate(texts)))
+    assert {i: (r.labels, r.score) for i, r in rows.items()} == {i: verdict(t) for i, t in enumerate(texts)}
+
+
 def scan(corpus, rows):
     return {r.doc_id: r for r in license_scan(corpus(rows)).collect()}
 
@@ -75,3 +135,4 @@ def test_query_over_a_whole_table(spark):
     docs = {r.doc_id: r.text for r in spark.read.parquet(f"{SF}/documents.parquet").collect()}
     result = op6_license_scan(spark, SF).collect()
     assert {r.doc_id: tuple(r[1:6]) for r in result} == {i: base(t) for i, t in docs.items()}
+    assert {r.doc_id: (r.labels, r.score) for r in result} == {i: verdict(t) for i, t in docs.items()}
