@@ -31,6 +31,8 @@ OWNERS = 4
 BLOCK_BYTES = 8 << 20  # text of a block; a longer document is a block alone
 BUNDLE_TERMS = 20_000  # terms of the items that travel together
 TOP = 10
+ROUTE_BYTES = 8 << 20  # routes of all bundles that are broadcast; beyond, they meet the blocks by a shuffle
+STOP_BYTES = 32  # of a term's weight, owner and slot in a route
 TF_SCALE = 1_000_000_000
 TERM_LIMIT = 1_000_000  # what a term of weight 1 contributes is below this
 WEIGHT_SCALE = 1_000
@@ -176,17 +178,22 @@ def _routes(
 def _departures(index: DataFrame, routes: DataFrame, bundles: int) -> DataFrame:
     """Every bundle at every block, without scores yet.
 
-    All blocks need each bundle, so a bundle's terms are repeated for a number of lanes and the blocks are
-    dealt to these: no key of the join holds more than its share of the blocks.
+    All blocks need each bundle. Routes of up to ``ROUTE_BYTES`` in all are broadcast. Beyond that a bundle's
+    terms are repeated for a number of lanes and the blocks are dealt to these, so that no key of the join
+    holds more than its share of the blocks.
     """
-    lanes = int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    stop = F.transform("route", lambda s: F.octet_length(s["term"]) + STOP_BYTES)
+    size = routes.agg(F.sum(F.aggregate(stop, F.lit(0).cast("long"), lambda a, b: a + b))).first()[0] or 0
+    small = size <= ROUTE_BYTES
+    lanes = 1 if small else int(index.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     blocks = index.where(F.col("owner") == DOCUMENTS).select(
         F.col("block").alias("block"), F.pmod(F.xxhash64("block"), F.lit(lanes)).cast("int").alias("lane"),
         F.explode(F.sequence(F.lit(0), F.lit(bundles - 1))).alias("bundle"),
     )
     lane = F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")
     none = F.lit(b"")
-    met = blocks.join(routes.select("bundle", "route", lane), ["bundle", "lane"])
+    laned = routes.select("bundle", "route", lane)
+    met = blocks.join(F.broadcast(laned) if small else laned.hint("merge"), ["bundle", "lane"])
     return met.select("block", "bundle", "route", none.alias("slots"), none.alias("docs"), none.alias("scores"))
 
 

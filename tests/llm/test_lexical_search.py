@@ -72,6 +72,7 @@ def items(spark):
 @pytest.mark.parametrize("owners,block_bytes,bundle_terms", [(4, 1 << 20, 20_000), (1, 2_000, 50), (3, 500, 7)])
 def test_many_blocks_owners_and_bundles(corpus, items, monkeypatch, owners, block_bytes, bundle_terms):
     monkeypatch.setattr(lexical_search, "BUNDLE_TERMS", bundle_terms)
+    monkeypatch.setattr(lexical_search, "ROUTE_BYTES", 8 << 20 if owners > 1 else 0)
     rows = made(2, 600)
     found = ranked_search(corpus(rows, 5), items, owners=owners, block_bytes=block_bytes)
     assert got(found) == brute(rows, ITEMS)
