@@ -1,4 +1,4 @@
-"""Pluggable regression scorers: a linear formula, or a fitted Spark ML model."""
+"""Pluggable regression scorers: a linear formula, compiled trees, or a fitted Spark ML model."""
 
 from __future__ import annotations
 
@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.functions.rounding import half_even
+from custvalue.operators.trees import TreeModel
 
 LABEL_DECIMALS = 4
 
@@ -27,7 +28,7 @@ class LinearModel:
         return reduce(lambda total, term: total + term, terms, F.lit(float(self.intercept)))
 
 
-Model = LinearModel | Transformer
+Model = LinearModel | TreeModel | Transformer
 
 
 def score(df: DataFrame, model: Model, out_col: str) -> DataFrame:
@@ -35,7 +36,7 @@ def score(df: DataFrame, model: Model, out_col: str) -> DataFrame:
 
     A Spark ML model may add working columns; only its ``prediction`` is kept.
     """
-    if isinstance(model, LinearModel):
+    if isinstance(model, (LinearModel, TreeModel)):
         return df.withColumn(out_col, half_even(model.expression(), LABEL_DECIMALS))
     scored = model.transform(df)
     return scored.select(*df.columns, half_even("prediction", LABEL_DECIMALS).alias(out_col))

@@ -15,8 +15,10 @@ from custvalue.functions.files import exists, remove
 from custvalue.operators.cleaning import NO_SOURCE, distinct_rows
 from custvalue.operators.features import rfm
 from custvalue.operators.scoring import LinearModel, Model
+from custvalue.operators.trees import TreeModel
 
-LINEAR = "linear"  # the folder of a linear formula inside a model's folder
+# The folders of a linear formula and of compiled trees inside a model's folder.
+LINEAR, TREES = "linear", "trees"
 
 CLV_FEATURES = ("no_visit", "value", "customer_age", "recency", "days_since_last_visit")
 # customer_age = recency + days_since_last_visit in every row, so a linear model leaves one out.
@@ -71,19 +73,23 @@ def fit_forecast_model(daily: DataFrame, estimator: Estimator | None = None) ->
 
 
 def save_model(spark: SparkSession, model: Model, path: str) -> None:
-    """Store a fitted model or a linear formula, replacing what is there."""
+    """Store a fitted model, a linear formula or compiled trees, replacing what is there."""
     remove(spark, path)
     if isinstance(model, LinearModel):
         terms = [(name, float(weight)) for name, weight in model.coefficients.items()]
         row = [(float(model.intercept), terms)]
         kind = "intercept double, terms array<struct<name: string, weight: double>>"
         spark.createDataFrame(row, kind).coalesce(1).write.parquet(f"{path}/{LINEAR}")
+    elif isinstance(model, TreeModel):
+        spark.createDataFrame([(model.to_json(),)], "trees string").coalesce(1).write.parquet(f"{path}/{TREES}")
     else:
         model.write().overwrite().save(path)
 
 
 def load_model(spark: SparkSession, path: str) -> Model:
     """Load what :func:`save_model` stored."""
+    if exists(spark, f"{path}/{TREES}"):
+        return TreeModel.from_json(spark.read.parquet(f"{path}/{TREES}").first()["trees"])
     if not exists(spark, f"{path}/{LINEAR}"):
         return PipelineModel.load(path)
     row = spark.read.parquet(f"{path}/{LINEAR}").first()

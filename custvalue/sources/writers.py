@@ -30,6 +30,17 @@ def read_table(spark: SparkSession, path: str, like: DataFrame | None = None) ->
     return spark.read.schema(like.schema).parquet(path).select(*like.columns)
 
 
+def read_json(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    """Read documents written by :func:`write_json`.
+
+    With ``like`` each field has the type it has in that frame, and a value that does not fit raises;
+    otherwise a document is one variant in the column ``document``.
+    """
+    if like is None:
+        return spark.read.option("singleVariantColumn", "document").json(path)
+    return spark.read.schema(like.schema).option("mode", "FAILFAST").json(path)
+
+
 def write_json(df: DataFrame, path: str) -> None:
     """Write one JSON document per row, missing values as ``null``."""
     df.write.mode("overwrite").option("ignoreNullFields", False).json(path)

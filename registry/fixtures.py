@@ -6,6 +6,7 @@ Values are whole numbers, so sums do not depend on row order and roundings agree
 from __future__ import annotations
 
 import uuid
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,7 @@ from pyspark.sql import functions as F
 from custvalue.functions.materialise import ensure_checkpoint_dir
 from custvalue.functions.rounding import half_even
 from custvalue.operators.scoring import LinearModel
+from custvalue.operators.trees import TreeModel
 from custvalue.plans import Inputs
 from custvalue.rules import Rules
 from custvalue.sources.schemas import CONTACT_HEADERS, TRANSACTION_HEADERS
@@ -37,6 +39,8 @@ CLV_MODEL = LinearModel(
 FORECAST_MODEL = LinearModel(
     1000, {"month": 10, "year": 0.5, "day_of_week": 25, "day_of_year": 1.5}
 )
+# Boosted trees fitted once on line-level visits, by training.fit_clv_model and trees.compile_trees.
+TREE_MODEL = TreeModel.from_json((Path(__file__).parent / "clv_trees.json").read_text())
 AGE_BANDS = ("18-24", "25-34", "35-44", "45-54", "55-64", "65-74", "75+")
 PLACE = "NATION_3"
 CSV_FILES = 4

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
+from registry.fixtures import TREE_MODEL
+
 
 def r(expression: str, digits: int) -> str:
     """Round half-even."""
@@ -725,6 +727,16 @@ FROM (SELECT {PLACE} AS location) one LEFT JOIN compared ON one.location = compa
     "document_locations": document_query(
         [listed("locations", "location", "(SELECT DISTINCT location FROM tx)", "location")]
     ),
+    "document_json_roundtrip": document_query(summary_fields()),
+    "locations_json_roundtrip": on_lines(
+        "SELECT CAST(row_number() OVER (ORDER BY location) - 1 AS INTEGER) AS place, location"
+        " FROM (SELECT DISTINCT location FROM tx)"
+    ),
+    "model_load_scored": on_lines(f"SELECT {RFM_KEYS}, {CLV_DOUBLES} FROM clv"),
+    "clv_trees_scored": on_lines(
+        f"SELECT {RFM_KEYS}, {doubles('value', 'total_transaction', 'frequency')},"
+        f" {tidy(r(TREE_MODEL.sql(), 4))} AS clv_3m FROM clv"
+    ),
     "clv_training_set": on_lines(TRAINING),
     "clv_model_fit": with_views(
         {

@@ -31,7 +31,7 @@ from custvalue.operators import (
 )
 from custvalue.operators.periods import Period
 from custvalue.plans import documents, payload, report_tables, reports, scored_clv
-from custvalue.sources import read_contacts, read_transactions
+from custvalue.sources import read_contacts, read_json, read_transactions, write_json
 from registry import fixtures as fx
 from registry.fixtures import RULES, Tables
 
@@ -610,6 +610,45 @@ def document_locations(t):
     return flat(documents.locations_document(overview.locations(fx.line_visits(t))))
 
 
+@query
+def document_json_roundtrip(t):
+    """The summary's document written as JSON and read back, field by field."""
+    document = documents.period_document(stored_period_tables(t), fx.PLACE, YEAR, RULES)
+    path = f"{ensure_checkpoint_dir(t.spark)}/document-{uuid.uuid4().hex}"
+    write_json(document, path)
+    return flat(read_json(t.spark, path, document))
+
+
+@query
+def locations_json_roundtrip(t):
+    """A document of arrays read back without its schema, as one variant."""
+    path = f"{ensure_checkpoint_dir(t.spark)}/document-{uuid.uuid4().hex}"
+    write_json(documents.locations_document(overview.locations(fx.line_visits(t))), path)
+    listed = F.variant_get("document", "$.locations", "array<string>")
+    return read_json(t.spark, path).select(F.posexplode(listed).alias("place", "location"))
+
+
+# Stored models
+
+
+def stored_model(t: Tables, model: scoring.Model) -> scoring.Model:
+    path = f"{ensure_checkpoint_dir(t.spark)}/model-{uuid.uuid4().hex}"
+    training.save_model(t.spark, model, path)
+    return training.load_model(t.spark, path)
+
+
+@query
+def model_load_scored(t):
+    """Values by a linear formula that was stored and loaded."""
+    return scoring.score_clv(features.rfm(fx.line_visits(t)), stored_model(t, fx.CLV_MODEL))
+
+
+@query
+def clv_trees_scored(t):
+    """Values by boosted trees with the location encoded, stored, loaded and scored as one expression."""
+    return scoring.score_clv(features.rfm(fx.line_visits(t)), stored_model(t, fx.TREE_MODEL))
+
+
 # Model fitting
 
 

@@ -1,7 +1,13 @@
-from pyspark.ml.regression import DecisionTreeRegressor
+import duckdb
+import pytest
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import StringIndexer, VectorAssembler
+from pyspark.ml.regression import DecisionTreeRegressor, GBTRegressor, LinearRegression, RandomForestRegressor
 
+from custvalue.functions.materialise import materialise
 from custvalue.operators import scoring, series, training
 from custvalue.operators.features import rfm
+from custvalue.operators.trees import TreeModel, compile_trees
 from tests.conftest import rows_of
 
 
@@ -62,3 +68,72 @@ def test_default_features_are_independent(spark, make_tx):
     assert not {"customer_age", "recency", "days_since_last_visit"} <= set(assembler.getInputCols())
     tree = training.fit_clv_model(rows, DecisionTreeRegressor(maxDepth=2))
     assert set(training.CLV_FEATURES) <= set(tree.stages[2].getInputCols())
+
+
+@pytest.fixture
+def places(spark, make_tx):
+    """Training rows in which the location decides, with names that need quoting."""
+    names = ["it's", 'a "b"', "c\\d", "é", "plain"]
+    rows = [
+        (c, f"2022-0{m}-{1 + c % 27:02d}", "w", names[c % 5], 10 + c * (1 + c % 5))
+        for c in range(90) for m in range(1, 2 + c % 5)
+    ]
+    tx = make_tx(*rows)
+    return tx, materialise(training.clv_training_set(tx, "2022-03-01"))
+
+
+ENSEMBLES = {
+    "tree": lambda: DecisionTreeRegressor(maxDepth=4),
+    "boosted": lambda: GBTRegressor(maxIter=6, maxDepth=3, seed=1),
+    "forest": lambda: RandomForestRegressor(numTrees=5, maxDepth=4, seed=1),
+}
+
+
+@pytest.mark.parametrize("kind", ENSEMBLES)
+def test_compiled_trees_score_like_the_pipeline(spark, places, tmp_path, kind):
+    """Also unseen locations, and the same in SQL."""
+    tx, rows = places
+    fitted = training.fit_clv_model(rows, ENSEMBLES[kind]())
+    trees = compile_trees(fitted)
+    assert "location" in trees.columns() and TreeModel.from_json(trees.to_json()) == trees
+    features = materialise(
+        rfm(tx).unionByName(rfm(tx).limit(4).selectExpr("ctc_id", "'unseen' AS location", "no_visit", "value",
+                                                       "customer_age", "recency", "days_since_last_visit"))
+    )
+    training.save_model(spark, trees, str(tmp_path / "m"))
+    loaded = training.load_model(spark, str(tmp_path / "m"))
+    assert loaded == trees
+    compiled = scoring.score(features, loaded, "y")
+    assert rows_of(compiled) == rows_of(scoring.score(features, fitted, "y"))
+    plan = compiled._jdf.queryExecution().executedPlan().toString()
+    assert "UDF" not in plan and "Python" not in plan and "vector" not in plan.lower()
+    features = features.toPandas()  # noqa: F841  read by DuckDB under this name
+    in_sql = duckdb.sql(f"SELECT ctc_id, location, round_even(({trees.sql()}) * 10000, 0) / 10000 AS y FROM features")
+    assert sorted(in_sql.fetchall(), key=repr) == rows_of(compiled, "ctc_id", "location", "y")
+
+
+def test_a_missing_location_goes_with_the_others(spark):
+    tree = {"column": "location", "one_of": ["A"], "then": {"value": 1.0}, "otherwise": {"value": 2.0}}
+    df = spark.createDataFrame([("A",), ("B",), (None,)], "location string")
+    model = TreeModel((tree, tree), (1.0, 0.5), 3.0)
+    assert [r.y for r in scoring.score(df, model, "y").collect()] == [0.5, 1.0, 1.0]
+
+
+def test_what_cannot_be_compiled(spark, places):
+    _, rows = places
+    with pytest.raises(TypeError, match="no trees"):
+        compile_trees(training.fit_clv_model(rows, LinearRegression(regParam=0.1)))
+    numbered = Pipeline(stages=[
+        StringIndexer(inputCol="location", outputCol="place"),
+        VectorAssembler(inputCols=["place"], outputCol="_features"),
+        DecisionTreeRegressor(featuresCol="_features", labelCol="target", maxDepth=2),
+    ])
+    with pytest.raises(ValueError, match="category numbers"):
+        compile_trees(numbered.fit(rows))
+
+
+def test_the_forecast_as_trees(spark, make_tx):
+    daily = series.daily_revenue(history(make_tx), "2022-01-01", "2022-12-31")
+    fitted = training.fit_forecast_model(daily, GBTRegressor(maxIter=3, seed=2))
+    span = (spark, "2022-01-01", "2022-06-30")
+    assert rows_of(series.forecast(*span, compile_trees(fitted))) == rows_of(series.forecast(*span, fitted))
