@@ -85,12 +85,14 @@ def nested_distinct(tx: DataFrame, max_places: int = MAX_PLACES) -> NestedVisits
     The shuffle hashes customer, day and value, which all three sets have, so equal rows of each set meet.
     A pair of source and location is a bit in one of a few longs, so copies fold map-side into numbers of
     fixed size; a pass over the two columns finds the pairs first. With more than ``max_places`` pairs the
-    rows gather sets of names instead.
+    rows gather sets of names instead; 0 asks for that without the first pass.
     """
     kept = tx.select(*ALL_COLUMNS).na.drop("any", subset=list(NO_SOURCE_NO_LOCATION))
-    pairs = kept.select("source", "location").distinct().limit(max_places + 1).collect()
+    pairs = []
+    if max_places:
+        pairs = kept.select("source", "location").distinct().limit(max_places + 1).collect()
     days = kept.groupBy(*NO_SOURCE_NO_LOCATION)
-    if len(pairs) > max_places:
+    if not max_places or len(pairs) > max_places:
         return NestedVisits(days.agg(F.collect_set(F.struct("source", "location")).alias("places")), None)
     known = tuple(sorted(map(tuple, pairs), key=lambda p: [(name is not None, name or "") for name in p]))
     numbered = tx.sparkSession.createDataFrame(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from custvalue.functions.dates import DateLike, as_date, with_calendar
@@ -28,6 +28,11 @@ def rfm(tx: DataFrame | NestedVisits, as_of: DateLike | None = None) -> DataFram
             F.max("order_date").alias("last_day"),
         )
     )
+    return features_of(grouped, today)
+
+
+def features_of(grouped: DataFrame, today: Column) -> DataFrame:
+    """The features from visits, mean value, first and last day per customer and location."""
     return grouped.select(
         "ctc_id",
         "location",

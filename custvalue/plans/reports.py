@@ -19,6 +19,7 @@ from custvalue.functions.materialise import materialise, parallel, scratch
 from custvalue.operators import age, cleaning, features, overview, period_table, segments, series, weekday
 from custvalue.operators.cleaning import NestedVisits
 from custvalue.operators.scoring import Model, score_clv
+from custvalue.plans import increments
 from custvalue.rules import DEFAULT_RULES, Rules
 from custvalue.sources.writers import read_table, write_table
 
@@ -95,6 +96,7 @@ def report_builders(
     as_of: DateLike,
     rules: Rules = DEFAULT_RULES,
     nested: NestedVisits | None = None,
+    locations: DataFrame | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
     """How to build every report on the scored table, by name; building may run jobs.
 
@@ -131,7 +133,7 @@ def report_builders(
         ),
         "actual_totals": actual,
         "forecast_totals": predicted,
-        "locations": lambda: overview.locations(tx),
+        "locations": lambda: overview.locations(tx) if locations is None else locations,
     }
 
 
@@ -152,13 +154,16 @@ def publish(
     path: str,
     rules: Rules = DEFAULT_RULES,
     with_transactions: bool = False,
+    state: str | None = None,
 ) -> Reports:
     """Write every table and the rules as a new version under ``path``; return them read back.
 
     The as-of date, the nested visits and the scored table go first; the other reports read those written
     copies, so the features are computed once, and a lost executor costs no more than its own tasks.
     ``with_transactions`` also writes the transactions, and the reports read that copy: worth it
-    for text inputs, which six passes would parse otherwise.
+    for text inputs, which six passes would parse otherwise. With ``state``, a folder kept by
+    :func:`increments.update_state`, the transactions of ``inputs`` are new ones: they are merged into the
+    state, and the reports are those of all transactions so far.
 
     A version is a folder of its own, and a marker file in it, written last, makes it the one that
     :func:`load_reports` reads. So readers see the tables of one run only, and a run that fails
@@ -176,11 +181,21 @@ def publish(
             if with_transactions:
                 tables["transactions"] = write("transactions", inputs.transactions)
                 inputs = replace(inputs, transactions=tables["transactions"])
-            tables["as_of"] = write("as_of", cleaning.as_of(inputs.transactions))
-            today = tables["as_of"].scalar()
-            nested = stored_visits(inputs)
-            tables["clv"] = write("clv", scored_clv(inputs, today, nested))
-            builders = report_builders(inputs, tables["clv"], today, rules, nested)
+            if state is None:
+                tables["as_of"] = write("as_of", cleaning.as_of(inputs.transactions))
+                today = tables["as_of"].scalar()
+                nested, places = stored_visits(inputs), None
+                scored = scored_clv(inputs, today, nested)
+            else:
+                latest = increments.update_state(spark, state, inputs.transactions).as_of
+                day = F.lit(latest).cast("date").alias("as_of")
+                tables["as_of"] = write("as_of", spark.range(1).select(day))
+                today = tables["as_of"].scalar()
+                nested = increments.state_visits(spark, state)
+                places = increments.state_locations(spark, state)
+                scored = score_clv(increments.state_features(spark, state), inputs.clv_model)
+            tables["clv"] = write("clv", scored)
+            builders = report_builders(inputs, tables["clv"], today, rules, nested, places)
             # The reports do not depend on each other: small ones fill the cluster beside large ones.
             writes = [lambda name=name, build=build: write(name, build()) for name, build in builders.items()]
             tables.update(zip(builders, parallel(writes, PARALLEL_WRITES), strict=True))

@@ -629,6 +629,7 @@ FROM actual_totals x JOIN actual_totals y USING (year, day_of_year)"""),
     "forecast_report": on_lines(f"""
 SELECT days, {tidy("label")} AS prediction_val, {tidy("value")} AS transaction_val
 FROM forecast_totals f FULL JOIN actual_totals a USING (days)"""),
+    "rfm_in_two_parts": on_lines(f"SELECT {RFM_KEYS}, {doubles('value')} FROM rfm"),
     "rfm_features": on_lines(f"SELECT {RFM_KEYS}, {doubles('value')} FROM rfm"),
     "clv_scored": on_lines(f"SELECT {RFM_KEYS}, {CLV_DOUBLES} FROM clv"),
     "overview_all": overview_query("all"),
@@ -716,6 +717,7 @@ SELECT one.location, {COMPARED_COUNTS}, {COMPARED_DOUBLES}
 FROM (SELECT {PLACE} AS location) one LEFT JOIN compared ON one.location = compared.location"""),
     "report_payload": document_query(map_fields()),
     "publish": publish_query(),
+    "publish_in_two_parts": publish_query(),
     "dashboard": document_query(DASHBOARD),
     "document_ages": document_query(age_fields()),
     "document_weekdays": document_query(weekday_fields()),

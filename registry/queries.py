@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from dataclasses import replace
 from functools import reduce
 
 from pyspark.ml.regression import LinearRegression
@@ -30,7 +31,7 @@ from custvalue.operators import (
     weekday,
 )
 from custvalue.operators.periods import Period
-from custvalue.plans import documents, payload, report_tables, reports, scored_clv
+from custvalue.plans import documents, increments, payload, report_tables, reports, scored_clv
 from custvalue.sources import read_contacts, read_json, read_transactions, write_json
 from registry import fixtures as fx
 from registry.fixtures import RULES, Tables
@@ -214,6 +215,22 @@ def rfm_features(t):
     return features.rfm(fx.line_visits(t))
 
 
+def two_parts(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """The transactions before 1997, and the later ones with some that the first part has already."""
+    tx = materialise(fx.line_visits(t))
+    late = F.col("order_date") >= F.lit("1997-01-01").cast("date")
+    return tx.filter(~late), tx.filter(late | (F.col("ctc_id") % 5 == 0))
+
+
+@query
+def rfm_in_two_parts(t):
+    """Visit features from a state that was updated twice."""
+    state = f"{ensure_checkpoint_dir(t.spark)}/state-{uuid.uuid4().hex}"
+    for part in two_parts(t):
+        increments.update_state(t.spark, state, part, buckets=16)
+    return increments.state_features(t.spark, state)
+
+
 @query
 def clv_scored(t):
     return line_clv(t)
@@ -556,6 +573,16 @@ def publish(t):
     return reduce(DataFrame.unionByName, [totals(name, df) for name, df in tables.items()])
 
 
+@query
+def publish_in_two_parts(t):
+    """All report tables after a publish of the first transactions and an update by the later ones."""
+    folder = f"{ensure_checkpoint_dir(t.spark)}/two-parts-{uuid.uuid4().hex}"
+    inputs = fx.line_inputs(t)
+    for part in two_parts(t):
+        tables = reports.publish(replace(inputs, transactions=part), f"{folder}/reports", RULES, state=f"{folder}/state")
+    return reduce(DataFrame.unionByName, [totals(name, df) for name, df in tables.items()])
+
+
 def totals(name: str, df: DataFrame) -> DataFrame:
     """Rows of a table and the sum of each number in it (in decimals, so order does not matter)."""
     numbers = [f.name for f in df.schema.fields if isinstance(f.dataType, T.NumericType)]
