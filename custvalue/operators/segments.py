@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from typing import NamedTuple
+
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from custvalue.functions.materialise import materialise
@@ -31,6 +33,31 @@ def churn_frequency(clv: DataFrame) -> DataFrame:
     return returning.agg(half_even(exact_mean("frequency", FREQUENCY_DECIMALS), 3).alias("churn_frequency"))
 
 
+class Facts(NamedTuple):
+    """Scalars of the whole scored table."""
+
+    rows: int
+    churn_frequency: float | None
+
+
+def observed(clv: DataFrame) -> tuple[DataFrame, Observation]:
+    """``clv`` such that the action that writes it also finds its :class:`Facts`.
+
+    They are counted where the rows are written, so a pass over the written table is saved, and a task that
+    runs again counts once. Hand the observation to :func:`facts_of` after the action.
+    """
+    returning = F.col("no_visit") > 1
+    kept = F.when(returning, F.col("frequency")).cast(f"decimal(28,{FREQUENCY_DECIMALS})")
+    mean = F.try_divide(F.sum(kept).cast("double"), F.count_if(returning))
+    seen = Observation()
+    return clv.observe(seen, F.count(F.lit(1)).alias("rows"), half_even(mean, 3).alias("churn_frequency")), seen
+
+
+def facts_of(seen: Observation) -> Facts:
+    """What an action on an :func:`observed` table found."""
+    return Facts(**seen.get)
+
+
 def _metrics(prefix: str) -> list[Column]:
     return [
         F.avg("clv_3m").alias(f"{prefix}clv"),
@@ -41,9 +68,10 @@ def _metrics(prefix: str) -> list[Column]:
     ]
 
 
-def _conditions(clv: DataFrame, rules: Rules) -> dict[str, Column]:
+def _conditions(clv: DataFrame, rules: Rules, facts: Facts | None = None) -> dict[str, Column]:
     visits, idle = F.col("no_visit"), F.col("days_since_last_visit")
-    limit = rules.churn_factor * churn_frequency(clv).scalar()
+    mean = F.lit(facts.churn_frequency).cast("double") if facts else churn_frequency(clv).scalar()
+    limit = rules.churn_factor * mean
     return {
         "all": F.lit(True),
         "loyal": visits >= rules.loyal_visits,
@@ -66,16 +94,17 @@ def segment(clv: DataFrame, name: str, rules: Rules = DEFAULT_RULES) -> DataFram
     return members.groupBy("location").agg(*_metrics(f"{PREFIXES[name]}_"))
 
 
-def segments(clv: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def segments(clv: DataFrame, rules: Rules = DEFAULT_RULES, facts: Facts | None = None) -> DataFrame:
     """All seven segments in one table: segment, location and the five metrics.
 
     Segments overlap. Rows are first folded per location and membership pattern, and only those
-    few sums are repeated for each segment of the pattern. ``clv`` is read three times; hand in a
-    written or materialised one when it is costly.
+    few sums are repeated for each segment of the pattern. ``clv`` is read three times, or twice with its
+    ``facts``; hand in a written or materialised one when it is costly.
     """
-    flagged = clv.join(spender_flags(clv, rules).drop("total_transaction"), "ctc_id")
+    flags = spender_flags(clv, rules, facts.rows if facts else None)
+    flagged = clv.join(flags.drop("total_transaction"), "ctc_id")
     conditions = {
-        **_conditions(clv, rules),
+        **_conditions(clv, rules, facts),
         "top": F.col("is_top"),
         "low": F.col("is_low"),
     }

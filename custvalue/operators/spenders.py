@@ -34,14 +34,16 @@ def _cut_rank(side: str, n: Column, customers: Column) -> Column:
     return F.when(n < 1, F.lit(0)).otherwise(F.greatest(customers + 1 - n, F.lit(1)))
 
 
-def _members(totals: DataFrame, share: float, sides: Sequence[str]) -> dict[str, Column]:
+def _members(
+    totals: DataFrame, share: float, sides: Sequence[str], rows: int | None = None
+) -> dict[str, Column]:
     """Per side, a predicate true for its first n customers by total, then by ctc_id.
 
     One exact selection finds the last total of all sides; only these numbers and their counts reach the
     driver. When n cuts through customers with that very total, a second one finds the last id
     among them, so a total shared by many is never sorted as a whole.
     """
-    n = spender_count(totals, share).scalar()
+    n = spender_count(totals, share).scalar() if rows is None else F.lit(round(rows * share)).cast("long")
     ranks = {side: lambda customers, s=side: _cut_rank(s, n, customers) for side in sides}
     one = totals.select("total_transaction", F.lit(1).alias("one"))
     cut = order_statistics(one, "total_transaction", ranks, ["one"]).first()
@@ -67,13 +69,16 @@ def _members(totals: DataFrame, share: float, sides: Sequence[str]) -> dict[str,
     return members
 
 
-def spender_flags(clv: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:
+def spender_flags(
+    clv: DataFrame, rules: Rules = DEFAULT_RULES, rows: int | None = None
+) -> DataFrame:
     """Totals per customer with ``is_top`` and ``is_low``; both hold when the sides overlap.
 
-    The totals are materialised, since counting and choosing must see the same values.
+    The totals are materialised, since counting and choosing must see the same values. ``rows`` is the
+    number of scored rows, if it is known already.
     """
     totals = materialise(customer_totals(clv))
-    members = _members(totals, rules.spender_share, SIDES)
+    members = _members(totals, rules.spender_share, SIDES, rows)
     flags = [members[side].alias(f"is_{side}") for side in SIDES]
     return totals.select("ctc_id", "total_transaction", *flags)
 

@@ -97,6 +97,7 @@ def report_builders(
     rules: Rules = DEFAULT_RULES,
     nested: NestedVisits | None = None,
     locations: DataFrame | None = None,
+    facts: segments.Facts | None = None,
 ) -> dict[str, Callable[[], DataFrame]]:
     """How to build every report on the scored table, by name; building may run jobs.
 
@@ -122,7 +123,7 @@ def report_builders(
 
     return {
         # Those with several passes of their own come first.
-        "segments": lambda: segments.segments(clv, rules),
+        "segments": lambda: segments.segments(clv, rules, facts),
         "age_analytics": lambda: age.age_analytics(visits(), clv, contacts, rules),
         "period_totals": lambda: periods().totals,
         "period_idle": lambda: periods().idle,
@@ -194,8 +195,10 @@ def publish(
                 nested = increments.state_visits(spark, state)
                 places = increments.state_locations(spark, state)
                 scored = score_clv(increments.state_features(spark, state), inputs.clv_model)
+            scored, seen = segments.observed(scored)
             tables["clv"] = write("clv", scored)
-            builders = report_builders(inputs, tables["clv"], today, rules, nested, places)
+            facts = segments.facts_of(seen)
+            builders = report_builders(inputs, tables["clv"], today, rules, nested, places, facts)
             # The reports do not depend on each other: small ones fill the cluster beside large ones.
             writes = [lambda name=name, build=build: write(name, build()) for name, build in builders.items()]
             tables.update(zip(builders, parallel(writes, PARALLEL_WRITES), strict=True))

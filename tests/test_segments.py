@@ -81,3 +81,22 @@ def test_loyal_are_repeat_and_new_plus_repeat_are_all(clv):
     repeat = clv.filter("no_visit >= 2")
     assert loyal.exceptAll(repeat).count() == 0
     assert clv.filter("no_visit = 1").count() + repeat.count() == clv.count()
+
+
+@pytest.mark.parametrize("share", [0.25, 0.5, 0.0])
+def test_observed_facts_save_a_pass(spark, make_clv, tmp_path, share):
+    """The facts of the write are those of the table, also without returning customers or any row."""
+    rules = Rules(spender_share=share)
+    some = [{"ctc_id": c, "location": "AB"[c % 2], "value": c % 7, "no_visit": 1 + c % 3, "frequency": c / 8,
+             "days_since_last_visit": c} for c in range(61)]
+    for rows in (some, some[::3], some[:0]):
+        clv = make_clv(*rows) if rows else make_clv(*some).filter("ctc_id < 0")
+        marked, seen = segments.observed(clv)
+        marked.write.mode("overwrite").parquet(str(tmp_path / "clv"))
+        stored = spark.read.parquet(str(tmp_path / "clv"))
+        facts = segments.facts_of(seen)
+        assert facts == (len(rows), segments.churn_frequency(stored).first()[0])
+        with_facts = segments.segments(stored, rules, facts)
+        assert rows_of(with_facts) == rows_of(segments.segments(stored, rules))
+        plan = with_facts._jdf.queryExecution().executedPlan().toString()
+        assert "Subquery" not in plan
