@@ -24,8 +24,10 @@ def training_sample(docs: DataFrame, labels: DataFrame, label: str, out: Column,
     )
     total = marked.count()
     share = 1.0 if total <= rows else rows / total
-    scale = 1 << 20
-    chosen = marked.where(F.pmod(F.xxhash64("label_id"), F.lit(scale)) < int(share * scale))
+    # All bits of the hash, so that a share far below one in a million still chooses rows.
+    print_ = F.xxhash64("label_id")
+    place = F.pmod(print_, F.lit(1 << 20)) * F.lit(1 << 43) + F.shiftrightunsigned(print_, 21)
+    chosen = marked.where(place < min(int(share * (1 << 63)), (1 << 63) - 1)) if share < 1 else marked
     chosen = chosen.groupBy("label_id").agg(F.max("label").alias("label"))
     texts = docs.select(F.col("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     sample = texts.join(F.broadcast(chosen), texts["doc_id"] == chosen["label_id"])

@@ -1,12 +1,14 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Words become symbols: insults and threats (with a weight), targets, negations, verbs of reported
-speech, clause ends. Four small transducers read the symbols of a clause one after the other. The
-negation transducer marks what follows a negation, the report transducer what follows a verb of
-speech, the target transducer binds insults and threats to a person named before them. They are composed
-into one machine, whose outputs are outcomes such as a plain, a targeted or a denied insult. A threat
-that is still plain is bound to a person named later in the clause, too ("I will kill you"). A
-document's score is a logistic function of the weight of its matched clauses per outcome.
+Words become symbols: insults, threats, targets, negations, verbs of reported speech and a few helpers.
+Five weighted transducers read the symbols of a clause one after the other. The negation transducer marks
+what follows a negation, the report transducer what follows a verb of speech. The insult transducer weighs
+an intensified insult more. The threat transducer holds a threat back until its object is known: a person
+right after the verb ("I will kill you", "hurt and burn them all") makes it a targeted one, any other word
+closes the place ("kill the process before you go"), and a hedge halves it. The target transducer binds
+insults to a person named before them. All are composed into one machine, whose weighted outputs are
+outcomes such as a plain, a targeted or a denied insult. A document's score is a logistic function of the
+weight of its matched clauses per outcome.
 
 The lexicon of insults is a short list of common ones and, learned from the labels, beginnings of
 words that occur almost only in toxic documents. The weights of the outcomes are fitted, too, around
@@ -29,7 +31,7 @@ from custvalue.llm import tokens
 from custvalue.llm.labelled import held_out, training_sample
 
 SAMPLE = 12_000  # labelled documents to learn from
-LEXICON = 2_000  # most learned word beginnings
+LEXICON = 2_000  # most learned word beginnings, a parameter of the fit; the most frequent ones stay
 PREFIXES = (4, 5, 6, 8)  # bytes
 SUPPORT = 5  # toxic documents that a learned beginning needs
 PURITY = 0.9
@@ -56,9 +58,21 @@ REPORTS = (
     "said", "says", "called", "calls", "wrote", "quoted", "claimed", "reported", "sagte", "nannte", "dit",
     "appelé", "dijo", "llamó",
 )
+LINKS = ("and", "or", "und", "oder", "et", "ou", "y", "o")
+OPENERS = ("all", "both", "every", "each", "of", "alle", "beide", "tous", "toutes", "todos", "todas")
+HEDGES = ("would", "could", "might", "if", "würde", "könnte", "wenn", "si")
+INTENSIFIERS = ("such", "total", "complete", "absolute", "utter", "totaler", "völliger")
 SCOPE = 3  # words after a negation that it denies
-
-OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END = range(7)
+STRONGER = 1.5  # weight of an intensified insult
+WEAKER = 0.5  # weight of a hedged threat
+WAITING = 3  # threats that wait for one object together
+
+OTHER, INSULT, THREAT, TARGET, NEGATION, REPORT, END, LINK, OPENER, HEDGE, INTENSIFIER = range(11)
+CLASSES = (
+    (INSULTS, INSULT), (THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT),
+    (LINKS, LINK), (OPENERS, OPENER), (HEDGES, HEDGE), (INTENSIFIERS, INTENSIFIER),
+)
+MARKED = tuple((mark, symbol) for mark in ("denied", "reported") for symbol in (INSULT, THREAT))
 # Prior weights of the outcomes, and of a document without any.
 PRIORS = {
     "insult": 4.5, "targeted insult": 6.0, "denied insult": 2.0, "reported insult": 2.0,
@@ -69,22 +83,26 @@ BIAS = -3.0
 
 
 class Transducer(NamedTuple):
-    """``step[state][symbol]`` is the next state and the symbol put out."""
+    """``step[state][symbol]`` is the next state and what is put out: symbols, each with a weight."""
 
     start: object
     step: dict
 
 
+def _one(symbol: object, weight: float = 1.0) -> tuple:
+    return ((symbol, weight),)
+
+
 def negation() -> Transducer:
     """Denies insults and threats up to ``SCOPE`` words after a negation, within the clause."""
     step: dict = {}
     for left in range(SCOPE + 1):
         after = max(0, left - 1)
-        row: dict = {s: (after, s) for s in (OTHER, TARGET, REPORT)}
-        row[NEGATION] = (SCOPE, OTHER)
-        row[END] = (0, END)
+        row: dict = {s: (after, _one(s)) for s in (OTHER, TARGET, REPORT, LINK, OPENER, HEDGE, INTENSIFIER)}
+        row[NEGATION] = (SCOPE, _one(OTHER))
+        row[END] = (0, _one(END))
         for symbol in (INSULT, THREAT):
-            row[symbol] = (after, ("denied", symbol) if left else symbol)
+            row[symbol] = (after, _one(("denied", symbol) if left else symbol))
         step[left] = row
     return Transducer(0, step)
 
@@ -93,31 +111,69 @@ def report() -> Transducer:
     """Marks insults and threats after a verb of speech as reported, up to the clause's end."""
     step: dict = {}
     for open_ in (False, True):
-        row: dict = {s: (open_, s) for s in (OTHER, TARGET)}
-        row[REPORT] = (True, OTHER)
-        row[END] = (False, END)
+        row: dict = {s: (open_, _one(s)) for s in (OTHER, TARGET, LINK, OPENER, HEDGE, INTENSIFIER)}
+        row[REPORT] = (True, _one(OTHER))
+        row[END] = (False, _one(END))
         for symbol in (INSULT, THREAT):
-            row[symbol] = (open_, ("reported", symbol) if open_ else symbol)
-            row["denied", symbol] = (open_, ("denied", symbol))
+            row[symbol] = (open_, _one(("reported", symbol) if open_ else symbol))
+            row["denied", symbol] = (open_, _one(("denied", symbol)))
         step[open_] = row
     return Transducer(False, step)
 
 
+def insult() -> Transducer:
+    """Weighs an insult ``STRONGER`` right after an intensifier."""
+    step: dict = {}
+    for strong in (False, True):
+        row: dict = {s: (False, _one(s)) for s in (OTHER, TARGET, THREAT, END, LINK, OPENER, HEDGE, *MARKED)}
+        row[INTENSIFIER] = (True, _one(OTHER))
+        row[INSULT] = (False, _one(INSULT, STRONGER if strong else 1.0))
+        step[strong] = row
+    return Transducer(False, step)
+
+
+def threat() -> Transducer:
+    """Holds threats back until the words after them tell their object.
+
+    A state is the number of waiting threats, whether a conjunction follows them, and whether the clause
+    has a hedge. A conjunction keeps the place open only for another threat.
+    """
+    step: dict = {}
+    for waiting in range(WAITING + 1):
+        for linked in (False, True):
+            for hedged in (False, True):
+                weight = WEAKER if hedged else 1.0
+                plain, bound = _one(("plain", THREAT), weight), _one(("targeted", THREAT), weight)
+                free = (0, False, hedged)
+                row: dict = {s: (free, plain * waiting + _one(s)) for s in (OTHER, *MARKED)}
+                row[END] = ((0, False, False), plain * waiting + _one(END))
+                row[HEDGE] = ((0, False, True), plain * waiting + _one(OTHER))
+                row[LINK] = ((waiting, waiting > 0, hedged), _one(OTHER))
+                row[OPENER] = ((waiting, linked, hedged), _one(OTHER))
+                for person in (TARGET, INSULT):
+                    row[person] = (free, (plain if linked else bound) * waiting + _one(person))
+                full = waiting == WAITING
+                row[THREAT] = ((waiting + (not full), False, hedged), plain if full else ())
+                step[waiting, linked, hedged] = row
+    return Transducer((0, False, False), step)
+
+
 def target() -> Transducer:
-    """Binds insults and threats to a person named earlier in the clause."""
+    """Binds insults to a person named earlier in the clause, and names the outcomes."""
     step: dict = {}
     for seen in (False, True):
-        row: dict = {OTHER: (seen, None), TARGET: (True, None), END: (False, None)}
-        for symbol, name in ((INSULT, "insult"), (THREAT, "threat")):
-            row[symbol] = (seen, f"targeted {name}" if seen else name)
-            for mark in ("denied", "reported"):
-                row[mark, symbol] = (seen, f"{mark} {name}")
+        row: dict = {OTHER: (seen, ()), TARGET: (True, ()), END: (False, ())}
+        row[INSULT] = (seen, _one("targeted insult" if seen else "insult"))
+        row["plain", THREAT] = (seen, _one("threat"))
+        row["targeted", THREAT] = (seen, _one("targeted threat"))
+        for mark, symbol in MARKED:
+            row[mark, symbol] = (seen, _one(f"{mark} {'insult' if symbol == INSULT else 'threat'}"))
         step[seen] = row
     return Transducer(False, step)
 
 
 def compose(first: Transducer, second: Transducer) -> Transducer:
-    """The machine that feeds the output of ``first`` to ``second``."""
+    """The machine that feeds the output of ``first`` to ``second``; weights multiply."""
     start = (first.start, second.start)
     step: dict = {}
     open_ = [start]
@@ -125,17 +181,35 @@ def compose(first: Transducer, second: Transducer) -> Transducer:
         state = open_.pop()
         if state in step:
             continue
-        a, b = state
         row = {}
-        for symbol, (next_a, out) in first.step[a].items():
-            next_b, result = second.step[b][out]
-            row[symbol] = ((next_a, next_b), result)
+        for symbol, (next_a, given) in first.step[state[0]].items():
+            next_b, out = state[1], ()
+            for passed, weight in given:
+                next_b, results = second.step[next_b][passed]
+                out += tuple((result, weight * more) for result, more in results)
+            row[symbol] = ((next_a, next_b), out)
             open_.append((next_a, next_b))
         step[state] = row
     return Transducer(start, step)
 
 
-GRAMMAR = compose(compose(negation(), report()), target())
+def grammar() -> Transducer:
+    """All five transducers as one machine, its states numbered and its outcomes as numbers."""
+    whole = negation()
+    for part in (report(), insult(), threat(), target()):
+        whole = compose(whole, part)
+    number = {state: i for i, state in enumerate(whole.step)}
+    step = {
+        number[state]: {
+            symbol: (number[after], tuple((OUTCOMES.index(name), weight) for name, weight in out))
+            for symbol, (after, out) in row.items()
+        }
+        for state, row in whole.step.items()
+    }
+    return Transducer(number[whole.start], step)
+
+
+GRAMMAR = grammar()
 
 
 class Lexicon:
@@ -144,8 +218,7 @@ class Lexicon:
     def __init__(self, learned: dict[tuple[int, int], float]):
         words = tokens.Words(tokens.ALNUM)
         table: dict[int, tuple[int, float]] = {}
-        classes = ((INSULTS, INSULT), (THREATS, THREAT), (TARGETS, TARGET), (NEGATIONS, NEGATION), (REPORTS, REPORT))
-        for names, symbol in classes:
+        for names, symbol in CLASSES:
             data, bounds = tokens.texts(pa.array(names))
             low, starts, ends, _ = words.find(data, bounds)
             for key in words.hash(low, starts, ends):
@@ -182,7 +255,7 @@ def clause_features(batch_text: pa.Array, lexicon: Lexicon, words: tokens.Words)
     """Per text, the summed weight of its matches by outcome. Only clauses with a match are walked."""
     data, bounds = tokens.texts(batch_text)
     out = np.zeros((len(bounds) - 1, len(OUTCOMES)))
-    number = {name: i for i, name in enumerate(OUTCOMES)}
+    insults = [name.endswith("insult") for name in OUTCOMES]
     for first, last in tokens.pieces(bounds):
         begin, end = bounds[first], bounds[last]
         low, starts, ends, ranges = words.find(data[begin:end], bounds[first : last + 1] - begin)
@@ -199,18 +272,13 @@ def clause_features(batch_text: pa.Array, lexicon: Lexicon, words: tokens.Words)
         docs = np.searchsorted(ranges, hits, "right") - 1
         spans = np.searchsorted(clauses, hits, "right") - 1
         for doc, span in dict.fromkeys(zip(docs.tolist(), spans.tolist())):
-            state, waiting = GRAMMAR.start, []
+            state = GRAMMAR.start
             for i in range(clauses[span], clauses[span + 1]):
-                symbol = int(symbols[i])
-                state, outcome = GRAMMAR.step[state][symbol]
-                if symbol == TARGET:
-                    out[first + doc, number["targeted threat"]] += weights[waiting].sum()
-                    waiting.clear()
-                elif outcome == "threat":
-                    waiting.append(i)
-                elif outcome is not None:
-                    out[first + doc, number[outcome]] += weights[i]
-            out[first + doc, number["threat"]] += weights[waiting].sum()
+                state, results = GRAMMAR.step[state][int(symbols[i])]
+                for outcome, weight in results:  # a threat weighs 1, an insult what its word was learned to
+                    out[first + doc, outcome] += weight * weights[i] if insults[outcome] else weight
+            for outcome, weight in GRAMMAR.step[state][END][1]:
+                out[first + doc, outcome] += weight
     return out
 
 
@@ -265,8 +333,13 @@ def _fit_weights(features: np.ndarray, labels: np.ndarray) -> tuple[np.ndarray,
     return w[:-1], float(w[-1])
 
 
-def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE) -> ToxicModel:
-    """Learn lexicon and weights from about ``sample_rows`` labelled texts outside the held-out fold."""
+def fit_toxicity(
+    docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE, lexicon_rows: int = LEXICON
+) -> ToxicModel:
+    """Learn lexicon and weights from about ``sample_rows`` labelled texts outside the held-out fold.
+
+    The lexicon keeps the ``lexicon_rows`` word beginnings that most toxic texts of the sample have.
+    """
     sample = materialise(training_sample(docs, labels, "toxic", held_out(FOLDS, FOLD), sample_rows))
     sums = {r["label"]: r["count"] for r in sample.groupBy("label").count().collect()}
     bad, good = sums.get(1, 0), sums.get(0, 0)
@@ -276,7 +349,7 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE)
     terms = terms.groupBy("size", "key").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     clear = terms.where((F.col("bad") >= SUPPORT) & (F.col("bad") >= PURITY * (F.col("bad") + F.col("good"))))
     learned = {}
-    for r in clear.orderBy(F.desc("bad"), "size", "key").limit(LEXICON).collect():
+    for r in clear.orderBy(F.desc("bad"), "size", "key").limit(lexicon_rows).collect():
         odds = math.log((r["bad"] + 0.5) / (bad + 1)) - math.log((r["good"] + 0.5) / (good + 1))
         learned[r["size"], r["key"] & (1 << 64) - 1] = min(1.0, max(0.1, odds / 4))
     lexicon = Lexicon(learned)
