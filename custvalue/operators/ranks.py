@@ -54,18 +54,22 @@ def with_ordered_key(df: DataFrame, value: str, out_col: str) -> DataFrame:
     exponent = near + F.when(up, 1).when(down, -1).otherwise(0)
     fraction = F.when(up, scaled / 2).when(down, scaled * 2).otherwise(scaled) - 1
     bits = (exponent + BIAS).cast("long") * F.lit(1 << 52) + (fraction * F.lit(FRACTION)).cast("long")
+    number, infinity = F.col(value).cast("double"), F.lit(float("inf"))
+    finite = (F.abs(number) > 0) & (F.abs(number) < infinity)  # not-a-number is above infinity
     key = (
-        F.when(size == 0, F.lit(0).cast("long"))
-        .when(size == F.lit(float("inf")), F.lit((2 * BIAS + 1) << 52))
-        .otherwise(bits)
+        F.when(F.isnan(number), F.lit((1 << 63) - 1))
+        .when(number == 0, F.lit(0).cast("long"))
+        .when(number == infinity, F.lit((2 * BIAS + 1) << 52))
+        .when(number == -infinity, F.lit(-((2 * BIAS + 1) << 52)))
+        .when(number < 0, -F.col("_bits"))
+        .otherwise(F.col("_bits"))
     )
-    signed = F.when(F.col(value) < 0, -F.col("_bits")).otherwise(F.col("_bits"))
     return (
-        df.select(*whole, F.abs(F.col(value).cast("double")).alias("_size"))
+        df.select(*whole, F.when(finite, F.abs(number)).otherwise(F.lit(1.0)).alias("_size"))
         .select("*", limited.alias("_near"))
         .select("*", (size * F.pow(F.lit(2.0), -near)).alias("_scaled"))
-        .select(*whole, size, key.alias("_bits"))
-        .select(*whole, F.when(F.isnan("_size"), F.lit((1 << 63) - 1)).otherwise(signed).alias(out_col))
+        .select(*whole, bits.alias("_bits"))
+        .select(*whole, key.alias(out_col))
     )
 
 
