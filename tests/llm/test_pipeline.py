@@ -92,7 +92,7 @@ def test_run_is_all_stages(spark, stages):
 
 def test_registered():
     assert queries()["pipeline"] is corpus_pipeline.run
-    assert {n for n in range(1, 11)} == {int(k[2:].split("_")[0]) for k in queries() if k.startswith("op")}
+    assert {n for n in range(1, 14)} == {int(k[2:].split("_")[0]) for k in queries() if k.startswith("op")}
     assert "op9_quality_rules" in oracle_sql()
 
 
