@@ -1,10 +1,15 @@
-"""N-gram Jaccard join by prefix filtering.
+"""N-gram Jaccard join by T-occurrence search.
 
 Two documents link when their sets of word shingles overlap in at least ``T`` shingles, where ``T``
 follows from the Jaccard threshold and the set sizes. The inverted lists of a document's shingles
-are divided: if the ``L = T - 1`` longest lists are set aside, a partner must occur in the short
-lists that are left. One occurrence there makes a candidate, which is verified on the whole sets, by
-binary search in the sorted set. Occurrences are counted only to choose the neighbours to try first.
+are divided as in DivideSkip: the ``L`` longest are set aside, with ``L`` chosen from ``T`` and the
+length of the longest. The short lists are merged, which counts in how many of them each partner
+occurs; one with fewer than ``T - L`` is dropped. For the others only the long lists are probed, by
+binary search, and the two counts together are the overlap.
+
+The merge is a join of the short lists on their shingle and a count per pair. Both documents bring
+only their short lists. All lists have one order, so of two documents the one whose short lists end
+first has no shingle among them that the other has set aside, and what it misses is at most its ``L``.
 
 The lists are built in packed blocks: a task sends one row per block and hash range instead of one
 row per shingle. A shingle that a block has several times is sent once with its count, and its
@@ -15,7 +20,7 @@ a few per cent of a corpus, with the exact length of every list.
 
 Groups of copies never become pairs. Equal sets are one member for the rest of the search. Inside a
 list, members are first paired with a few neighbours; once those links have merged most of a group
-into one component, only pairs across components are still open, and all of these are tried.
+into one component, only pairs across components are still open, and the search runs over all of these.
 """
 
 from __future__ import annotations
@@ -41,7 +46,7 @@ KEY_BYTES = 5  # of a shingle's hash inside a range; the range adds its own bits
 ROUNDS = 2  # of trying neighbours before all open pairs
 NEAREST = 6  # partners that each member tries in the first round
 MORE = 4  # times as many in the next, where few lists are still open
-
+LONG_COST = 0.01  # of probing a long list against merging it: the smaller, the more lists are set aside
 CROWD = 50_000  # members of a list that look for neighbours together
 
 # Kinds of rows on the way: a block's documents, postings, counts of shingles that a block has several
@@ -49,7 +54,8 @@ CROWD = 50_000  # members of a list that look for neighbours together
 HEAD, POSTINGS, COUNTS, WAITING = range(4)
 PACKED = "part int, block long, kind int, keys binary, docs binary, sizes binary"
 SHARED = "block long, part int, kind int, keys binary, docs binary, counts binary"
-SETS = "doc_id long, n long, digest binary, ranked binary"
+LISTS = "shingle long, id long, member long, n long, aside long"
+SETS = "doc_id long, n long, digest binary, ranked binary, aside long"
 
 
 def _size_class(sizes: np.ndarray) -> np.ndarray:
@@ -208,21 +214,24 @@ def _rank(threshold: float, parts: int):
             counts.append(lengths[order][np.searchsorted(told[order], whole)])
         digests: list[bytes | None] = [None] * len(sizes)
         ranked: list[bytes | None] = [None] * len(sizes)
+        needed = _needed(sizes, threshold)
+        aside = np.zeros(len(sizes), np.int64)
         if keys:
             keys, docs, counts = np.concatenate(keys), np.concatenate(docs), np.concatenate(counts)
             order = np.lexsort((keys, counts, docs))
-            keys, docs = keys[order], docs[order]
+            keys, docs, counts = keys[order], docs[order], counts[order]
             ranges = np.searchsorted(docs, np.arange(len(sizes) + 1))
             shared = np.diff(ranges)
-            for d in np.flatnonzero((shared >= _needed(sizes, threshold)) & (sizes > 0) & known):
+            aside = _set_aside(needed, counts[np.maximum(ranges[1:] - 1, 0)])
+            for d in np.flatnonzero((shared >= needed) & (sizes > 0) & known):
                 own = keys[ranges[d] : ranges[d + 1]]
                 ranked[d] = own.tobytes()
                 if len(own) == sizes[d]:
                     digests[d] = hashlib.blake2b(np.sort(own).tobytes(), digest_size=16).digest()
         return pa.table([
             pa.array(names, pa.int64(), mask=~known), pa.array(sizes, pa.int64()),
-            pa.array(digests, pa.binary()), pa.array(ranked, pa.binary()),
-        ], ["doc_id", "n", "digest", "ranked"])
+            pa.array(digests, pa.binary()), pa.array(ranked, pa.binary()), pa.array(aside, pa.int64()),
+        ], ["doc_id", "n", "digest", "ranked", "aside"])
 
     return rows
 
@@ -233,27 +242,27 @@ def _needed(sizes, threshold: float):
     return -(-percent * sizes // 100)
 
 
-def _short_lists(threshold: float):
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            names, sizes = tokens.ids(batch.column(0)), tokens.ids(batch.column(1))
-            ranked = [np.frombuffer(r.as_py(), "<i8") for r in batch.column(2)]
-            rest = sizes - np.array([len(r) for r in ranked], np.int64)
-            short = np.maximum(sizes - _needed(sizes, threshold) + 1 - rest, 0)
-            cut = [r[:k] for r, k in zip(ranked, short)]
-            if not cut:
-                continue
-            yield pa.record_batch([
-                pa.array(np.concatenate(cut), pa.int64()), pa.array(np.repeat(names, short)),
-                pa.array(np.repeat(sizes, short)),
-                pa.array(np.concatenate([np.arange(k) for k in short]) + np.repeat(rest, short), pa.int64()),
-            ], ["shingle", "id", "n", "at"])
+def _set_aside(needed: np.ndarray, longest: np.ndarray) -> np.ndarray:
+    """How many of each document's longest lists are probed: ``T / (cost * log2(longest) + 1)``, below ``T``."""
+    lists = needed / (LONG_COST * np.log2(np.maximum(longest, 2)) + 1)
+    return np.maximum(np.minimum(lists.astype(np.int64), needed - 1), 0)
 
-    return rows
+
+def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row per document and short list; lists without another document are not among ``ranked``."""
+    for batch in batches:
+        ranked = [np.frombuffer(r.as_py(), "<i8") for r in batch.column(4)]
+        aside = tokens.ids(batch.column(3))
+        short = np.array([max(len(r) - k, 0) for r, k in zip(ranked, aside)], np.int64)
+        if not len(short):
+            continue
+        columns = [np.repeat(tokens.ids(batch.column(c)), short) for c in range(4)]
+        cut = np.concatenate([r[:k] for r, k in zip(ranked, short)])
+        yield pa.record_batch([pa.array(c) for c in (cut, *columns)], [f.split()[0] for f in LISTS.split(", ")])
 
 
 def _probe(threshold: float):
-    """Count the overlap of each pair: the smaller set is searched for in the larger."""
+    """Keep the pairs of neighbours, tried before any count, whose whole sets are similar."""
     percent = round(threshold * 100)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -261,12 +270,8 @@ def _probe(threshold: float):
             a, b, size_a, size_b = (tokens.ids(batch.column(c)) for c in range(4))
             keep = []
             for i in range(batch.num_rows):
-                one = np.sort(np.frombuffer(batch.column(4)[i].as_py(), "<u8"))
-                two = np.sort(np.frombuffer(batch.column(5)[i].as_py(), "<u8"))
-                if len(one) > len(two):
-                    one, two = two, one
-                places = np.minimum(np.searchsorted(two, one), len(two) - 1)
-                overlap = int((two[places] == one).sum())
+                one, two = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in (4, 5))
+                overlap = _common(one, two)
                 if 100 * overlap >= percent * int(size_a[i] + size_b[i] - overlap):
                     keep.append(i)
             yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
@@ -274,6 +279,34 @@ def _probe(threshold: float):
     return rows
 
 
+def _probe_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Complete each candidate's count with the lists set aside, and keep those that reach ``need``.
+
+    What both have in short lists is counted; there remain the long lists of ``a``, in which ``b`` is
+    searched for, and those of ``b`` that are short for ``a``.
+    """
+    for batch in batches:
+        a, b, hits, need, aside_a, aside_b = (tokens.ids(batch.column(c)) for c in range(6))
+        keep = []
+        for i in range(batch.num_rows):
+            one, two = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in (6, 7))
+            cut, end = max(len(one) - int(aside_a[i]), 0), max(len(two) - int(aside_b[i]), 0)
+            overlap = int(hits[i]) + _common(one[cut:], two) + _common(one[:cut], two[end:])
+            if overlap >= need[i]:
+                keep.append(i)
+        yield pa.record_batch([pa.array(a[keep]), pa.array(b[keep])], ["a", "b"])
+
+
+def _common(one: np.ndarray, two: np.ndarray) -> int:
+    """How many values two sets share: the smaller is searched for in the larger."""
+    if len(one) > len(two):
+        one, two = two, one
+    if len(one) == 0:
+        return 0
+    two = np.sort(two)
+    return int((two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one).sum())
+
+
 def shingle_sets(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> DataFrame:
     """One row per document: ``n``, and for possible partners the shingles in order of list length."""
     parts = min(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), 65_535)
@@ -286,7 +319,7 @@ def shingle_sets(docs: DataFrame, size: int = 5, threshold: float = 0.75) -> Dat
 def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
     for end in ("a", "b"):
         own = sets.select(
-            F.col("doc_id").alias(end), F.col("n").alias(f"n_{end}"), F.col("ranked").alias(f"set_{end}")
+            F.col("id").alias(end), F.col("n").alias(f"n_{end}"), F.col("ranked").alias(f"set_{end}")
         )
         pairs = pairs.join(own, end)
     pairs = pairs.select("a", "b", "n_a", "n_b", "set_a", "set_b")
@@ -315,12 +348,56 @@ def _neighbours(lists: DataFrame, turn: int, nearest: int) -> DataFrame:
 def _still_open(lists: DataFrame, roots: DataFrame) -> DataFrame:
     """The lists whose members are in several components, with each member's ``root``."""
     known = roots.select("id", "root")
-    lists = lists.select("shingle", "id", "n", "at").join(known, "id", "left")
+    lists = lists.drop("root").join(known, "id", "left")
     lists = lists.withColumn("root", F.coalesce("root", "id"))
     split = lists.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high"))
     return lists.join(split.where("low < high").select("shingle"), "shingle", "left_semi")
 
 
+def _members(sets: DataFrame, copies: DataFrame) -> DataFrame:
+    """The different sets that take part, each under an own key; an id may have several."""
+    sets = sets.join(copies, "doc_id", "left_anti")
+    sets = sets.select(F.col("doc_id").alias("id"), F.xxhash64("doc_id", "ranked").alias("member"), "n", "aside", "ranked")
+    again = materialise(sets.groupBy("id").count().where("count > 1").select("id"))
+    alone = sets.join(again, "id", "left_anti")
+    return alone.union(sets.join(again, "id", "left_semi").dropDuplicates(["member"]))
+
+
+def _merged(lists: DataFrame, threshold: float) -> DataFrame:
+    """Pairs of members in different components, with their ``hits`` in short lists.
+
+    ``need`` is the overlap ``T`` that the pair must reach, and ``at_least`` is ``T - L``.
+    """
+    percent = round(threshold * 100)
+    one, two = lists.alias("one"), lists.alias("two")
+    pairs = one.join(
+        two,
+        (F.col("one.shingle") == F.col("two.shingle"))
+        & (F.col("one.root") < F.col("two.root"))
+        & (F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent),
+    )
+    total = F.col("one.n") + F.col("two.n")
+    need = F.floor((total * percent + (99 + percent)) / (100 + percent)).cast("long")
+    merged = pairs.groupBy(F.col("one.member").alias("member_a"), F.col("two.member").alias("member_b")).agg(
+        F.count("*").alias("hits"), F.max(need).alias("need"),
+        F.max(F.greatest("one.aside", "two.aside")).alias("aside"),
+    )
+    return merged.select("member_a", "member_b", "hits", "need", (F.col("need") - F.col("aside")).alias("at_least"))
+
+
+def _occurring(lists: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
+    """The links ``(a, b)`` between components, by counts in short lists and probes of the long."""
+    pairs = _merged(lists, threshold).where("hits >= at_least")
+    for end in ("a", "b"):
+        own = members.select(
+            F.col("member").alias(f"member_{end}"), F.col("id").alias(end), F.col("aside").alias(f"aside_{end}"),
+            F.col("ranked").alias(f"set_{end}"),
+        )
+        pairs = pairs.join(own, f"member_{end}")
+    pairs = pairs.select("a", "b", "hits", "need", "aside_a", "aside_b", "set_a", "set_b")
+    return pairs.mapInArrow(_probe_long, "a long, b long")
+
+
 def jaccard_components(
     docs: DataFrame, size: int = 5, threshold: float = 0.75, nearest: int = NEAREST
 ) -> DataFrame:
@@ -344,10 +421,8 @@ def _components(docs: DataFrame, size: int, threshold: float, nearest: int) -> D
     first = equal.groupBy("digest").agg(F.min("doc_id").alias("first"))
     copies = equal.join(first, "digest").where("doc_id <> first").select("doc_id", "first").distinct()
     copies = materialise(copies)
-    members = open_.join(copies, "doc_id", "left_anti").select("doc_id", "n", "ranked")
-    members = materialise(members)
-    lists = members.mapInArrow(_short_lists(threshold), "shingle long, id long, n long, at long")
-    lists = materialise(lists)
+    members = materialise(_members(open_, copies))
+    lists = materialise(members.mapInArrow(_short_lists, LISTS))
 
     # First some neighbours in each list, until most of a group is one component.
     links = roots = None
@@ -358,20 +433,9 @@ def _components(docs: DataFrame, size: int, threshold: float, nearest: int) -> D
         links = found if links is None else links.union(found)
         roots = materialise(components(links))
 
-    # Then every pair of a list that is still in two components.
+    # Then every partner in a list that is still in another component.
     lists = materialise(_still_open(lists, roots))
-    one, two = lists.alias("one"), lists.alias("two")
-    percent = round(threshold * 100)
-    rest = F.least(F.col("one.n") - F.col("one.at"), F.col("two.n") - F.col("two.at"))
-    total = F.col("one.n") + F.col("two.n")
-    pairs = one.join(
-        two,
-        (F.col("one.shingle") == F.col("two.shingle"))
-        & (F.col("one.root") < F.col("two.root"))
-        & (F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent)
-        & (rest * (100 + percent) >= total * percent),
-    ).select(F.greatest("one.id", "two.id").alias("a"), F.least("one.id", "two.id").alias("b"))
-    late = materialise(_verified(pairs.distinct(), members, threshold))
+    late = materialise(_occurring(lists, members, threshold).distinct())
     ends = late
     for end in ("a", "b"):
         at = roots.select(F.col("id").alias(end), F.col("root").alias(f"root_{end}"))

@@ -4,6 +4,7 @@ import random
 from itertools import combinations
 
 import pytest
+from pyspark.sql import functions as F
 
 from custvalue.llm import jaccard_join
 from custvalue.llm.graph import components
@@ -66,6 +67,34 @@ def test_second_round_finds_what_neighbours_miss(corpus):
     assert found(jaccard_components(corpus(rows), nearest=1)) == brute(rows)
 
 
+def test_counts_in_short_lists_drop_candidates_and_no_link(corpus, spark):
+    rows = near_copies(160, 7, 0.03)
+    sets = jaccard_join.shingle_sets(corpus(rows)).where("ranked IS NOT NULL")
+    members = jaccard_join._members(sets, spark.createDataFrame([], "doc_id long, first long")).cache()
+    lists = members.mapInArrow(jaccard_join._short_lists, jaccard_join.LISTS).withColumn("root", F.col("id"))
+    merged = jaccard_join._merged(lists, 0.75).collect()
+    assert all(r.aside < r.n for r in members.collect())
+    assert any(r.at_least > 1 for r in merged)
+    kept = [r for r in merged if r.hits >= r.at_least]
+    assert len(kept) < len(merged)
+    names = {r.member: r.id for r in members.collect()}
+    texts = {i: shingles_of(t) for i, t in rows}
+    linked = {
+        (i, j) for i, j in combinations(sorted(names.values()), 2)
+        if 100 * len(texts[i] & texts[j]) >= 75 * len(texts[i] | texts[j])
+    }
+    assert linked <= {tuple(sorted((names[r.member_a], names[r.member_b]))) for r in kept}
+    found = jaccard_join._occurring(lists, members, 0.75).collect()
+    assert sorted(tuple(sorted(r)) for r in found) == sorted(linked)
+
+
+def test_partners_beyond_the_neighbours(corpus, monkeypatch):
+    monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
+    rows = near_copies(140, 8, 0.05)
+    rows += rows[::9] + [(i, t + " and more") for i, t in rows[::7]]  # repeated rows and ids
+    assert found(jaccard_components(corpus(rows), nearest=0)) == brute(rows)
+
+
 def test_odd_rows(corpus, odd_rows):
     assert found(jaccard_components(corpus(odd_rows))) == brute(odd_rows)
 
