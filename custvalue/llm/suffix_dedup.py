@@ -13,7 +13,8 @@ Sorting every position would move many times the corpus. Two things avoid this:
   round. A few per cent of positions are anchors, and what a task's block has several times is
   sent once with its count.
 * In the second round, all strings that share an anchor travel together as one fragment of text, and
-  the ranks are named and paired where they are sorted. Equal fragments of one task are one entry,
+  the ranks are named and paired where they are sorted. Strings of equal rank are compared byte by
+  byte, so names only propose repeats. Equal fragments of one task are one entry,
   so a passage or document with thousands of copies is sent once per task. The strings around an
   anchor that very many places have, such as a common line in different texts, are dealt out by
   their next bytes as well: equal strings agree in these, so they still meet.
@@ -292,6 +293,42 @@ def _narrowed(
     return tokens.mix(least[starts] + tokens.mix(beside + left.astype(np.uint64)))
 
 
+def _differing(data: np.ndarray, own: np.ndarray, lead: np.ndarray, width: np.ndarray):
+    """Which bytes of the runs at ``own`` differ from those at ``lead``, run by run, and the runs' bounds."""
+    bounds = np.concatenate([[0], np.cumsum(width)])
+    at = np.arange(bounds[-1]) + np.repeat(own - bounds[:-1], width)
+    return data[at] != data[at + np.repeat(lead - own, width)], bounds
+
+
+def equal_strings(data: np.ndarray, own: np.ndarray, lead: np.ndarray, length: int) -> np.ndarray:
+    """Whether the ``length`` bytes at each ``own`` are those at its ``lead``.
+
+    Where neighbours in ``own`` and ``lead`` go on together, a byte is compared once for all strings
+    that hold it.
+    """
+    out = np.zeros(len(own), bool)
+    if len(own) == 0:
+        return out
+    first = np.flatnonzero(np.append(True, (np.diff(own) != 1) | (np.diff(lead) != 1)))
+    count = np.diff(np.append(first, len(own)))
+    for a, b in tokens.pieces(np.concatenate([[0], np.cumsum(count + length - 1)]), CHUNK):
+        begin, many = first[a:b], count[a:b]
+        bad, bounds = _differing(data, own[begin], lead[begin], many + length - 1)
+        faults = np.concatenate([[0], np.cumsum(bad, dtype=np.int32)])
+        until = begin[0] + many.sum()
+        at = np.arange(begin[0], until) + np.repeat(bounds[:-1] - begin, many)
+        out[begin[0] : until] = faults[at + length] == faults[at]
+    return out
+
+
+def equal_runs(data: np.ndarray, own: np.ndarray, lead: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """Whether each run of ``width`` bytes at ``own`` equals the one at its ``lead``."""
+    if len(own) == 0:
+        return np.zeros(0, bool)
+    bad, bounds = _differing(data, own, lead, width)
+    return np.add.reduceat(bad, bounds[:-1], dtype=np.int64) == 0
+
+
 def _fragments(length: int, parts: int):
     """Second round, sending side: the strings of each anchor that stays, as fragments of text."""
     half = length // 2
@@ -311,8 +348,10 @@ def _fragments(length: int, parts: int):
             new = np.ones(len(order), bool)
             new[1:] = (name[order][1:] != name[order][:-1]) | (lengths[order][1:] != lengths[order][:-1])
             lead = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+            # One that only has the name of its lead stays and is compared in the next step.
+            new[~new] = ~equal_runs(raw, offsets[order[~new]], offsets[lead[~new]], lengths[order[~new]])
             later = (own[order] != own[lead]) | (prints[order] != prints[lead]) | (starts[order] != starts[lead])
-            gone, kept = order[later], np.sort(order[new])
+            gone, kept = order[later & ~new], np.sort(order[new])
             kept = kept[np.argsort(part[kept], kind="stable")]
             at = np.flatnonzero(np.diff(part[kept].astype(np.int32), prepend=-1))
             out = []
@@ -388,7 +427,11 @@ FIELDS = [field.strip().split()[0] for field in FRAGMENTS.split(",")]
 
 
 def _doubled(length: int):
-    """Second round: pair the ranks at each position and at the offset, sort, keep the repeats."""
+    """Second round: pair the ranks at each position and at the offset, sort, keep the repeats.
+
+    Positions of one rank are compared with the first of them. Those that differ from it are ranked
+    among themselves again, until each is the first of its string or equal to the first.
+    """
     half = length // 2
 
     def rows(table: pa.Table) -> pa.Table:
@@ -406,7 +449,7 @@ def _doubled(length: int):
             raw = np.concatenate([p[0] for p in packed])
             offsets = np.concatenate([[0], np.cumsum(lengths)])
             order = np.lexsort((starts, prints, own))  # corpus order
-            ranks, fragment, place = [], [], []
+            ranks, fragment, where = [], [], []
             i = 0
             while i < len(order):  # in steps, to bound the memory of the names
                 j = i + max(1, int(np.searchsorted(np.cumsum(lengths[order[i:]]), CHUNK, "right")))
@@ -419,19 +462,24 @@ def _doubled(length: int):
                 at = np.repeat(begin, count) + inside
                 ranks.append(tokens.mix(tokens.mix(short[at]) + short[at + half]))
                 fragment.append(np.repeat(mine.astype(np.int32), count))
-                place.append(inside.astype(np.int32))
+                where.append(np.repeat(offsets[mine], count) + inside)
                 i = j
-            rank, fragment, place = np.concatenate(ranks), np.concatenate(fragment), np.concatenate(place)
-            by = np.argsort(rank, kind="stable")
-            new = np.ones(len(by), bool)
-            new[1:] = rank[by][1:] != rank[by][:-1]
-            lead = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
-            by, lead = by[~new], lead[~new]
-            f, g = fragment[by], fragment[lead]
-            at, first = starts[f] + place[by], starts[g] + place[lead]
-            later = (own[f] != own[g]) | (prints[f] != prints[g]) | (at != first)
-            f, at = f[later], at[later]
-            gone.append((own[f], prints[f], at, at + length))
+            rank, fragment, where = np.concatenate(ranks), np.concatenate(fragment), np.concatenate(where)
+            begin = starts - offsets[:-1]  # of a fragment in its document, less its begin here
+            lead = np.arange(len(rank))
+            left = lead.copy()
+            while len(left):
+                by = left[np.argsort(rank[left], kind="stable")]
+                new = np.append(True, rank[by[1:]] != rank[by[:-1]])
+                lead[by] = by[np.maximum.accumulate(np.where(new, np.arange(len(by)), 0))]
+                left = left[lead[left] != left]
+                same = equal_strings(raw, where[left], where[lead[left]], length)
+                found, left = left[same], left[~same]
+                f, g = fragment[found], fragment[lead[found]]
+                at, first = begin[f] + where[found], begin[g] + where[lead[found]]
+                later = (own[f] != own[g]) | (prints[f] != prints[g]) | (at != first)
+                f, at = f[later], at[later]
+                gone.append((own[f], prints[f], at, at + length))
         if gone:
             own, prints, begin, end = (np.concatenate([g[c] for g in gone]) for c in range(4))
         else:
@@ -491,8 +539,8 @@ def remove_repeats(docs: DataFrame, length: int = 100) -> DataFrame:
     A null text is empty; texts shorter than ``length`` stay whole. Rows without doc_id come last.
     Rows with one doc_id and different texts are different documents, ordered by a hash of the
     text; rows equal in both are one document, whose result each row gets. Other columns are not
-    used, whatever their names. An empty table gives an empty result. Equality is that of two 64-bit
-    names and of the hash range of the anchor.
+    used, whatever their names. An empty table gives an empty result. Repeats are compared byte by
+    byte; hashes only bring the strings together.
     """
     spark = docs.sparkSession
     parts = min(int(spark.conf.get("spark.sql.shuffle.partitions")), 60_000 // SPREAD)

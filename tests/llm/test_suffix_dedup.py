@@ -4,11 +4,12 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from custvalue.llm import suffix_dedup
 from custvalue.llm.queries import op3_suffix_dedup
-from custvalue.llm.suffix_dedup import merged, remove_repeats
+from custvalue.llm.suffix_dedup import equal_runs, equal_strings, merged, remove_repeats
 from tests.llm.conftest import SF
 
 COLUMNS = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"]
@@ -102,3 +103,44 @@ def test_query_over_a_whole_table(spark):
 def test_merged():
     begin, end = merged(np.array([0, 2, 5, 9, 10]), np.array([6, 3, 7, 10, 12]))
     assert (begin.tolist(), end.tolist()) == ([0, 9], [7, 12])
+
+
+def test_equal_strings():
+    rng = random.Random(2)
+    data = np.frombuffer("".join(rng.choice("ab") for _ in range(3_000)).encode(), np.uint8)
+    own = np.array([*range(900, 1_400), *range(50, 90), *(rng.randrange(2_980) for _ in range(500))])
+    lead = np.array([*range(100, 600), *range(1_050, 1_090), *(rng.randrange(2_980) for _ in range(500))])
+    lead[30:60] = own[30:60]
+    raw = data.tobytes()
+    for length in (1, 2, 7, 20):
+        wanted = [raw[a : a + length] == raw[b : b + length] for a, b in zip(own.tolist(), lead.tolist())]
+        assert equal_strings(data, own, lead, length).tolist() == wanted
+        assert equal_runs(data, own, lead, np.full(len(own), length)).tolist() == wanted
+    assert len(equal_strings(data, own[:0], lead[:0], 5)) == len(equal_runs(data, own[:0], lead[:0], own[:0])) == 0
+
+
+@pytest.mark.parametrize("bits", [0, 3, 64])
+def test_strings_that_only_share_a_name(monkeypatch, bits):
+    """With few bits most names are those of several strings; the bytes decide."""
+
+    class Few(suffix_dedup.Names):
+        def of(self, sums, size):
+            return super().of(sums, size) & np.uint64((1 << bits) - 1)
+
+    monkeypatch.setattr(suffix_dedup, "Names", Few)
+    monkeypatch.setattr(suffix_dedup, "CHUNK", 300)
+    rows = [(i, t) for i, t in mixed_rows(6) if i is not None and t and len(t) < 500][:16]
+    out, length = {}, 20
+    columns = {name: [] for name in suffix_dedup.FIELDS}
+    for i, text in reversed(rows):
+        data = np.frombuffer(text.encode(), np.uint8)
+        if len(data) < length:
+            continue
+        one = (0, data.tobytes(), *(np.array([x]).tobytes() for x in (len(data), i, 0, 0)), *[None] * 4)
+        for name, value in zip(suffix_dedup.FIELDS, one):
+            columns[name].append(value)
+    for row in suffix_dedup._doubled(length)(pa.table(columns)).to_pylist():
+        begin, end = np.frombuffer(row["gone"], np.int64).reshape(2, -1)
+        out[row["id"]] = (int((end - begin).sum()), len(begin))
+    wanted = {i: (removed, spans) for i, _, removed, spans, _ in brute(rows, length) if removed}
+    assert wanted and out == wanted
