@@ -7,9 +7,10 @@ length of the longest. The short lists are merged, which counts in how many of t
 occurs; one with fewer than ``T - L`` is dropped. For the others only the long lists are probed, by
 binary search, and the two counts together are the overlap.
 
-The merge is a join of the short lists on their shingle and a count per pair. Both documents bring
-only their short lists. All lists have one order, so of two documents the one whose short lists end
-first has no shingle among them that the other has set aside, and what it misses is at most its ``L``.
+The merge is a join of the short lists on their shingle and a count per pair. A document sets aside
+by the smallest ``T`` of any partner; the join sets aside more by the pair's own ``T``, the same
+``L`` on both sides. All lists have one order, so of the shared shingles in that order the first
+``T - L`` have at least ``L`` others behind them in both documents, and the join sees each of them.
 
 The lists are built in packed blocks: a task sends one row per block and hash range instead of one
 row per shingle. A shingle that a block has several times is sent once with its count, and its
@@ -46,7 +47,8 @@ KEY_BYTES = 5  # of a shingle's hash inside a range; the range adds its own bits
 ROUNDS = 2  # of trying neighbours before all open pairs
 NEAREST = 6  # partners that each member tries in the first round
 MORE = 4  # times as many in the next, where few lists are still open
-LONG_COST = 0.01  # of probing a long list against merging it: the smaller, the more lists are set aside
+LONG_COST = 0.002  # of probing a long list against merging it: the smaller, the more lists are set aside
+PAIR_ASIDE = 0.98  # of a pair's ``T``: so many of the longest lists of both are probed
 CROWD = 50_000  # members of a list that look for neighbours together
 
 # Kinds of rows on the way: a block's documents, postings, counts of shingles that a block has several
@@ -54,7 +56,7 @@ CROWD = 50_000  # members of a list that look for neighbours together
 HEAD, POSTINGS, COUNTS, WAITING = range(4)
 PACKED = "part int, block long, kind int, keys binary, docs binary, sizes binary"
 SHARED = "block long, part int, kind int, keys binary, docs binary, counts binary"
-LISTS = "shingle long, id long, member long, n long, aside long"
+LISTS = "shingle long, behind long, id long, member long, n long, aside long"
 SETS = "doc_id long, n long, digest binary, ranked binary, aside long"
 
 
@@ -258,7 +260,8 @@ def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         columns = [np.repeat(tokens.ids(batch.column(c)), short) for c in range(4)]
         cut = np.concatenate([r[:k] for r, k in zip(ranked, short)])
-        yield pa.record_batch([pa.array(c) for c in (cut, *columns)], [f.split()[0] for f in LISTS.split(", ")])
+        behind = np.concatenate([np.arange(len(r) - 1, len(r) - 1 - k, -1) for r, k in zip(ranked, short)])
+        yield pa.record_batch([pa.array(c) for c in (cut, behind, *columns)], [f.split()[0] for f in LISTS.split(", ")])
 
 
 def _probe(threshold: float):
@@ -286,11 +289,11 @@ def _probe_long(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     searched for, and those of ``b`` that are short for ``a``.
     """
     for batch in batches:
-        a, b, hits, need, aside_a, aside_b = (tokens.ids(batch.column(c)) for c in range(6))
+        a, b, hits, need, aside = (tokens.ids(batch.column(c)) for c in range(5))
         keep = []
         for i in range(batch.num_rows):
-            one, two = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in (6, 7))
-            cut, end = max(len(one) - int(aside_a[i]), 0), max(len(two) - int(aside_b[i]), 0)
+            one, two = (np.frombuffer(batch.column(c)[i].as_py(), "<u8") for c in (5, 6))
+            cut, end = (max(len(x) - int(aside[i]), 0) for x in (one, two))
             overlap = int(hits[i]) + _common(one[cut:], two) + _common(one[:cut], two[end:])
             if overlap >= need[i]:
                 keep.append(i)
@@ -366,23 +369,25 @@ def _members(sets: DataFrame, copies: DataFrame) -> DataFrame:
 def _merged(lists: DataFrame, threshold: float) -> DataFrame:
     """Pairs of members in different components, with their ``hits`` in short lists.
 
-    ``need`` is the overlap ``T`` that the pair must reach, and ``at_least`` is ``T - L``.
+    ``need`` is the overlap ``T`` that the pair must reach, ``aside`` is ``L`` and ``at_least`` is
+    ``T - L``. A hit has at least ``L`` shared shingles behind it in the order of both documents.
     """
     percent = round(threshold * 100)
     one, two = lists.alias("one"), lists.alias("two")
+    total = F.col("one.n") + F.col("two.n")
+    need = F.floor((total * percent + (99 + percent)) / (100 + percent)).cast("long")
+    aside = F.greatest("one.aside", "two.aside", F.least(F.floor(need * PAIR_ASIDE), need - 1))
     pairs = one.join(
         two,
         (F.col("one.shingle") == F.col("two.shingle"))
         & (F.col("one.root") < F.col("two.root"))
-        & (F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent),
+        & (F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent)
+        & (F.least("one.behind", "two.behind") >= aside),
     )
-    total = F.col("one.n") + F.col("two.n")
-    need = F.floor((total * percent + (99 + percent)) / (100 + percent)).cast("long")
     merged = pairs.groupBy(F.col("one.member").alias("member_a"), F.col("two.member").alias("member_b")).agg(
-        F.count("*").alias("hits"), F.max(need).alias("need"),
-        F.max(F.greatest("one.aside", "two.aside")).alias("aside"),
+        F.count("*").alias("hits"), F.max(need).alias("need"), F.max(aside).alias("aside")
     )
-    return merged.select("member_a", "member_b", "hits", "need", (F.col("need") - F.col("aside")).alias("at_least"))
+    return merged.withColumn("at_least", F.col("need") - F.col("aside"))
 
 
 def _occurring(lists: DataFrame, members: DataFrame, threshold: float) -> DataFrame:
@@ -390,11 +395,10 @@ def _occurring(lists: DataFrame, members: DataFrame, threshold: float) -> DataFr
     pairs = _merged(lists, threshold).where("hits >= at_least")
     for end in ("a", "b"):
         own = members.select(
-            F.col("member").alias(f"member_{end}"), F.col("id").alias(end), F.col("aside").alias(f"aside_{end}"),
-            F.col("ranked").alias(f"set_{end}"),
+            F.col("member").alias(f"member_{end}"), F.col("id").alias(end), F.col("ranked").alias(f"set_{end}")
         )
         pairs = pairs.join(own, f"member_{end}")
-    pairs = pairs.select("a", "b", "hits", "need", "aside_a", "aside_b", "set_a", "set_b")
+    pairs = pairs.select("a", "b", "hits", "need", "aside", "set_a", "set_b")
     return pairs.mapInArrow(_probe_long, "a long, b long")
 
 
