@@ -56,7 +56,7 @@ CROWD = 50_000  # members of a list that look for neighbours together
 HEAD, POSTINGS, COUNTS, WAITING = range(4)
 PACKED = "part int, block long, kind int, keys binary, docs binary, sizes binary"
 SHARED = "block long, part int, kind int, keys binary, docs binary, counts binary"
-LISTS = "shingle long, behind long, id long, member long, n long, aside long"
+LISTS = "shingle long, ahead long, behind long, id long, member long, n long, aside long"
 SETS = "doc_id long, n long, digest binary, ranked binary, aside long"
 
 
@@ -260,8 +260,9 @@ def _short_lists(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             continue
         columns = [np.repeat(tokens.ids(batch.column(c)), short) for c in range(4)]
         cut = np.concatenate([r[:k] for r, k in zip(ranked, short)])
+        ahead = np.concatenate([np.arange(k) for k in short])
         behind = np.concatenate([np.arange(len(r) - 1, len(r) - 1 - k, -1) for r, k in zip(ranked, short)])
-        yield pa.record_batch([pa.array(c) for c in (cut, behind, *columns)], [f.split()[0] for f in LISTS.split(", ")])
+        yield pa.record_batch([pa.array(c) for c in (cut, ahead, behind, *columns)], [f.split()[0] for f in LISTS.split(", ")])
 
 
 def _probe(threshold: float):
@@ -370,7 +371,8 @@ def _merged(lists: DataFrame, threshold: float) -> DataFrame:
     """Pairs of members in different components, with their ``hits`` in short lists.
 
     ``need`` is the overlap ``T`` that the pair must reach, ``aside`` is ``L`` and ``at_least`` is
-    ``T - L``. A hit has at least ``L`` shared shingles behind it in the order of both documents.
+    ``T - L``. A hit has at least ``L`` shared shingles behind it in the order of both documents, and
+    with those before it they could make up ``T``.
     """
     percent = round(threshold * 100)
     one, two = lists.alias("one"), lists.alias("two")
@@ -382,7 +384,8 @@ def _merged(lists: DataFrame, threshold: float) -> DataFrame:
         (F.col("one.shingle") == F.col("two.shingle"))
         & (F.col("one.root") < F.col("two.root"))
         & (F.least("one.n", "two.n") * 100 >= F.greatest("one.n", "two.n") * percent)
-        & (F.least("one.behind", "two.behind") >= aside),
+        & (F.least("one.behind", "two.behind") >= aside)
+        & (F.least("one.ahead", "two.ahead") + 1 + F.least("one.behind", "two.behind") >= need),
     )
     merged = pairs.groupBy(F.col("one.member").alias("member_a"), F.col("two.member").alias("member_b")).agg(
         F.count("*").alias("hits"), F.max(need).alias("need"), F.max(aside).alias("aside")
