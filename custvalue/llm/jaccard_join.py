@@ -44,9 +44,9 @@ from custvalue.llm.settings import small_batches
 BLOCK_SHINGLES = 2_000_000  # shingles that a task packs together
 BLOCK_DOCS = 60_000  # documents of a block are numbered with 16 bits
 KEY_BYTES = 5  # of a shingle's hash inside a range; the range adds its own bits
-ROUNDS = 2  # of trying neighbours before all open pairs
+ROUNDS = 3  # of trying neighbours before all open pairs
 NEAREST = 6  # partners that each member tries in the first round
-MORE = 4  # times as many in the next, where few lists are still open
+MORE = 4  # times as many in each next one, where few lists are still open
 LONG_COST = 0.002  # of probing a long list against merging it: the smaller, the more lists are set aside
 PAIR_ASIDE = 0.98  # of a pair's ``T``: so many of the longest lists of both are probed
 CROWD = 50_000  # members of a list that look for neighbours together

@@ -88,6 +88,28 @@ def test_counts_in_short_lists_drop_candidates_and_no_link(corpus, spark):
     assert sorted(tuple(sorted(r)) for r in found) == sorted(linked)
 
 
+def test_a_third_round_leaves_few_open_pairs_of_a_large_group(corpus, monkeypatch):
+    rng = random.Random(11)
+    base = [f"w{k}" for k in range(150)]
+    rows = []
+    for i in range(400):
+        words = list(base)
+        for k in rng.sample(range(len(words)), rng.randrange(1, 5)):
+            words[k] = f"x{rng.randrange(10_000)}"
+        rows.append((i, " ".join(words)))
+    joined = []
+    merged = jaccard_join._merged
+
+    def counted(lists, threshold):
+        out = merged(lists, threshold)
+        joined.append(out.agg(F.sum("hits")).first()[0] or 0)
+        return out
+
+    monkeypatch.setattr(jaccard_join, "_merged", counted)
+    assert found(jaccard_components(corpus(rows), nearest=1)) == brute(rows)
+    assert joined[0] < 70_000  # 44,681; after two rounds 101,370
+
+
 def test_partners_beyond_the_neighbours(corpus, monkeypatch):
     monkeypatch.setattr(jaccard_join, "ROUNDS", 1)
     rows = near_copies(140, 8, 0.05)
