@@ -17,11 +17,13 @@ GROUP = ("age_category", "location")
 
 def visits(tx: DataFrame | NestedVisits) -> DataFrame:
     """Value per customer, location, day and source, and ``entries``, how many rows it sums up."""
-    return (
-        distinct_rows(tx, ALL_COLUMNS)
-        .groupBy("ctc_id", "location", "order_date", "source")
-        .agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("entries"))
-    )
+    sums = F.sum("value").alias("value"), F.count(F.lit(1)).alias("entries")
+    if isinstance(tx, NestedVisits):  # names only after the shuffle
+        rows, names = tx.by_place()
+        folded = rows.groupBy("ctc_id", "order_date", "at").agg(*sums)
+        location, source = (names[name].alias(name) for name in ("location", "source"))
+        return folded.select("ctc_id", location, "order_date", source, "value", "entries")
+    return distinct_rows(tx, ALL_COLUMNS).groupBy("ctc_id", "location", "order_date", "source").agg(*sums)
 
 
 def with_age(df: DataFrame, contacts: DataFrame, rules: Rules = DEFAULT_RULES) -> DataFrame:

@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from custvalue.functions.materialise import materialise
 
@@ -57,6 +58,43 @@ class NestedVisits:
         """The same from a written table."""
         return NestedVisits(materialise(self.table), self.known)
 
+    def named(self) -> NestedVisits:
+        """The same with places by name."""
+        if self.known is None:
+            return self
+        lists = zip(("source", "location"), self._names())
+        place = F.transform("places", lambda number: F.struct(*[F.get(names, number).alias(name) for name, names in lists]))
+        return NestedVisits(self.table.withColumn("places", place), None)
+
+    def by_location(self) -> tuple[DataFrame, Column]:
+        """The rows of :data:`NO_SOURCE` with a short key ``at`` instead of the location, and the key's name."""
+        if self.known is None:
+            return self._places().withColumnRenamed("location", "at"), F.col("at")
+        names = sorted({location for _, location in self.known if location is not None})
+        number = {name: i for i, name in enumerate(names)}
+        numbers = F.lit([number.get(location) for _, location in self.known] or [None]).cast("array<int>")
+        several = F.array_distinct(F.transform("places", lambda place: F.get(numbers, place)))
+        one = F.array(F.get(numbers, F.get("places", F.lit(0))))
+        each = self.table.withColumn("at", F.explode(F.when(F.size("places") == 1, one).otherwise(several)))
+        found = each.where(F.col("at").isNotNull()).select("ctc_id", "order_date", "value", "at")
+        return found, F.get(F.lit(names or [None]).cast("array<string>"), F.col("at"))
+
+    def by_place(self) -> tuple[DataFrame, dict[str, Column]]:
+        """The rows of :data:`ALL_COLUMNS` with a short key ``at`` instead of source and location, and their names."""
+        if self.known is None:
+            place = F.struct("source", "location").alias("at")
+            names = {name: F.col("at")[name] for name in ("source", "location")}
+            return self._full().select("ctc_id", "order_date", "value", place), names
+        whole = F.lit([None not in place for place in self.known] or [False])
+        each = self.table.select("ctc_id", "order_date", "value", F.explode("places").alias("at"))
+        names = dict(zip(("source", "location"), [F.get(names, F.col("at")) for names in self._names()]))
+        return each.where(F.get(whole, F.col("at"))), names
+
+    def _names(self) -> list[Column]:
+        """The sources and the locations of the numbered places."""
+        both = zip(*self.known) if self.known else ([None], [None])
+        return [F.lit(list(names)).cast("array<string>") for names in both]
+
     def _days(self) -> DataFrame:
         return self.table.select(*NO_SOURCE_NO_LOCATION)
 
@@ -74,23 +112,42 @@ class NestedVisits:
         if self.known is None:
             named = {name: F.col("place")[name] for name in ("source", "location")}
         else:
-            lists = zip(("source", "location"), zip(*self.known) if self.known else ([None], [None]))
-            named = {name: F.get(F.lit(list(values)).cast("array<string>"), F.col("place")) for name, values in lists}
+            lists = zip(("source", "location"), self._names())
+            named = {name: F.get(names, F.col("place")) for name, names in lists}
         return each.withColumns(named).select(*ALL_COLUMNS).na.drop("any", subset=["source", "location"])
 
 
-def nested_distinct(tx: DataFrame, max_places: int = MAX_PLACES) -> NestedVisits:
+def seen_places(tx: DataFrame) -> DataFrame:
+    """A row per pair of source and location with its latest ``order_date``, before any cleaning.
+
+    ``kept`` tells whether a row of the pair has customer, day and value. One pass over the raw transactions
+    for what three reports ask of all of them: the as-of date, the locations and the pairs to number.
+    """
+    kept = F.lit(True)
+    for name in NO_SOURCE_NO_LOCATION:
+        kept &= F.col(name).isNotNull()
+        if isinstance(tx.schema[name].dataType, (T.DoubleType, T.FloatType)):
+            kept &= ~F.isnan(name)
+    latest = F.max(F.col("order_date").cast("date")).alias("order_date")
+    return tx.groupBy("source", "location").agg(latest, F.max(kept).alias("kept"))
+
+
+def nested_distinct(
+    tx: DataFrame, max_places: int = MAX_PLACES, seen: DataFrame | None = None
+) -> NestedVisits:
     """The three distinct sets from one exchange.
 
     The shuffle hashes customer, day and value, which all three sets have, so equal rows of each set meet.
     A pair of source and location is a bit in one of a few longs, so copies fold map-side into numbers of
-    fixed size; a pass over the two columns finds the pairs first. With more than ``max_places`` pairs the
-    rows gather sets of names instead; 0 asks for that without the first pass.
+    fixed size; a pass over the two columns finds the pairs first, unless ``seen`` has them, the stored
+    :func:`seen_places` of ``tx``. With more than ``max_places`` pairs the rows gather sets of names instead;
+    0 asks for that without the first pass.
     """
     kept = tx.select(*ALL_COLUMNS).na.drop("any", subset=list(NO_SOURCE_NO_LOCATION))
     pairs = []
     if max_places:
-        pairs = kept.select("source", "location").distinct().limit(max_places + 1).collect()
+        found = kept.select("source", "location").distinct() if seen is None else seen.where("kept").select("source", "location")
+        pairs = found.limit(max_places + 1).collect()
     days = kept.groupBy(*NO_SOURCE_NO_LOCATION)
     if not max_places or len(pairs) > max_places:
         return NestedVisits(days.agg(F.collect_set(F.struct("source", "location")).alias("places")), None)
@@ -122,7 +179,8 @@ def _set_bits(word: str, first: int) -> Column:
 
     turns = F.sequence(F.lit(1), F.bit_count(F.col(word)))
     found = F.aggregate(turns, start, step, lambda state: state["found"])
-    return F.when(F.col(word).isNull(), F.array().cast("array<int>")).otherwise(found)
+    none, one = F.array().cast("array<int>"), F.array(F.bit_count(F.col(word) - 1) + first)
+    return F.when(F.col(word).isNull(), none).when(F.bit_count(F.col(word)) == 1, one).otherwise(found)
 
 
 def distinct_rows(tx: DataFrame | NestedVisits, columns: Sequence[str] = ALL_COLUMNS) -> DataFrame:

@@ -18,17 +18,17 @@ def rfm(tx: DataFrame | NestedVisits, as_of: DateLike | None = None) -> DataFram
     if as_of is None and isinstance(tx, NestedVisits):
         raise ValueError("nested visits do not tell the latest date before cleaning")
     today = as_of_date(tx) if as_of is None else as_date(as_of)
-    grouped = (
-        distinct_rows(tx, NO_SOURCE)
-        .groupBy("ctc_id", "location")
-        .agg(
-            F.count(F.lit(1)).alias("no_visit"),
-            F.avg("value").alias("value"),
-            F.min("order_date").alias("first_day"),
-            F.max("order_date").alias("last_day"),
-        )
+    if isinstance(tx, NestedVisits):  # names only after the shuffle
+        rows, location = tx.by_location()
+    else:
+        rows, location = distinct_rows(tx, NO_SOURCE).withColumnRenamed("location", "at"), F.col("at")
+    grouped = rows.groupBy("ctc_id", "at").agg(
+        F.count(F.lit(1)).alias("no_visit"),
+        F.avg("value").alias("value"),
+        F.min("order_date").alias("first_day"),
+        F.max("order_date").alias("last_day"),
     )
-    return features_of(grouped, today)
+    return features_of(grouped.withColumn("location", location), today)
 
 
 def features_of(grouped: DataFrame, today: Column) -> DataFrame:

@@ -64,9 +64,12 @@ def scored_clv(
     return score_clv(features.rfm(visits or inputs.transactions, as_of), inputs.clv_model)
 
 
-def stored_visits(inputs: Inputs) -> NestedVisits:
-    """The distinct transactions as a stored table, from which every report on visits starts."""
-    return cleaning.nested_distinct(inputs.transactions).stored()
+def stored_visits(inputs: Inputs, seen: DataFrame | None = None) -> NestedVisits:
+    """The distinct transactions as a stored table, from which every report on visits starts.
+
+    ``seen`` are their stored :func:`cleaning.seen_places`, if there are any.
+    """
+    return cleaning.nested_distinct(inputs.transactions, seen=seen).stored()
 
 
 class Reports(dict[str, DataFrame]):
@@ -162,7 +165,7 @@ def publish(
     The as-of date, the nested visits and the scored table go first; the other reports read those written
     copies, so the features are computed once, and a lost executor costs no more than its own tasks.
     ``with_transactions`` also writes the transactions, and the reports read that copy: worth it
-    for text inputs, which six passes would parse otherwise. With ``state``, a folder kept by
+    for text inputs, which two passes would parse otherwise. With ``state``, a folder kept by
     :func:`increments.update_state`, the transactions of ``inputs`` are new ones: they are merged into the
     state, and the reports are those of all transactions so far.
 
@@ -183,9 +186,10 @@ def publish(
                 tables["transactions"] = write("transactions", inputs.transactions)
                 inputs = replace(inputs, transactions=tables["transactions"])
             if state is None:
-                tables["as_of"] = write("as_of", cleaning.as_of(inputs.transactions))
+                seen = materialise(cleaning.seen_places(inputs.transactions))
+                tables["as_of"] = write("as_of", cleaning.as_of(seen))
                 today = tables["as_of"].scalar()
-                nested, places = stored_visits(inputs), None
+                nested, places = stored_visits(inputs, seen), overview.locations(seen)
                 scored = scored_clv(inputs, today, nested)
             else:
                 latest = increments.update_state(spark, state, inputs.transactions).as_of

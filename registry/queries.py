@@ -569,7 +569,9 @@ def report_payload(t):
 @query
 def publish(t):
     path = f"{ensure_checkpoint_dir(t.spark)}/published-{uuid.uuid4().hex}"
-    tables = reports.publish(fx.line_inputs(t), path, RULES)
+    inputs = fx.line_inputs(t)
+    inputs = replace(inputs, transactions=materialise(inputs.transactions))  # the lines are joined once
+    tables = reports.publish(inputs, path, RULES)
     return reduce(DataFrame.unionByName, [totals(name, df) for name, df in tables.items()])
 
 

@@ -3,6 +3,7 @@ import datetime as dt
 import pytest
 
 from custvalue.operators import cleaning
+from custvalue.operators.age import visits
 from custvalue.operators.cleaning import (
     ALL_COLUMNS,
     NO_SOURCE,
@@ -121,6 +122,28 @@ def test_nested_sets_equal_single_ones(spark, make_tx, max_places):
     assert nested_distinct(tx.filter("ctc_id < 0")).rows(ALL_COLUMNS).count() == 0
 
 
+@pytest.mark.parametrize("max_places", [1_024, 2])
+def test_places_seen_in_one_pass(spark, make_tx, max_places):
+    rows = [
+        (1, "2020-01-01", "w", "A", 5), (1, "2020-01-01", "v", "A", 5), (1, "2020-01-01", "w", "B", 5),
+        (1, "2020-01-01", None, "A", 5), (1, "2020-01-01", "w", None, 5), (1, "2020-01-01", None, None, 6),
+        (None, "2029-01-01", "x", "closed", 5), (1, None, "w", "A", 5), (1, "2020-01-01", "y", "B", None),
+        (2, "2020-01-01", "w", "A", float("nan")), (2, "2020-01-01", "z", "C", float("nan")),
+    ] + [(n % 3, "2021-01-01", f"s{n % 4}", f"place {n % 3}", n % 2) for n in range(200)]
+    tx = make_tx(*rows).repartition(5)
+    seen = cleaning.seen_places(tx).cache()
+    assert rows_of(cleaning.as_of(seen)) == rows_of(cleaning.as_of(tx))
+    assert rows_of(locations(seen)) == rows_of(locations(tx))
+    nested = nested_distinct(tx, max_places, seen)
+    assert nested.known == nested_distinct(tx, max_places).known
+    assert (nested.known is None) == (max_places == 2)
+    for columns in (ALL_COLUMNS, NO_SOURCE, NO_SOURCE_NO_LOCATION):
+        assert rows_of(nested.rows(columns)) == rows_of(distinct_rows(tx, columns))
+        assert rows_of(nested.named().rows(columns)) == rows_of(distinct_rows(tx, columns))
+    assert rows_of(visits(nested)) == rows_of(visits(tx))
+    assert rows_of(rfm(nested, "2022-01-01")) == rows_of(rfm(tx, "2022-01-01"))
+
+
 def test_one_exchange_for_all_three_sets(spark, make_tx):
     nested = nested_distinct(make_tx((1, "2020-01-01", "w", "A", 5)))
     plan = nested.table._jdf.queryExecution().executedPlan().toString()

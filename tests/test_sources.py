@@ -157,3 +157,29 @@ def test_files_to_dashboard(spark, tmp_path):
     assert doc["all_cus_clv"]["users"] == 26
     assert doc["analytics_graph"]["age_category"] == ["18-24", "25-34"]
     assert doc["executive_summary"]["orders_prev"] == "-"
+
+
+def test_publish_passes_over_the_transactions_twice(spark, tmp_path):
+    """Once for the as-of date, the locations and the pairs to number, once for the distinct visits."""
+    read = spark.sparkContext.accumulator(0)
+
+    def counted(row):
+        read.add(1)
+        return row
+
+    rows = [
+        (c, dt.date(2021, 1 + c % 12, 1 + v), f"s{v % 2}", f"place {c % 3}", 10.0 + c) for c in range(30) for v in range(1 + c % 4)
+    ] + [(1, dt.date(2022, 5, 5), "late", "closed", None), (None, None, None, None, 1.0)]
+    schema = "ctc_id long, order_date date, source string, location string, value double"
+    tx = spark.createDataFrame(rows, schema)
+    geo = venue_coordinates(spark)
+    contacts = spark.createDataFrame([(1, "x", 30, None, "25-34")], "ctc_id long, post_code string, age int, birth_date date, age_category string")
+    models = LinearModel(5, {"value": 1.5}), LinearModel(100, {"day_of_week": 3})
+    several = spark.createDataFrame(spark.sparkContext.parallelize(rows, 3).map(counted), schema)
+    written = publish(Inputs(several, contacts, geo, *models), str(tmp_path / "r"))
+    assert read.value == 2 * len(rows)
+    assert rows_of(written["as_of"]) == [(dt.date(2022, 5, 5),)]
+    assert rows_of(written["locations"]) == [("closed",), ("place 0",), ("place 1",), ("place 2",)]
+    parts = publish(Inputs(tx, contacts, geo, *models), str(tmp_path / "p"), state=str(tmp_path / "state"))
+    for name in ("as_of", "clv", "locations", "weekday_revenue"):
+        assert rows_of(parts[name]) == rows_of(written[name])
