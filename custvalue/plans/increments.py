@@ -25,7 +25,14 @@ from pyspark.sql import functions as F
 from custvalue.functions.dates import DateLike, as_date
 from custvalue.functions.files import children, exists, remove
 from custvalue.functions.materialise import materialise, scratch
-from custvalue.operators.cleaning import NO_SOURCE, NO_SOURCE_NO_LOCATION, NestedVisits, as_of, nested_distinct
+from custvalue.operators.cleaning import (
+    NO_SOURCE,
+    NO_SOURCE_NO_LOCATION,
+    NestedVisits,
+    as_of,
+    nested_distinct,
+    seen_places,
+)
 from custvalue.operators.features import features_of
 from custvalue.operators.overview import locations
 
@@ -101,14 +108,21 @@ def update_state(spark: SparkSession, path: str, new: DataFrame, buckets: int =
     update = f"update-{len(before.updates) + 1:08d}-{uuid.uuid4().hex[:8]}"
     try:
         with scratch(spark):
-            latest = as_of(new).first()["as_of"]
-            locations(new).write.parquet(f"{path}/{update}/{LOCATIONS}")
+            seen = materialise(seen_places(new))
+            latest = as_of(seen).first()["as_of"]
+            locations(seen).write.parquet(f"{path}/{update}/{LOCATIONS}")
             # Names rather than numbers: the numbers of two updates differ.
-            nested = materialise(nested_distinct(new, max_places=0).table.withColumn(MONTH, _month(F.col("order_date"))))
-            touched = [r[MONTH] for r in nested.select(MONTH).distinct().collect()]
+            nested = nested_distinct(new, seen=seen).named()
+            visits = materialise(nested.table.withColumn(MONTH, _month(F.col("order_date"))))
+            touched = [r[MONTH] for r in visits.select(MONTH).distinct().collect()]
             known = _read(spark, path, VISITS, MONTH, before.months, touched)
-            features = _new_features(spark, path, before, nested, known)
-            visits = nested if known is None else _united(nested, known)
+            if known is None:
+                rows = NestedVisits(visits.drop(MONTH), None).rows(NO_SOURCE)
+            else:
+                both = materialise(_united(visits.drop(MONTH), known))
+                rows = both.withColumn("location", F.explode("fresh")).select(*NO_SOURCE)
+                visits = both.drop("fresh").withColumn(MONTH, _month(F.col("order_date")))
+            features = _new_features(spark, path, before, rows)
             if touched:
                 _write(visits, f"{path}/{update}/{VISITS}", MONTH)
             held = [str(r[BUCKET]) for r in features.select(BUCKET).distinct().collect()]
@@ -133,19 +147,20 @@ def _write(df: DataFrame, path: str, key: str) -> None:
 
 
 def _united(nested: DataFrame, known: DataFrame) -> DataFrame:
-    """The visits of the touched months with the new ones."""
-    places = F.array_distinct(F.flatten(F.collect_list("places"))).alias("places")
-    both = nested.drop(MONTH).unionByName(known)
-    return both.groupBy(*NO_SOURCE_NO_LOCATION).agg(places).withColumn(MONTH, _month(F.col("order_date")))
-
-
-def _new_features(
-    spark: SparkSession, path: str, before: State, nested: DataFrame, known: DataFrame | None
-) -> DataFrame:
-    """The features of the touched buckets, as a written table."""
-    rows = NestedVisits(nested.drop(MONTH), None).rows(NO_SOURCE)
-    if known is not None:
-        rows = rows.join(NestedVisits(known, None).rows(NO_SOURCE), list(NO_SOURCE), "left_anti")
+    """The visits of the touched months with the new ones; ``fresh`` are the locations that only these have."""
+    keys = list(NO_SOURCE_NO_LOCATION)
+    both = nested.withColumnRenamed("places", "new").join(known.withColumnRenamed("places", "old"), keys, "full_outer")
+    new, old = (F.array_compact(F.transform(side, lambda place: place["location"])) for side in ("new", "old"))
+    return both.select(
+        *keys,
+        F.when(F.col("old").isNull(), F.col("new")).when(F.col("new").isNull(), F.col("old"))
+        .otherwise(F.array_union("new", "old")).alias("places"),
+        F.when(F.col("old").isNull(), F.array_distinct(new)).otherwise(F.array_except(new, old)).alias("fresh"),
+    )
+
+
+def _new_features(spark: SparkSession, path: str, before: State, rows: DataFrame) -> DataFrame:
+    """The features of the touched buckets, as a written table. ``rows`` are the visits that the state had not."""
     added = rows.groupBy(*KEY).agg(*_folds(merge=False)).withColumn(BUCKET, _bucket(before.buckets))
     added = materialise(added)
     touched = [str(r[BUCKET]) for r in added.select(BUCKET).distinct().collect()]
